@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-SCALE_BITS = 50
+SPLITTER = float(2 ** 27 + 1)
 
 
 def to_number(column: Column) -> Column:
@@ -24,20 +24,23 @@ def round_exact(column: Column, digits: int) -> Column:
 
     ``F.round`` and ``F.bround`` look at the printed decimal (22.15 is taken as a
     tie); a correctly rounded result needs the stored value, which is a little
-    below 22.15. The value is split into an integer count of 2^-50 steps, and the
-    decision is made in integers. Holds for magnitudes below 8192.
+    below 22.15. ``scaled + error`` is twice the shifted value without any
+    rounding loss (an error-free product: the number is split into two halves of
+    26 bits), so it can be compared with the odd integer at the midpoint.
+    Holds while ``value * 2 * 10**digits`` stays below 2**53, for up to six digits.
     """
-    steps = F.abs(column.cast("double")) * float(1 << SCALE_BITS)
-    whole = F.floor(steps)
-    dust = steps > whole.cast("double")
-    scaled = whole.cast("decimal(20,0)") * F.lit(10 ** digits).cast("decimal(8,0)")
-    unit = F.lit(1 << SCALE_BITS).cast("decimal(20,0)")
-    low = F.floor(scaled / unit).cast("bigint")
-    rest = scaled - low.cast("decimal(20,0)") * unit
-    half = F.lit(1 << (SCALE_BITS - 1)).cast("decimal(20,0)")
-    up = (rest > half) | ((rest == half) & (dust | (low % 2 == 1)))
+    value = F.abs(column.cast("double"))
+    factor = F.lit(float(2 * 10 ** digits))
+    scaled = value * factor
+    spread = value * F.lit(SPLITTER)
+    high = spread - (spread - value)
+    error = (high * factor - scaled) + (value - high) * factor
+    low = F.floor(scaled / 2)
+    over = scaled - (2 * low + 1).cast("double")
+    # above the midpoint, or on it with something left over, or on it with an odd lower neighbour
+    up = F.signum(over) * 4 + F.signum(error) * 2 + low % 2 > 0
     magnitude = (low + up.cast("bigint")).cast("double") / float(10 ** digits)
-    return F.when(column < 0, -magnitude).otherwise(magnitude)
+    return F.signum(column.cast("double")) * magnitude
 
 
 def percent(part: Column, whole: Column) -> Column:

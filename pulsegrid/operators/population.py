@@ -79,18 +79,19 @@ def risk_factor_report(df: DataFrame) -> DataFrame:
     """
     total = F.count(F.lit(1))
     counted = {
-        "hypertension": percent(count_if(C("hypertension") == 1), F.count("hypertension")),
-        "diabetes": percent(count_if(C("diabetes") == 1), F.count("diabetes")),
-        "cholesterol": percent(count_if(C("cholesterol") >= 2), total),
-        "smoker": percent(count_if(C("smoker") == 2), total),
-        "bmi": percent(count_if(C("bmi") >= 25), total),
-        "exercise": percent(count_if(C("exercise") == 0), total),
+        "hypertension": (count_if(C("hypertension") == 1), F.count("hypertension")),
+        "diabetes": (count_if(C("diabetes") == 1), F.count("diabetes")),
+        "cholesterol": (count_if(C("cholesterol") >= 2), total),
+        "smoker": (count_if(C("smoker") == 2), total),
+        "bmi": (count_if(C("bmi") >= 25), total),
+        "exercise": (count_if(C("exercise") == 0), total),
     }
-    single = df.agg(*[rate.alias(name) for name, rate in counted.items()])
     rows = F.array(*[
-        F.struct(F.lit(V.RISK_FACTOR_NAMES[name]).alias("name"), C(name).alias("rate")) for name in counted
+        F.struct(F.lit(V.RISK_FACTOR_NAMES[name]).alias("name"), part.alias("part"), whole.alias("whole"))
+        for name, (part, whole) in counted.items()
     ])
-    return single.select(F.inline(rows)).orderBy(C("rate").desc(), "name")
+    long = df.agg(rows.alias("rows")).select(F.inline("rows"))
+    return long.select("name", percent(C("part"), C("whole")).alias("rate")).orderBy(C("rate").desc(), "name")
 
 
 def follow_ups(df: DataFrame) -> DataFrame:

@@ -87,16 +87,15 @@ def region_rates(counters: DataFrame) -> DataFrame:
     labelled = (C("heart_labelled") > 0) & (C("stroke_labelled") > 0)
     scored = C("scored") > 0
 
-    def rate(from_labels: Column, from_scores: Column) -> Column:
-        return F.when(labelled, from_labels).when(scored, from_scores)
+    def rate(positive: str, known: str, high: str) -> Column:
+        part = F.when(labelled, C(positive)).when(scored, C(high))
+        return percent(part, F.when(labelled, C(known)).when(scored, C("scored")))
 
     return counters.withColumns({
         "risk_metric_source": F.when(labelled, LABELS_SOURCE).when(scored, MODEL_SOURCE).otherwise(NO_SOURCE),
-        "heart_rate": rate(percent(C("heart_positive"), C("heart_labelled")), percent(C("heart_high"), C("scored"))),
-        "stroke_rate": rate(
-            percent(C("stroke_positive"), C("stroke_labelled")), percent(C("stroke_high"), C("scored"))),
-        "comorbidity_rate": rate(
-            percent(C("comorbidity"), C("residents")), percent(C("predicted_comorbidity"), C("scored"))),
+        "heart_rate": rate("heart_positive", "heart_labelled", "heart_high"),
+        "stroke_rate": rate("stroke_positive", "stroke_labelled", "stroke_high"),
+        "comorbidity_rate": rate("comorbidity", "residents", "predicted_comorbidity"),
     })
 
 

@@ -8,6 +8,8 @@ from pulsegrid.plans.registry import CHECKS, QUERIES
 
 GROUPS = [
     "population_queries",
+    "source_queries",
+    "cleaning_queries",
 ]
 
 for _name in GROUPS:
