@@ -1,0 +1,17 @@
+"""Broadcast only after the size has been checked."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when ``df`` has at most ``limit`` rows; else leave the join to Spark.
+
+    The count stops at ``limit + 1`` rows. Beyond it the join becomes a shuffle
+    join, which adaptive execution splits where a key is hot.
+    """
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -10,6 +10,7 @@ GROUPS = [
     "population_queries",
     "source_queries",
     "cleaning_queries",
+    "grading_queries",
 ]
 
 for _name in GROUPS:
