@@ -11,6 +11,8 @@ GROUPS = [
     "source_queries",
     "cleaning_queries",
     "grading_queries",
+    "advice_queries",
+    "history_queries",
 ]
 
 for _name in GROUPS:
