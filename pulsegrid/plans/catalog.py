@@ -13,6 +13,7 @@ GROUPS = [
     "grading_queries",
     "advice_queries",
     "history_queries",
+    "model_queries",
 ]
 
 for _name in GROUPS:
