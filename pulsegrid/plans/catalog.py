@@ -14,6 +14,8 @@ GROUPS = [
     "advice_queries",
     "history_queries",
     "model_queries",
+    "risk_queries",
+    "stream_queries",
 ]
 
 for _name in GROUPS:

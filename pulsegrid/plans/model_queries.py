@@ -141,8 +141,22 @@ sized AS (
 )"""
 
 
-def parted(spark, sf_dir, label="label_stroke"):
-    return splitting.stratified_split(cleaning.training_table(residents(spark, sf_dir)), label, "resident_id")
+RARE = """
+rare AS (
+  SELECT * REPLACE (CAST(label_stroke = 1 AND alcohol = 1 AND diabetes = 1 AS INTEGER) AS label_stroke) FROM residents
+)"""
+RARE_SPLIT = SPLIT.replace("FROM residents", "FROM rare")
+
+
+def parted(spark, sf_dir):
+    return splitting.stratified_split(cleaning.training_table(residents(spark, sf_dir)), "label_stroke", "resident_id")
+
+
+def rare_fit_part(spark, sf_dir):
+    """Fit part of a split on an outcome of about two percent, so that rows have to be added."""
+    rare = ((C("label_stroke") == 1) & (C("alcohol") == 1) & (C("diabetes") == 1)).cast("int")
+    rows = cleaning.training_table(residents(spark, sf_dir).withColumn("label_stroke", rare))
+    return splitting.stratified_split(rows, "label_stroke", "resident_id").filter(C("split") == "fit")
 
 
 @query("m01_stratified_split", with_parts([SPLIT], "SELECT resident_id, label_stroke, split FROM parted"))
@@ -164,19 +178,19 @@ fit AS (SELECT * FROM parted WHERE split = 'fit'
 ), picked AS (SELECT resident_id FROM draws JOIN pool USING (position))"""
 
 
-@query("m02_oversampled_rows", with_parts([SPLIT, DRAWN], """
+@query("m02_oversampled_rows", with_parts([RARE, RARE_SPLIT, DRAWN], """
 SELECT resident_id, count(*) AS copies FROM (
   SELECT resident_id FROM fit UNION ALL SELECT resident_id FROM picked) q GROUP BY resident_id"""))
 def oversampled_rows(spark, sf_dir):
-    rows, _ = splitting.oversample(parted(spark, sf_dir).filter(C("split") == "fit"), "label_stroke")
+    rows, _ = splitting.oversample(rare_fit_part(spark, sf_dir), "label_stroke")
     return rows.groupBy("resident_id").agg(F.count(F.lit(1)).alias("copies"))
 
 
-@query("u02_appended_rows", with_parts([SPLIT, DRAWN], """
+@query("u02_appended_rows", with_parts([RARE, RARE_SPLIT, DRAWN], """
 SELECT (SELECT count(*) FROM fit) + (SELECT count(*) FROM picked) AS rows,
   (SELECT count(*) FROM fit WHERE label_stroke = 1) + (SELECT count(*) FROM picked) AS positives"""))
 def appended_rows(spark, sf_dir):
-    rows, _ = splitting.oversample(parted(spark, sf_dir).filter(C("split") == "fit"), "label_stroke")
+    rows, _ = splitting.oversample(rare_fit_part(spark, sf_dir), "label_stroke")
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum("label_stroke").alias("positives"))
 
 
