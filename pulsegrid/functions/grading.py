@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ from pulsegrid.functions.numeric import is_finite, round_exact, to_number
 C = F.col
 
 
+def present(*items: Column) -> Column:
+    """Array of the items that are not null.
+
+    Items are distinct, so a set difference with null does it; unlike
+    ``array_compact`` it is compiled together with the items.
+    """
+    return F.array_except(F.array(*items), F.array(F.lit(None)))
+
+
 # -- validation ---------------------------------------------------------------
 
 def range_reason(limits: tuple) -> str:
@@ -48,18 +59,25 @@ def optional_reason(name: str) -> Column:
 
 
 def missing_fields() -> Column:
-    return F.array_compact(F.array(*[F.when(C(name).isNull(), name) for name in contract.FEATURES]))
+    return present(*[F.when(C(name).isNull(), name) for name in contract.FEATURES])
 
 
 def invalid_fields(optional: list[str]) -> Column:
     """Map of field name to reason, invalid fields only."""
     pairs = [(name, required_reason(name)) for name in contract.FEATURES]
     pairs += [(name, optional_reason(name)) for name in contract.OPTIONAL_RANGES if name in optional]
-    entries = F.array_compact(F.array(*[
+    entries = [
         F.when(reason.isNotNull(), F.struct(F.lit(name).alias("key"), reason.alias("value")))
         for name, reason in pairs
-    ]))
-    return F.map_from_entries(entries)
+    ]
+    return F.map_from_entries(present(*entries))
+
+
+def is_valid(optional: list[str]) -> Column:
+    """Nothing missing and nothing invalid."""
+    tests = [C(name).isNotNull() & required_reason(name).isNull() for name in contract.FEATURES]
+    tests += [optional_reason(name).isNull() for name in contract.OPTIONAL_RANGES if name in optional]
+    return reduce(lambda a, b: a & b, tests)
 
 
 def normal_record(columns: list[str]) -> dict[str, Column]:
@@ -147,7 +165,7 @@ def highlights(columns: list[str]) -> Column:
         checks.append((C("fasting_glucose") >= 7.0, V.HIGHLIGHT_GLUCOSE))
     if "family_history" in columns:
         checks.append((C("family_history") == 1, V.HIGHLIGHT_FAMILY))
-    found = F.array_compact(F.array(*[F.when(condition, text) for condition, text in checks]))
+    found = present(*[F.when(condition, text) for condition, text in checks])
     return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(V.HIGHLIGHT_NONE)))
 
 
@@ -191,7 +209,7 @@ def insights(columns: list[str]) -> Column:
             F.concat(C("fasting_glucose").cast("string"), F.lit(" mmol/L")),
             two_way(C("fasting_glucose") >= 7.0, V.STATUS_GLUCOSE, V.STATUS_IN_RANGE), True,
         ))
-    return F.array_compact(F.array(*found))
+    return present(*found)
 
 
 def value_label(name: str, value: Column) -> Column:
@@ -223,7 +241,7 @@ def active_factors(level: Column | None = None) -> Column:
     names = [F.when(flag, name) for name, flag in factor_flags().items()]
     if level is not None:
         names.append(F.when(level >= 4, "risk_level"))
-    return F.array_compact(F.array(*names))
+    return present(*names)
 
 
 def follow_up_text(level: Column) -> Column:
@@ -235,7 +253,7 @@ def fallback_advice(level: Column) -> Column:
     flags = factor_flags()
     lines = [F.when(flags[name], text) for name, text in V.FALLBACK_ADVICE.items()]
     guidance = F.coalesce(_by_code(level, V.FALLBACK_GUIDANCE), F.lit(V.FALLBACK_GUIDANCE[1]))
-    return F.array_compact(F.array(*lines, guidance))
+    return present(*lines, guidance)
 
 
 # -- a fixed logistic score ---------------------------------------------------

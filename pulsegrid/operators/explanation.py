@@ -1,7 +1,8 @@
 """Per-record feature contributions, their ranking, and the merge of two models.
 
-A record has nine features, so its contributions live in one array and are
-ranked inside the row: no shuffle, however many records there are.
+A record has nine features, so its factors are ranked inside the row: the place
+of a feature is one plus the number of stronger ones. That is plain arithmetic
+on columns, without sorting arrays and without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pulsegrid import contract
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions import grading
-from pulsegrid.functions.numeric import add_all, round_exact
+from pulsegrid.functions.numeric import add_all, round_exact, round_to_grid
 
 C = F.col
 TOP_PER_MODEL = 3
@@ -40,75 +41,96 @@ def mean_features(df: DataFrame) -> dict[str, float]:
     return row.asDict()
 
 
-def _decorated(contributions: dict[str, Column]) -> Column:
-    """Array of one struct per feature: rounded contribution and share of the total."""
-    total = add_all([F.abs(value) for value in contributions.values()])
-    whole = F.when(total == 0, 1.0).otherwise(total)
-    return F.array(*[
-        F.struct(
-            F.lit(position).alias("position"),
-            F.lit(name).alias("feature"),
-            F.lit(V.FEATURE_NAMES[name]).alias("feature_label"),
-            grading.value_label(name, C(name)).alias("value_label"),
-            round_exact(value, 6).alias("contribution"),
-            round_exact(F.abs(value) / whole * 100, 2).alias("impact_percent"),
+def _places(values: dict[str, str]) -> dict[str, Column]:
+    """Place of each feature among those of its sign, by strength, ties by feature order; null at zero."""
+    names = list(values)
+    places = {}
+    for position, name in enumerate(names):
+        own = C(values[name])
+        higher = [C(values[o]) >= own if k < position else C(values[o]) > own
+                  for k, o in enumerate(names) if o != name]
+        lower = [C(values[o]) <= own if k < position else C(values[o]) < own
+                 for k, o in enumerate(names) if o != name]
+        places[name] = (
+            F.when(own > 0, 1 + add_all([test.cast("int") for test in higher]))
+            .when(own < 0, 1 + add_all([test.cast("int") for test in lower]))
         )
-        for position, (name, value) in enumerate(contributions.items())
-    ])
-
-
-def _top(items: Column, sign: int, limit: int) -> Column:
-    """The strongest contributions of one sign, ties by feature order."""
-    kept = F.filter(items, lambda x: x["contribution"] * sign > 0)
-    keyed = F.transform(kept, lambda x: F.struct(
-        (x["contribution"] * -sign).alias("order"), x["position"].alias("position"), x.alias("item")))
-    return F.transform(F.slice(F.sort_array(keyed), 1, limit), lambda x: x["item"])
+    return places
 
 
 def rank_contributions(df: DataFrame, contributions: dict[str, Column], prefix: str = "") -> DataFrame:
-    """Add the strongest raising and lowering factors of every record."""
-    all_items = f"{prefix}items"
-    return (
-        df.withColumn(all_items, _decorated(contributions))
+    """Add contribution, share of the total and place for every feature.
+
+    Columns are ``{prefix}contribution_x``, ``{prefix}impact_x`` and ``{prefix}place_x``.
+    An unknown feature contributes nothing.
+    """
+    raw = {name: f"{prefix}raw_{name}" for name in contributions}
+    kept = {name: f"{prefix}contribution_{name}" for name in contributions}
+    total, whole = f"{prefix}total", C(f"{prefix}total")
+    ranked = (
+        df.withColumns({raw[name]: F.coalesce(value, F.lit(0.0)) for name, value in contributions.items()})
+        .withColumn(total, add_all([F.abs(C(column)) for column in raw.values()]))
+        .withColumn(total, F.when(whole == 0, 1.0).otherwise(whole))
         .withColumns({
-            f"{prefix}top_positive": _top(C(all_items), 1, TOP_PER_MODEL),
-            f"{prefix}top_negative": _top(C(all_items), -1, TOP_PER_MODEL),
+            **{kept[name]: round_to_grid(C(raw[name]), 6) for name in raw},
+            **{f"{prefix}impact_{name}": round_to_grid(F.abs(C(raw[name])) / whole * 100, 2) for name in raw},
         })
-        .drop(all_items)
     )
+    places = {f"{prefix}place_{name}": place for name, place in _places(kept).items()}
+    return ranked.withColumns(places).drop(total, *raw.values())
+
+
+def factor_rows(df: DataFrame, keep: list[str], prefix: str = "", limit: int | None = TOP_PER_MODEL) -> DataFrame:
+    """One row per ranked factor; all nine features when ``limit`` is None."""
+    entries = F.array(*[
+        F.struct(
+            C(f"{prefix}place_{name}").alias("place"),
+            F.when(C(f"{prefix}contribution_{name}") >= 0, "increase").otherwise("decrease").alias("direction"),
+            F.lit(name).alias("feature"),
+            F.lit(V.FEATURE_NAMES[name]).alias("feature_label"),
+            grading.value_label(name, C(name)).alias("value_label"),
+            C(f"{prefix}contribution_{name}").alias("contribution"),
+            C(f"{prefix}impact_{name}").alias("impact_percent"),
+        )
+        for name in contract.FEATURES
+    ])
+    rows = df.select(*keep, F.inline(entries))
+    return rows if limit is None else rows.filter(C("place") <= limit)
 
 
-def combine_models(df: DataFrame, prefixes: dict[str, str]) -> DataFrame:
-    """Merge the ranked factors of several models by feature and rank them again.
+def combine_models(df: DataFrame, models: dict[str, str]) -> DataFrame:
+    """Merge the top factors of several models by feature and rank the sums.
 
-    ``prefixes`` maps the model's name to the prefix of its ranked columns.
+    ``models`` maps a model's name to the prefix of its ranked columns. A feature
+    counts only for the models that list it among their top factors.
     """
-    sources = []
-    for model, prefix in prefixes.items():
-        both = F.concat(C(f"{prefix}top_positive"), C(f"{prefix}top_negative"))
-        sources.append(F.transform(both, lambda x, model=model: F.struct(
-            x["position"].alias("position"), x["feature"].alias("feature"), x["value_label"].alias("value_label"),
-            x["contribution"].alias("contribution"), x["impact_percent"].alias("impact_percent"),
-            F.lit(model).alias("source"))))
-    merged = []
-    for position, name in enumerate(contract.FEATURES):
-        mine = F.filter(C("all_factors"), lambda x, name=name: x["feature"] == name)
-        merged.append(F.when(F.size(mine) > 0, F.struct(
-            F.lit(position).alias("position"), F.lit(name).alias("feature"),
-            mine[0]["value_label"].alias("value_label"),
-            F.aggregate(mine, F.lit(0.0), lambda a, x: a + x["contribution"]).alias("contribution"),
-            F.aggregate(mine, F.lit(0.0), lambda a, x: a + x["impact_percent"]).alias("impact_percent"),
-            F.transform(mine, lambda x: x["source"]).alias("sources"),
-        )))
-    return (
-        df.withColumn("all_factors", F.concat(*sources))
-        .withColumn("merged_factors", F.array_compact(F.array(*merged)))
-        .withColumns({
-            "combined_positive": _top(C("merged_factors"), 1, TOP_COMBINED),
-            "combined_negative": _top(C("merged_factors"), -1, TOP_COMBINED),
-        })
-        .drop("all_factors")
-    )
+    summed = {}
+    for name in contract.FEATURES:
+        listed = {m: F.coalesce(C(f"{p}place_{name}") <= TOP_PER_MODEL, F.lit(False)) for m, p in models.items()}
+        for kind in ("contribution", "impact"):
+            parts = [F.when(listed[m], C(f"{p}{kind}_{name}")).otherwise(0.0) for m, p in models.items()]
+            summed[f"sum_{kind}_{name}"] = add_all(parts)
+        summed[f"sources_{name}"] = F.concat_ws("|", *[F.when(listed[m], F.lit(m)) for m in models])
+    merged = df.withColumns(summed)
+    places = _places({name: f"sum_contribution_{name}" for name in contract.FEATURES})
+    return merged.withColumns({f"sum_place_{name}": place for name, place in places.items()})
+
+
+def combined_rows(df: DataFrame, keep: list[str], limit: int | None = TOP_COMBINED) -> DataFrame:
+    """One row per merged factor; every listed feature when ``limit`` is None."""
+    entries = F.array(*[
+        F.struct(
+            C(f"sum_place_{name}").alias("place"),
+            F.when(C(f"sum_contribution_{name}") >= 0, "increase").otherwise("decrease").alias("direction"),
+            F.lit(name).alias("feature"),
+            round_to_grid(C(f"sum_contribution_{name}"), 6).alias("contribution"),
+            round_to_grid(C(f"sum_impact_{name}"), 2).alias("impact_percent"),
+            C(f"sources_{name}").alias("sources"),
+        )
+        for name in contract.FEATURES
+    ])
+    rows = df.select(*keep, F.inline(entries)).filter(C("sources") != "")
+    return rows if limit is None else rows.filter(C("place") <= limit)
 
 
 # -- tree ensembles ---------------------------------------------------------------

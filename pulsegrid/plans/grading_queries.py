@@ -74,23 +74,26 @@ _REASONS = {
     **{name: _reason_sql(name, *contract.RANGES[name], False) for name in contract.FEATURES},
     **{name: _reason_sql(name, *limits, True) for name, limits in contract.OPTIONAL_RANGES.items()},
 }
-_INVALID_SQL = "concat_ws(';', " + ", ".join(f"'{name}=' || ({sql})" for name, sql in _REASONS.items()) + ")"
+_REASON_SQL = "concat_ws(';', " + ", ".join(_REASONS.values()) + ")"
+_INVALID_SQL = "concat_ws(';', " + ", ".join(
+    f"CASE WHEN ({sql}) IS NOT NULL THEN '{name}' END" for name, sql in _REASONS.items()) + ")"
 _MISSING_SQL = "concat_ws(';', " + ", ".join(
     f"CASE WHEN {name} IS NULL THEN '{name}' END" for name in contract.FEATURES) + ")"
 
 
 @query("p11_record_validation", with_parts([PAYLOAD], f"""
-SELECT resident_id, missing_fields, invalid_fields, missing_fields = '' AND invalid_fields = '' AS valid
-FROM (SELECT resident_id, {_MISSING_SQL} AS missing_fields, {_INVALID_SQL} AS invalid_fields FROM payload) q"""))
+SELECT resident_id, missing_fields, invalid_fields, reasons, missing_fields = '' AND invalid_fields = '' AS valid
+FROM (SELECT resident_id, {_MISSING_SQL} AS missing_fields, {_INVALID_SQL} AS invalid_fields, {_REASON_SQL} AS reasons
+  FROM payload) q"""))
 def record_validation(spark, sf_dir):
     df = payload(spark, sf_dir)
     found = df.select(
         "resident_id", grading.missing_fields().alias("missing"), grading.invalid_fields(df.columns).alias("invalid"))
-    pairs = F.transform(F.map_entries("invalid"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
     return found.select(
         "resident_id",
         F.array_join("missing", ";").alias("missing_fields"),
-        F.array_join(pairs, ";").alias("invalid_fields"),
+        F.array_join(F.map_keys("invalid"), ";").alias("invalid_fields"),
+        F.array_join(F.map_values("invalid"), ";").alias("reasons"),
         ((F.size("missing") == 0) & (F.size("invalid") == 0)).alias("valid"),
     )
 
@@ -105,8 +108,7 @@ FROM (SELECT * REPLACE (CAST(CAST(bmi AS DOUBLE) * 1.037 AS VARCHAR) AS bmi) FRO
 WHERE {_MISSING_SQL} = '' AND {_INVALID_SQL} = ''"""))
 def normal_record(spark, sf_dir):
     df = payload(spark, sf_dir).withColumn("bmi", (C("bmi").cast("double") * F.lit(1.037)).cast("string"))
-    valid = (F.size(grading.missing_fields()) == 0) & (F.size(grading.invalid_fields(df.columns)) == 0)
-    return df.filter(valid).select("resident_id", *[
+    return df.filter(grading.is_valid(df.columns)).select("resident_id", *[
         value.alias(name) for name, value in grading.normal_record(df.columns).items()])
 
 

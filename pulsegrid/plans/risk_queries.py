@@ -15,7 +15,7 @@ from pulsegrid.plans.advice_queries import RULE_PARTS, _ACTIONS, demo_rules
 from pulsegrid.plans.checks import fixed, quote, with_parts
 from pulsegrid.plans.grading_queries import CATEGORY, LEVEL, SUMMARY, case_text
 from pulsegrid.plans.registry import query
-from pulsegrid.plans.scoring_base import SCORED_PARTS, scored_residents
+from pulsegrid.plans.scoring_base import SCORED_PARTS, complete_residents, scored_residents
 from pulsegrid.session import durable, shared_path
 from pulsegrid.sources.rules import DEMO_VERSION
 from pulsegrid.sources.tables import residents
@@ -113,10 +113,10 @@ def tree_contributions(spark, sf_dir):
     model = models["stroke"]
     leaves = explanation.leaf_boxes(spark, model.estimator, shared_path(spark, "leaves"))
     filled = model.imputer.transform(training_rows(spark, sf_dir)).select("resident_id", *contract.FEATURES)
-    explained = explanation.tree_contributions(filled, leaves, "raw_")
-    ranked = explanation.rank_contributions(explained, {name: C(f"raw_{name}") for name in contract.FEATURES})
-    return ranked.select("resident_id", F.explode(F.concat("top_positive", "top_negative")).alias("item")).select(
-        "resident_id", "item.feature", "item.contribution", "item.impact_percent")
+    explained = explanation.tree_contributions(filled, leaves, "shapley_")
+    ranked = explanation.rank_contributions(explained, {name: C(f"shapley_{name}") for name in contract.FEATURES})
+    return explanation.factor_rows(ranked, ["resident_id"]).select(
+        "resident_id", "place", "feature", "contribution", "impact_percent")
 
 
 @query("m09_feature_importance")
@@ -186,39 +186,27 @@ def _contribution_sql(target: str) -> str:
 _EXPLAIN_PARTS = [SCORED_PARTS[0], _MEANS, _contribution_sql("heart"), _contribution_sql("stroke")]
 
 
-def explained(spark, sf_dir):
-    df = scored_residents(spark, sf_dir)
+def explained(spark, sf_dir, targets=("heart", "stroke")):
+    df = complete_residents(spark, sf_dir).select("resident_id", *contract.FEATURES)
     baseline = explanation.mean_features(df)
-    for target, weights in DEMO_WEIGHTS.items():
+    for target in targets:
         df = explanation.rank_contributions(
-            df, explanation.linear_contributions(weights, baseline), f"{target}_")
+            df, explanation.linear_contributions(DEMO_WEIGHTS[target], baseline), f"{target}_")
     return df
 
 
-def _unfold(df, positive: str, negative: str, fields: list[str]):
-    items = F.concat(
-        F.transform(positive, lambda x, i: F.struct((i + 1).alias("place"), F.lit("increase").alias("direction"),
-                                                    *[x[f].alias(f) for f in fields])),
-        F.transform(negative, lambda x, i: F.struct((i + 1).alias("place"), F.lit("decrease").alias("direction"),
-                                                    *[x[f].alias(f) for f in fields])))
-    return df.select("resident_id", F.inline(items))
-
-
 @query("m08_linear_contributions", with_parts(_EXPLAIN_PARTS[:3], """
 SELECT resident_id, feature, contribution, impact_percent FROM heart_all"""))
 def linear_contributions(spark, sf_dir):
-    df = scored_residents(spark, sf_dir)
-    parts = explanation.linear_contributions(DEMO_WEIGHTS["heart"], explanation.mean_features(df))
-    items = df.select("resident_id", F.inline(explanation._decorated(parts)))
-    return items.select("resident_id", "feature", "contribution", "impact_percent")
+    return explanation.factor_rows(explained(spark, sf_dir, ["heart"]), ["resident_id"], "heart_", None).select(
+        "resident_id", "feature", "contribution", "impact_percent")
 
 
 @query("w02_top_factors", with_parts(_EXPLAIN_PARTS[:3], """
 SELECT resident_id, CAST(place AS INTEGER) AS place, CASE WHEN contribution > 0 THEN 'increase' ELSE 'decrease' END AS
   direction, feature, feature_label, value_label, contribution, impact_percent FROM heart_top"""))
 def top_factors(spark, sf_dir):
-    return _unfold(explained(spark, sf_dir), "heart_top_positive", "heart_top_negative", [
-        "feature", "feature_label", "value_label", "contribution", "impact_percent"])
+    return explanation.factor_rows(explained(spark, sf_dir, ["heart"]), ["resident_id"], "heart_")
 
 
 _MERGED = """
@@ -234,9 +222,7 @@ merged AS (
 SELECT resident_id, feature, {fixed('c', 6)} AS contribution, {fixed('i', 2)} AS impact_percent, sources FROM merged"""))
 def merged_factors(spark, sf_dir):
     merged = explanation.combine_models(explained(spark, sf_dir), {"heart": "heart_", "stroke": "stroke_"})
-    return merged.select("resident_id", F.inline("merged_factors")).select(
-        "resident_id", "feature", round_exact(C("contribution"), 6).alias("contribution"),
-        round_exact(C("impact_percent"), 2).alias("impact_percent"), F.array_join("sources", "|").alias("sources"))
+    return explanation.combined_rows(merged, ["resident_id"], None).drop("place", "direction")
 
 
 @query("w03_combined_factors", with_parts([*_EXPLAIN_PARTS, _MERGED], f"""
@@ -246,11 +232,7 @@ FROM (SELECT *, row_number() OVER (PARTITION BY resident_id, c > 0 ORDER BY abs(
   FROM merged WHERE c <> 0) q WHERE place <= 4"""))
 def combined_factors(spark, sf_dir):
     merged = explanation.combine_models(explained(spark, sf_dir), {"heart": "heart_", "stroke": "stroke_"})
-    rows = _unfold(merged, "combined_positive", "combined_negative", [
-        "feature", "contribution", "impact_percent", "sources"])
-    return rows.withColumns({
-        "contribution": round_exact(C("contribution"), 6), "impact_percent": round_exact(C("impact_percent"), 2),
-        "sources": F.array_join("sources", "|")})
+    return explanation.combined_rows(merged, ["resident_id"])
 
 
 # -- everything about one record ------------------------------------------------------
