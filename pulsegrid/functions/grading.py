@@ -274,9 +274,5 @@ DEMO_WEIGHTS = {
 def demo_probability(target: str) -> Column:
     """Logistic probability on a grid of four decimals, from fixed weights."""
     weights = DEMO_WEIGHTS[target]
-    margin = F.lit(weights["intercept"])
-    for name in contract.FEATURES:
-        margin = margin + F.lit(weights[name]) * C(name).cast("double")
-    return F.floor(F.lit(10000.0) / (F.lit(1.0) + F.exp(-margin))).cast("double") / 10000.0
-
-
+    terms = [f"{weights['intercept']!r}D", *[f"{weights[name]!r}D * double({name})" for name in contract.FEATURES]]
+    return F.expr(f"double(floor(10000.0D / (1.0D + exp(-({' + '.join(terms)}))))) / 10000.0D")

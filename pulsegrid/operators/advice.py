@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions import grading
 from pulsegrid.operators.sizing import broadcast_if_small
+from pulsegrid.session import durable
 
 C = F.col
 FACTORS = ["hypertension", "cholesterol", "diabetes", "smoker", "alcohol", "exercise", "bmi"]
@@ -184,5 +185,9 @@ def attach_plans(df: DataFrame, plans: DataFrame) -> DataFrame:
 
 
 def attach_matches(df: DataFrame, matches: DataFrame) -> DataFrame:
-    """All matching rules of every record, one row each."""
-    return df.join(broadcast_if_small(matches), SITUATION)
+    """All matching rules of every record, one row each.
+
+    The matches are few but take several joins and windows to find, so they are
+    written once and then counted and joined.
+    """
+    return df.join(broadcast_if_small(durable(matches, "matches")), SITUATION)

@@ -1,8 +1,7 @@
 """Per-record feature contributions, their ranking, and the merge of two models.
 
-A record has nine features, so its factors are ranked inside the row: the place
-of a feature is one plus the number of stronger ones. That is plain arithmetic
-on columns, without sorting arrays and without a shuffle.
+A record has nine features, so its factors are sorted in one small array inside
+the row: no shuffle, however many records there are.
 """
 
 from __future__ import annotations
@@ -41,96 +40,124 @@ def mean_features(df: DataFrame) -> dict[str, float]:
     return row.asDict()
 
 
-def _places(values: dict[str, str]) -> dict[str, Column]:
-    """Place of each feature among those of its sign, by strength, ties by feature order; null at zero."""
-    names = list(values)
-    places = {}
-    for position, name in enumerate(names):
-        own = C(values[name])
-        higher = [C(values[o]) >= own if k < position else C(values[o]) > own
-                  for k, o in enumerate(names) if o != name]
-        lower = [C(values[o]) <= own if k < position else C(values[o]) < own
-                 for k, o in enumerate(names) if o != name]
-        places[name] = (
-            F.when(own > 0, 1 + add_all([test.cast("int") for test in higher]))
-            .when(own < 0, 1 + add_all([test.cast("int") for test in lower]))
-        )
-    return places
+def _order(column: str, sign: int, position: int) -> Column:
+    """Sorts the strongest value of a sign first, ties by feature order."""
+    return F.struct((C(column) * F.lit(-float(sign))).alias("order"), F.lit(position).alias("position"))
+
+
+def _sorted(columns: list[str], sign: int) -> Column:
+    return F.sort_array(F.array(*[_order(column, sign, k) for k, column in enumerate(columns)]))
 
 
 def rank_contributions(df: DataFrame, contributions: dict[str, Column], prefix: str = "") -> DataFrame:
-    """Add contribution, share of the total and place for every feature.
+    """Add contribution and share of the total for every feature, and both rankings.
 
-    Columns are ``{prefix}contribution_x``, ``{prefix}impact_x`` and ``{prefix}place_x``.
-    An unknown feature contributes nothing.
+    Columns are ``{prefix}contribution_x``, ``{prefix}impact_x``, ``{prefix}raising``
+    and ``{prefix}lowering``. An unknown feature contributes nothing.
     """
-    raw = {name: f"{prefix}raw_{name}" for name in contributions}
-    kept = {name: f"{prefix}contribution_{name}" for name in contributions}
+    raw = {name: f"{prefix}raw_{name}" for name in contract.FEATURES}
+    kept = {name: f"{prefix}contribution_{name}" for name in contract.FEATURES}
     total, whole = f"{prefix}total", C(f"{prefix}total")
-    ranked = (
-        df.withColumns({raw[name]: F.coalesce(value, F.lit(0.0)) for name, value in contributions.items()})
+    return (
+        df.withColumns({raw[name]: F.coalesce(contributions[name], F.lit(0.0)) for name in raw})
         .withColumn(total, add_all([F.abs(C(column)) for column in raw.values()]))
         .withColumn(total, F.when(whole == 0, 1.0).otherwise(whole))
         .withColumns({
             **{kept[name]: round_to_grid(C(raw[name]), 6) for name in raw},
             **{f"{prefix}impact_{name}": round_to_grid(F.abs(C(raw[name])) / whole * 100, 2) for name in raw},
         })
+        .withColumns({
+            f"{prefix}raising": _sorted(list(kept.values()), 1),
+            f"{prefix}lowering": _sorted(list(kept.values()), -1),
+        })
+        .drop(total, *raw.values())
     )
-    places = {f"{prefix}place_{name}": place for name, place in _places(kept).items()}
-    return ranked.withColumns(places).drop(total, *raw.values())
 
 
-def factor_rows(df: DataFrame, keep: list[str], prefix: str = "", limit: int | None = TOP_PER_MODEL) -> DataFrame:
-    """One row per ranked factor; all nine features when ``limit`` is None."""
-    entries = F.array(*[
-        F.struct(
-            C(f"{prefix}place_{name}").alias("place"),
-            F.when(C(f"{prefix}contribution_{name}") >= 0, "increase").otherwise("decrease").alias("direction"),
-            F.lit(name).alias("feature"),
-            F.lit(V.FEATURE_NAMES[name]).alias("feature_label"),
-            grading.value_label(name, C(name)).alias("value_label"),
-            C(f"{prefix}contribution_{name}").alias("contribution"),
-            C(f"{prefix}impact_{name}").alias("impact_percent"),
-        )
-        for name in contract.FEATURES
-    ])
-    rows = df.select(*keep, F.inline(entries))
-    return rows if limit is None else rows.filter(C("place") <= limit)
+def _ranked_rows(df: DataFrame, keep: list[str], prefix: str, limit: int, fields: dict[str, Column]) -> DataFrame:
+    """Unfold the first ``limit`` places of both rankings; fields are arrays in feature order."""
+    best = F.concat(F.slice(C(f"{prefix}raising"), 1, limit), F.slice(C(f"{prefix}lowering"), 1, limit))
+    rows = df.select(*keep, *[value.alias(f"list_{name}") for name, value in fields.items()],
+                     F.posexplode(best).alias("slot", "factor"))
+    position = C("factor.position") + 1
+    return rows.filter(C("factor.order") < 0).select(
+        *keep,
+        (C("slot") % limit + 1).alias("place"),
+        F.when(C("slot") < limit, "increase").otherwise("decrease").alias("direction"),
+        F.element_at(F.array(*[F.lit(name) for name in contract.FEATURES]), position).alias("feature"),
+        *[F.element_at(C(f"list_{name}"), position).alias(name) for name in fields],
+    )
+
+
+def _feature_array(pattern: str) -> Column:
+    return F.array(*[C(pattern.format(name)) for name in contract.FEATURES])
+
+
+def _labels() -> tuple[Column, Column]:
+    names = F.array(*[F.lit(V.FEATURE_NAMES[name]) for name in contract.FEATURES])
+    return names, F.array(*[grading.value_label(name, C(name)) for name in contract.FEATURES])
+
+
+def factor_rows(df: DataFrame, keep: list[str], prefix: str = "", limit: int = TOP_PER_MODEL) -> DataFrame:
+    """One row per top factor with its display texts."""
+    names, values = _labels()
+    return _ranked_rows(df, keep, prefix, limit, {
+        "feature_label": names, "value_label": values,
+        "contribution": _feature_array(prefix + "contribution_{}"), "impact_percent": _feature_array(prefix + "impact_{}"),
+    })
+
+
+def contribution_rows(df: DataFrame, keep: list[str], prefix: str = "") -> DataFrame:
+    """All nine features of every record."""
+    return df.select(*keep, F.inline(F.array(*[
+        F.struct(F.lit(name).alias("feature"), C(f"{prefix}contribution_{name}").alias("contribution"),
+                 C(f"{prefix}impact_{name}").alias("impact_percent"))
+        for name in contract.FEATURES])))
 
 
 def combine_models(df: DataFrame, models: dict[str, str]) -> DataFrame:
     """Merge the top factors of several models by feature and rank the sums.
 
     ``models`` maps a model's name to the prefix of its ranked columns. A feature
-    counts only for the models that list it among their top factors.
+    counts only for the models that list it among their top factors, that is,
+    when it sorts no later than the last listed place.
     """
     summed = {}
-    for name in contract.FEATURES:
-        listed = {m: F.coalesce(C(f"{p}place_{name}") <= TOP_PER_MODEL, F.lit(False)) for m, p in models.items()}
+    for position, name in enumerate(contract.FEATURES):
+        listed = {}
+        for model, prefix in models.items():
+            own = f"{prefix}contribution_{name}"
+            raises = (C(own) > 0) & (_order(own, 1, position) <= C(f"{prefix}raising")[TOP_PER_MODEL - 1])
+            lowers = (C(own) < 0) & (_order(own, -1, position) <= C(f"{prefix}lowering")[TOP_PER_MODEL - 1])
+            listed[model] = raises | lowers
         for kind in ("contribution", "impact"):
-            parts = [F.when(listed[m], C(f"{p}{kind}_{name}")).otherwise(0.0) for m, p in models.items()]
-            summed[f"sum_{kind}_{name}"] = add_all(parts)
+            summed[f"sum_{kind}_{name}"] = add_all([
+                F.when(listed[m], C(f"{p}{kind}_{name}")).otherwise(0.0) for m, p in models.items()])
         summed[f"sources_{name}"] = F.concat_ws("|", *[F.when(listed[m], F.lit(m)) for m in models])
-    merged = df.withColumns(summed)
-    places = _places({name: f"sum_contribution_{name}" for name in contract.FEATURES})
-    return merged.withColumns({f"sum_place_{name}": place for name, place in places.items()})
+    columns = [f"sum_contribution_{name}" for name in contract.FEATURES]
+    return df.withColumns(summed).withColumns({
+        "sum_raising": _sorted(columns, 1), "sum_lowering": _sorted(columns, -1)})
+
+
+def combined_rows(df: DataFrame, keep: list[str], limit: int = TOP_COMBINED) -> DataFrame:
+    """One row per top factor of the merged list."""
+    rows = _ranked_rows(df, keep, "sum_", limit, {
+        "contribution": _feature_array("sum_contribution_{}"), "impact_percent": _feature_array("sum_impact_{}"),
+        "sources": _feature_array("sources_{}"),
+    })
+    return rows.withColumns({
+        "contribution": round_to_grid(C("contribution"), 6), "impact_percent": round_to_grid(C("impact_percent"), 2)})
 
 
-def combined_rows(df: DataFrame, keep: list[str], limit: int | None = TOP_COMBINED) -> DataFrame:
-    """One row per merged factor; every listed feature when ``limit`` is None."""
-    entries = F.array(*[
+def merged_rows(df: DataFrame, keep: list[str]) -> DataFrame:
+    """Every feature listed by any model, with its sums and sources."""
+    return df.select(*keep, F.inline(F.array(*[
         F.struct(
-            C(f"sum_place_{name}").alias("place"),
-            F.when(C(f"sum_contribution_{name}") >= 0, "increase").otherwise("decrease").alias("direction"),
             F.lit(name).alias("feature"),
             round_to_grid(C(f"sum_contribution_{name}"), 6).alias("contribution"),
             round_to_grid(C(f"sum_impact_{name}"), 2).alias("impact_percent"),
             C(f"sources_{name}").alias("sources"),
-        )
-        for name in contract.FEATURES
-    ])
-    rows = df.select(*keep, F.inline(entries)).filter(C("sources") != "")
-    return rows if limit is None else rows.filter(C("place") <= limit)
+        ) for name in contract.FEATURES]))).filter(C("sources") != "")
 
 
 # -- tree ensembles ---------------------------------------------------------------

@@ -107,11 +107,12 @@ class ChainedImputer:
 
     def transform(self, df: DataFrame) -> DataFrame:
         """Fill the gaps; known values stay as they are, all features become doubles."""
-        vector = [F.lit(1.0), *[F.coalesce(_shifted(name), F.lit(0.0)) for name in self.names]]
+        vector = F.array(F.lit(1.0), *[F.coalesce(_shifted(name), F.lit(0.0)) for name in self.names])
 
         def filled(position: int, name: str) -> Column:
-            line = C("lines")[position]
-            value = add_all([line[k] * part for k, part in enumerate(vector)]) + F.lit(ORIGIN.get(name, 0.0))
+            # reached only for rows with a gap in this column
+            products = F.zip_with(C("lines")[position], vector, lambda a, b: a * b)
+            value = F.aggregate(products, F.lit(ORIGIN.get(name, 0.0)), lambda a, b: a + b)
             return F.when(C(name).isNull(), value).otherwise(C(name).cast("double"))
 
         joined = df.withColumn("mask", missing_mask(self.names)).join(

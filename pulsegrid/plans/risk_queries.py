@@ -198,8 +198,7 @@ def explained(spark, sf_dir, targets=("heart", "stroke")):
 @query("m08_linear_contributions", with_parts(_EXPLAIN_PARTS[:3], """
 SELECT resident_id, feature, contribution, impact_percent FROM heart_all"""))
 def linear_contributions(spark, sf_dir):
-    return explanation.factor_rows(explained(spark, sf_dir, ["heart"]), ["resident_id"], "heart_", None).select(
-        "resident_id", "feature", "contribution", "impact_percent")
+    return explanation.contribution_rows(explained(spark, sf_dir, ["heart"]), ["resident_id"], "heart_")
 
 
 @query("w02_top_factors", with_parts(_EXPLAIN_PARTS[:3], """
@@ -222,7 +221,7 @@ merged AS (
 SELECT resident_id, feature, {fixed('c', 6)} AS contribution, {fixed('i', 2)} AS impact_percent, sources FROM merged"""))
 def merged_factors(spark, sf_dir):
     merged = explanation.combine_models(explained(spark, sf_dir), {"heart": "heart_", "stroke": "stroke_"})
-    return explanation.combined_rows(merged, ["resident_id"], None).drop("place", "direction")
+    return explanation.merged_rows(merged, ["resident_id"])
 
 
 @query("w03_combined_factors", with_parts([*_EXPLAIN_PARTS, _MERGED], f"""

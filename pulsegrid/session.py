@@ -15,6 +15,8 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # no Python call-site capture on every column operation
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # lets the CSV reader take national character sets such as GBK
         "spark.sql.legacy.javaCharsets": "true",
         **conf,

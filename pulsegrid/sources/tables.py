@@ -12,9 +12,58 @@ from pyspark.sql import functions as F
 
 C = F.col
 
+# Schemas of the given tables, so that opening one costs no look into its files.
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{sf_dir}/{name}.parquet")
+
+
+PLACE = [
+    "o_orderkey + 510100000001 AS resident_id", "region", "district",
+    "CAST(c_nationkey * 1000 + c_custkey % 100 AS BIGINT) AS community_id",
+    "o_orderdate AS snapshot_date", "c_name AS name",
+    "(o_orderkey * 7919 + 13) % 10007 AS h1", "(o_orderkey * 104729 + 31) % 10009 AS h2",
+    "(o_orderkey * 1299709 + 97) % 10037 AS h3", "(o_orderkey * 15485863 + 7) % 10039 AS h4",
+]
+BODY = [
+    "*",
+    "int(if(h2 % 97 = 0, -1, 18 + h1 % 78)) AS age",
+    "int(h2 % 2) AS gender",
+    "if(h4 % 53 = 0, NULL, double(1600 + h3 % 2900) / 100) AS bmi",
+    "int(if(h1 % 101 = 0, 9, 1 + h4 % 3)) AS cholesterol",
+    "int(h1 % 100 < 16) AS diabetes",
+    "int(h2 % 100 < 34) AS hypertension",
+    "int(if(h4 % 211 = 0, 5, h3 % 3)) AS smoker",
+    "int(h4 % 100 < 43) AS alcohol",
+    "int((h1 + h2) % 100 < 25) AS exercise",
+]
+RESIDENT = [
+    "resident_id", "region", "district", "community_id", "snapshot_date", "name",
+    "concat('138', lpad(string((h1 * 9973 + h2) % 100000000), 8, '0')) AS phone",
+    "age", "gender", "bmi", "cholesterol", "diabetes", "hypertension", "smoker", "alcohol", "exercise",
+    "CASE WHEN age BETWEEN 18 AND 39 THEN '18-39' WHEN age BETWEEN 40 AND 59 THEN '40-59' "
+    "WHEN age BETWEEN 60 AND 74 THEN '60-74' WHEN age BETWEEN 75 AND 90 THEN '75-90' END AS age_group",
+    "int(age + 20 * hypertension + 12 * diabetes + h3 % 40 >= 95) AS label_heart",
+    "int(age + 25 * hypertension + h4 % 50 >= 110) AS label_stroke",
+    "double(90 + h3 % 100) AS systolic_bp", "double(50 + h2 % 70) AS diastolic_bp",
+    "double(350 + h4 % 600) / 100 AS fasting_glucose",
+    "int((h1 + h3) % 7 = 0) AS family_history",
+    "double(1450 + h2 % 500) / 10 AS height_cm",
+    "date_format(snapshot_date, 'yyyy-MM') AS data_period",
+]
 
 
 def residents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,58 +77,15 @@ def residents(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(table(spark, sf_dir, "region"), C("n_regionkey") == C("r_regionkey"))
         .select("n_nationkey", C("n_name").alias("district"), C("r_name").alias("region"))
     )
-    key = C("o_orderkey")
-    base = (
+    placed = (
         table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
         .join(
             table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_name"),
             C("o_custkey") == C("c_custkey"),
         )
         .join(F.broadcast(places), C("c_nationkey") == C("n_nationkey"))
-        .select(
-            (key + F.lit(510100000001)).alias("resident_id"),
-            "region", "district",
-            (C("c_nationkey") * 1000 + C("c_custkey") % 100).cast("bigint").alias("community_id"),
-            C("o_orderdate").alias("snapshot_date"),
-            C("c_name").alias("name"),
-            ((key * 7919 + 13) % 10007).alias("h1"),
-            ((key * 104729 + 31) % 10009).alias("h2"),
-            ((key * 1299709 + 97) % 10037).alias("h3"),
-            ((key * 15485863 + 7) % 10039).alias("h4"),
-        )
-    )
-
-    def flag(condition):
-        return condition.cast("int")
-
-    measured = base.withColumns({
-        "age": F.when(C("h2") % 97 == 0, -1).otherwise(18 + C("h1") % 78).cast("int"),
-        "gender": (C("h2") % 2).cast("int"),
-        "bmi": F.when(C("h4") % 53 != 0, (1600 + C("h3") % 2900).cast("double") / 100),
-        "cholesterol": F.when(C("h1") % 101 == 0, 9).otherwise(1 + C("h4") % 3).cast("int"),
-        "diabetes": flag(C("h1") % 100 < 16),
-        "hypertension": flag(C("h2") % 100 < 34),
-        "smoker": F.when(C("h4") % 211 == 0, 5).otherwise(C("h3") % 3).cast("int"),
-        "alcohol": flag(C("h4") % 100 < 43),
-        "exercise": flag((C("h1") + C("h2")) % 100 < 25),
-        "systolic_bp": (90 + C("h3") % 100).cast("double"),
-        "diastolic_bp": (50 + C("h2") % 70).cast("double"),
-        "fasting_glucose": (350 + C("h4") % 600).cast("double") / 100,
-        "family_history": flag((C("h1") + C("h3")) % 7 == 0),
-        "height_cm": (1450 + C("h2") % 500).cast("double") / 10,
-        "phone": F.concat(F.lit("138"), F.lpad(((C("h1") * 9973 + C("h2")) % 100000000).cast("string"), 8, "0")),
-    })
-    age = C("age")
-    return measured.select(
-        "resident_id", "region", "district", "community_id", "snapshot_date", "name", "phone",
-        "age", "gender", "bmi", "cholesterol", "diabetes", "hypertension", "smoker", "alcohol", "exercise",
-        F.when(age.between(18, 39), "18-39").when(age.between(40, 59), "40-59")
-        .when(age.between(60, 74), "60-74").when(age.between(75, 90), "75-90").alias("age_group"),
-        flag(age + 20 * C("hypertension") + 12 * C("diabetes") + C("h3") % 40 >= 95).alias("label_heart"),
-        flag(age + 25 * C("hypertension") + C("h4") % 50 >= 110).alias("label_stroke"),
-        "systolic_bp", "diastolic_bp", "fasting_glucose", "family_history", "height_cm",
-        F.date_format("snapshot_date", "yyyy-MM").alias("data_period"),
     )
+    return placed.selectExpr(*PLACE).selectExpr(*BODY).selectExpr(*RESIDENT)
 
 
 def upload_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
