@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulsegrid import contract
@@ -29,10 +29,16 @@ def range_reason(limits: tuple) -> str:
     return f"{V.REASON_RANGE_PREFIX}{limits[0]}~{limits[1]}"
 
 
+def with_numbers(df: DataFrame) -> DataFrame:
+    """Read every text field as a number once, into ``number_x``; all checks use these."""
+    names = [name for name in [*contract.FEATURES, *contract.OPTIONAL_RANGES] if name in df.columns]
+    return df.withColumns({f"number_{name}": to_number(C(name)) for name in names})
+
+
 def required_reason(name: str) -> Column:
     """Why a required text field is invalid; null when it is fine or missing."""
     low, high = contract.RANGES[name]
-    number = to_number(C(name))
+    number = C(f"number_{name}")
     reason = (
         F.when(C(name).isNull(), F.lit(None).cast("string"))
         .when(number.isNull(), V.REASON_NOT_NUMBER)
@@ -47,7 +53,7 @@ def required_reason(name: str) -> Column:
 def optional_reason(name: str) -> Column:
     """Same for an optional field; null and empty text are skipped."""
     low, high = contract.OPTIONAL_RANGES[name]
-    number = to_number(C(name))
+    number = C(f"number_{name}")
     reason = (
         F.when(C(name).isNull() | (C(name) == ""), F.lit(None).cast("string"))
         .when(number.isNull(), V.REASON_NOT_NUMBER)
@@ -85,10 +91,10 @@ def normal_record(columns: list[str]) -> dict[str, Column]:
     shaped = {}
     for name in [*contract.FEATURES, "family_history"]:
         if name in columns and name != "bmi":
-            shaped[name] = to_number(C(name)).cast("int")
+            shaped[name] = C(f"number_{name}").cast("int")
     for name in ("bmi", "systolic_bp", "diastolic_bp", "fasting_glucose"):
         if name in columns:
-            shaped[name] = round_exact(to_number(C(name)), 2)
+            shaped[name] = round_exact(C(f"number_{name}"), 2)
     return shaped
 
 

@@ -176,7 +176,12 @@ def plan_table(rules: DataFrame, version: str) -> DataFrame:
 
 
 def with_situation(df: DataFrame, level: Column) -> DataFrame:
-    return df.withColumns({"factor_mask": factor_mask(), "level": level})
+    """Add flags and level; an unknown level counts as the lowest.
+
+    Neither column can be null, so the lookup join adds no null filter. Such a
+    filter would be pushed below the score and compute it a second time.
+    """
+    return df.withColumns({"factor_mask": factor_mask(), "level": F.coalesce(level, F.lit(1))})
 
 
 def attach_plans(df: DataFrame, plans: DataFrame) -> DataFrame:

@@ -61,7 +61,10 @@ def brier(df: DataFrame, label: str, probability: str) -> DataFrame:
 
 
 def score_points(df: DataFrame, label: str, probability: str) -> DataFrame:
-    """Positives and negatives at each distinct score."""
+    """Positives and negatives at each distinct score.
+
+    The measures below read the points several times: store them first.
+    """
     return (
         df.filter(C(probability).isNotNull() & C(label).isNotNull())
         .groupBy(C(probability).alias("score"))

@@ -23,6 +23,7 @@ from pulsegrid.functions.numeric import add_all, round_exact, round_to_grid
 C = F.col
 TOP_PER_MODEL = 3
 TOP_COMBINED = 4
+POSITIONS = 16
 
 
 # -- contributions --------------------------------------------------------------
@@ -41,8 +42,11 @@ def mean_features(df: DataFrame) -> dict[str, float]:
 
 
 def _order(column: str, sign: int, position: int) -> Column:
-    """Sorts the strongest value of a sign first, ties by feature order."""
-    return F.struct((C(column) * F.lit(-float(sign))).alias("order"), F.lit(position).alias("position"))
+    """Whole number that sorts the strongest value of a sign first, ties by feature order.
+
+    Contributions have six decimals; the last four bits hold the feature's position.
+    """
+    return F.rint(C(column) * F.lit(-sign * 1e6)).cast("bigint") * POSITIONS + position
 
 
 def _sorted(columns: list[str], sign: int) -> Column:
@@ -79,8 +83,9 @@ def _ranked_rows(df: DataFrame, keep: list[str], prefix: str, limit: int, fields
     best = F.concat(F.slice(C(f"{prefix}raising"), 1, limit), F.slice(C(f"{prefix}lowering"), 1, limit))
     rows = df.select(*keep, *[value.alias(f"list_{name}") for name, value in fields.items()],
                      F.posexplode(best).alias("slot", "factor"))
-    position = C("factor.position") + 1
-    return rows.filter(C("factor.order") < 0).select(
+    position = (C("factor").bitwiseAND(F.lit(POSITIONS - 1)) + 1).cast("int")
+    # below zero: the value has the sign of its ranking and is not zero
+    return rows.filter(C("factor") < 0).select(
         *keep,
         (C("slot") % limit + 1).alias("place"),
         F.when(C("slot") < limit, "increase").otherwise("decrease").alias("direction"),

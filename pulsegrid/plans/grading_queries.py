@@ -86,7 +86,7 @@ SELECT resident_id, missing_fields, invalid_fields, reasons, missing_fields = ''
 FROM (SELECT resident_id, {_MISSING_SQL} AS missing_fields, {_INVALID_SQL} AS invalid_fields, {_REASON_SQL} AS reasons
   FROM payload) q"""))
 def record_validation(spark, sf_dir):
-    df = payload(spark, sf_dir)
+    df = grading.with_numbers(payload(spark, sf_dir))
     found = df.select(
         "resident_id", grading.missing_fields().alias("missing"), grading.invalid_fields(df.columns).alias("invalid"))
     return found.select(
@@ -107,7 +107,8 @@ SELECT resident_id, {", ".join(f"CAST(trunc(CAST({n} AS DOUBLE)) AS INTEGER) AS
 FROM (SELECT * REPLACE (CAST(CAST(bmi AS DOUBLE) * 1.037 AS VARCHAR) AS bmi) FROM payload) p
 WHERE {_MISSING_SQL} = '' AND {_INVALID_SQL} = ''"""))
 def normal_record(spark, sf_dir):
-    df = payload(spark, sf_dir).withColumn("bmi", (C("bmi").cast("double") * F.lit(1.037)).cast("string"))
+    scaled = (C("bmi").cast("double") * F.lit(1.037)).cast("string")
+    df = grading.with_numbers(payload(spark, sf_dir).withColumn("bmi", scaled))
     return df.filter(grading.is_valid(df.columns)).select("resident_id", *[
         value.alias(name) for name, value in grading.normal_record(df.columns).items()])
 

@@ -11,6 +11,7 @@ from pulsegrid.plans.checks import fixed, with_clean, with_parts, with_residents
 from pulsegrid.plans.cleaning_queries import SCORE_SQL, score_column
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.scoring_base import SCORED_PARTS, scored_residents
+from pulsegrid.session import durable
 from pulsegrid.sources.tables import residents
 
 C = F.col
@@ -78,7 +79,8 @@ def curve_check(body: str) -> str:
 
 
 def points_of(spark, sf_dir):
-    return evaluation.score_points(scored_residents(spark, sf_dir), "label_stroke", "stroke_probability")
+    points = evaluation.score_points(scored_residents(spark, sf_dir), "label_stroke", "stroke_probability")
+    return durable(points, "score-points")
 
 
 @query("a13_average_precision", curve_check(

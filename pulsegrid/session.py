@@ -9,12 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf: str) -> SparkSession:
-    """A session with adaptive execution and UTC; extra settings win."""
+    """A session with adaptive execution and UTC; extra settings win.
+
+    For large data pass ``spark.sql.shuffle.partitions`` of about shuffled bytes
+    / 128 MiB; adaptive execution merges what turns out small.
+    """
     settings = {
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        # generated methods beyond this size are not compiled by the JVM; such stages run operator by operator
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         # no Python call-site capture on every column operation
         "spark.python.sql.dataFrameDebugging.enabled": "false",
         # lets the CSV reader take national character sets such as GBK
