@@ -35,8 +35,11 @@ def factor_mask() -> Column:
 
 
 def situations(spark: SparkSession) -> DataFrame:
-    """All 640 pairs of factor flags and level with the names of the active factors."""
-    both = spark.range(LEVELS << len(FACTORS)).select(
+    """All 640 pairs of factor flags and level with the names of the active factors.
+
+    So few rows are kept in one partition, which spares the ranking its shuffles.
+    """
+    both = spark.range(0, LEVELS << len(FACTORS), 1, 1).select(
         F.expr(f"CAST(id div {LEVELS} AS INT)").alias("factor_mask"),
         (C("id") % LEVELS + 1).cast("int").alias("level"),
     )

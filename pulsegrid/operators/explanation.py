@@ -127,42 +127,51 @@ def combine_models(df: DataFrame, models: dict[str, str]) -> DataFrame:
     counts only for the models that list it among their top factors, that is,
     when it sorts no later than the last listed place.
     """
-    summed = {}
+    listed, summed = {}, {}
     for position, name in enumerate(contract.FEATURES):
-        listed = {}
         for model, prefix in models.items():
             own = f"{prefix}contribution_{name}"
             raises = (C(own) > 0) & (_order(own, 1, position) <= C(f"{prefix}raising")[TOP_PER_MODEL - 1])
             lowers = (C(own) < 0) & (_order(own, -1, position) <= C(f"{prefix}lowering")[TOP_PER_MODEL - 1])
-            listed[model] = raises | lowers
+            listed[f"listed_{model}_{name}"] = raises | lowers
         for kind in ("contribution", "impact"):
             summed[f"sum_{kind}_{name}"] = add_all([
-                F.when(listed[m], C(f"{p}{kind}_{name}")).otherwise(0.0) for m, p in models.items()])
-        summed[f"sources_{name}"] = F.concat_ws("|", *[F.when(listed[m], F.lit(m)) for m in models])
+                F.when(C(f"listed_{m}_{name}"), C(f"{p}{kind}_{name}")).otherwise(0.0) for m, p in models.items()])
+        # one bit per model; the names are written out only for the rows that are kept
+        summed[f"sum_models_{name}"] = add_all([
+            C(f"listed_{m}_{name}").cast("int") * (1 << bit) for bit, m in enumerate(models)])
     columns = [f"sum_contribution_{name}" for name in contract.FEATURES]
-    return df.withColumns(summed).withColumns({
+    return df.withColumns(listed).withColumns(summed).drop(*listed).withColumns({
         "sum_raising": _sorted(columns, 1), "sum_lowering": _sorted(columns, -1)})
 
 
-def combined_rows(df: DataFrame, keep: list[str], limit: int = TOP_COMBINED) -> DataFrame:
+def _source_names(models: dict[str, str]) -> Column:
+    bits = C("sources")
+    return F.concat_ws("|", *[
+        F.when(bits.bitwiseAND(F.lit(1 << bit)) > 0, F.lit(m)) for bit, m in enumerate(models)])
+
+
+def combined_rows(df: DataFrame, keep: list[str], models: dict[str, str], limit: int = TOP_COMBINED) -> DataFrame:
     """One row per top factor of the merged list."""
     rows = _ranked_rows(df, keep, "sum_", limit, {
         "contribution": _feature_array("sum_contribution_{}"), "impact_percent": _feature_array("sum_impact_{}"),
-        "sources": _feature_array("sources_{}"),
+        "sources": _feature_array("sum_models_{}"),
     })
     return rows.withColumns({
-        "contribution": round_to_grid(C("contribution"), 6), "impact_percent": round_to_grid(C("impact_percent"), 2)})
+        "contribution": round_to_grid(C("contribution"), 6), "impact_percent": round_to_grid(C("impact_percent"), 2),
+        "sources": _source_names(models)})
 
 
-def merged_rows(df: DataFrame, keep: list[str]) -> DataFrame:
+def merged_rows(df: DataFrame, keep: list[str], models: dict[str, str]) -> DataFrame:
     """Every feature listed by any model, with its sums and sources."""
-    return df.select(*keep, F.inline(F.array(*[
+    rows = df.select(*keep, F.inline(F.array(*[
         F.struct(
-            F.lit(name).alias("feature"),
-            round_to_grid(C(f"sum_contribution_{name}"), 6).alias("contribution"),
-            round_to_grid(C(f"sum_impact_{name}"), 2).alias("impact_percent"),
-            C(f"sources_{name}").alias("sources"),
-        ) for name in contract.FEATURES]))).filter(C("sources") != "")
+            F.lit(name).alias("feature"), C(f"sum_contribution_{name}").alias("contribution"),
+            C(f"sum_impact_{name}").alias("impact_percent"), C(f"sum_models_{name}").alias("sources"),
+        ) for name in contract.FEATURES]))).filter(C("sources") > 0)
+    return rows.withColumns({
+        "contribution": round_to_grid(C("contribution"), 6), "impact_percent": round_to_grid(C("impact_percent"), 2),
+        "sources": _source_names(models)})
 
 
 # -- tree ensembles ---------------------------------------------------------------

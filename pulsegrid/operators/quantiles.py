@@ -56,7 +56,7 @@ def _bucket_pass(df: DataFrame, open_searches: list[_Search]) -> None:
             F.lit(number).alias("span"), bucket.alias("bucket"), value.alias("value"))))
     running = Window.partitionBy("span").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     counted = (
-        df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+        df.select(F.explode(F.array(*entries)).alias("e")).filter(C("e").isNotNull()).select("e.*")
         .groupBy("span", "bucket")
         .agg(F.count(F.lit(1)).alias("rows"), F.min("value").alias("low"), F.max("value").alias("high"))
         .withColumn("before", F.coalesce(F.sum("rows").over(running), F.lit(0)))

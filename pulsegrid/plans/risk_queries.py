@@ -208,6 +208,7 @@ def top_factors(spark, sf_dir):
     return explanation.factor_rows(explained(spark, sf_dir, ["heart"]), ["resident_id"], "heart_")
 
 
+BOTH_MODELS = {"heart": "heart_", "stroke": "stroke_"}
 _MERGED = """
 merged AS (
   SELECT resident_id, feature, position, sum(contribution) AS c, sum(impact_percent) AS i,
@@ -220,8 +221,8 @@ merged AS (
 @query("j04_merged_factors", with_parts([*_EXPLAIN_PARTS, _MERGED], f"""
 SELECT resident_id, feature, {fixed('c', 6)} AS contribution, {fixed('i', 2)} AS impact_percent, sources FROM merged"""))
 def merged_factors(spark, sf_dir):
-    merged = explanation.combine_models(explained(spark, sf_dir), {"heart": "heart_", "stroke": "stroke_"})
-    return explanation.merged_rows(merged, ["resident_id"])
+    merged = explanation.combine_models(explained(spark, sf_dir), BOTH_MODELS)
+    return explanation.merged_rows(merged, ["resident_id"], BOTH_MODELS)
 
 
 @query("w03_combined_factors", with_parts([*_EXPLAIN_PARTS, _MERGED], f"""
@@ -230,8 +231,8 @@ SELECT resident_id, CAST(place AS INTEGER) AS place, CASE WHEN c > 0 THEN 'incre
 FROM (SELECT *, row_number() OVER (PARTITION BY resident_id, c > 0 ORDER BY abs(c) DESC, position) AS place
   FROM merged WHERE c <> 0) q WHERE place <= 4"""))
 def combined_factors(spark, sf_dir):
-    merged = explanation.combine_models(explained(spark, sf_dir), {"heart": "heart_", "stroke": "stroke_"})
-    return explanation.combined_rows(merged, ["resident_id"])
+    merged = explanation.combine_models(explained(spark, sf_dir), BOTH_MODELS)
+    return explanation.combined_rows(merged, ["resident_id"], BOTH_MODELS)
 
 
 # -- everything about one record ------------------------------------------------------
