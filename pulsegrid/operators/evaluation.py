@@ -127,10 +127,9 @@ def decision_threshold(points: DataFrame, minimum_recall: float = contract.STROK
 
     Of equal precisions the lowest score wins; without a candidate it is 0.5.
     """
-    totals = points.agg(F.sum("pos").alias("positives"))
-    curve = running_totals(points).withColumn("one", F.lit(1)).join(
-        F.broadcast(totals.withColumn("one", F.lit(1))), "one")
-    allowed = curve.filter(C("tp").cast("double") / C("positives") >= minimum_recall)
+    positives = points.agg(F.sum("pos").alias("n")).first().n or 0
+    curve = running_totals(points)
+    allowed = curve.filter(C("tp").cast("double") / F.nullif(F.lit(positives), F.lit(0)) >= minimum_recall)
     precision = C("tp").cast("double") / (C("tp") + C("fp")).cast("double")
     best = allowed.agg(F.max_by("score", F.struct(precision, -C("score"))).alias("found"))
     return best.select(F.coalesce("found", F.lit(0.5)).alias("threshold"))
@@ -139,10 +138,8 @@ def decision_threshold(points: DataFrame, minimum_recall: float = contract.STROK
 def evaluate(df: DataFrame, label: str, predicted: str, probability: str) -> DataFrame:
     """One row with every measure."""
     points = durable(score_points(df, label, probability), "score-points")
-    one = F.lit(1)
-    return (
-        confusion(df, label, predicted).withColumn("one", one)
-        .join(brier(df, label, probability).withColumn("one", one), "one")
-        .join(ranking_measures(points).withColumn("one", one), "one")
-        .drop("one")
-    )
+    ranking = ranking_measures(points).first()
+    roc_auc = F.lit(ranking.roc_auc).cast("double")
+    measured = confusion(df, label, predicted).withColumn("pr_auc", F.lit(ranking.pr_auc))
+    score = brier(df, label, probability).first().brier_score
+    return measured.withColumns({"roc_auc": roc_auc, "brier_score": F.lit(score).cast("double")})

@@ -27,19 +27,23 @@ def coverage(df: DataFrame) -> DataFrame:
     places = df.groupBy("region", "district").agg(F.count(F.lit(1)).alias("n"))
     found = places.agg(
         F.count_distinct("district").alias("districts"),
-        F.count_distinct("region").alias("cities"),
         F.min("district").alias("first_district"),
         F.min("region").alias("first_city"),
+        F.max("region").alias("last_city"),
     )
-    many = C("districts") > 1
-    mapped = many & (C("cities") == 1) & (C("first_city") == MAP_CITY)
-    return found.select(
-        F.when(many, "district").otherwise("table").alias("coverage_level"),
-        F.when(~many, C("first_district")).when(C("cities") == 1, C("first_city"))
-        .otherwise("multiple").alias("coverage_name"),
-        F.coalesce(mapped, F.lit(False)).alias("map_available"),
-        F.when(mapped, MAP_NAME).alias("map_name"),
-    )
+    return found.select(*[value.alias(name) for name, value in _coverage_columns().items()])
+
+
+def _coverage_columns() -> dict[str, Column]:
+    """Coverage from the number of districts and the first and last names."""
+    many, one_city = C("districts") > 1, C("first_city") == C("last_city")
+    mapped = many & one_city & (C("first_city") == MAP_CITY)
+    return {
+        "coverage_level": F.when(many, "district").otherwise("table"),
+        "coverage_name": F.when(~many, C("first_district")).when(one_city, C("first_city")).otherwise("multiple"),
+        "map_available": F.coalesce(mapped, F.lit(False)),
+        "map_name": F.when(mapped, MAP_NAME),
+    }
 
 
 def _number_or_null(df: DataFrame, name: str) -> Column:
@@ -128,22 +132,29 @@ def region_report(df: DataFrame, keys: list[str], minimum: int = contract.MIN_GR
 def population_summary(df: DataFrame, metadata: dict[str, str], minimum: int = contract.MIN_GROUP_SIZE) -> DataFrame:
     """One row per population: totals, coverage and the list of region rows.
 
-    The region list has one entry per district, a bounded set of places.
+    The data is aggregated once, by city and district; totals, coverage and the
+    list all come from that small table. The list has one entry per district.
     """
-    counters = region_counters(df, ["district"])
-    totals = region_rates(merge_counters(counters, [])).select(
+    by_place = region_counters(df, ["region", "district"])
+    by_district = by_place.groupBy("district").agg(
+        F.min("region").alias("first_city"), F.max("region").alias("last_city"),
+        *[F.sum(name).alias(name) for name in COUNTERS])
+    shown = {name: F.when(C("residents") >= minimum, C(name)) for name in HIDDEN}
+    entry = F.struct(
+        C("district").alias("region"), *[value.alias(name) for name, value in shown.items()],
+        (C("residents") < minimum).alias("suppressed"))
+    single = region_rates(by_district).agg(
+        F.sort_array(F.collect_list(entry)).alias("region_analysis"),
+        F.count("district").alias("districts"), F.min("district").alias("first_district"),
+        F.min("first_city").alias("first_city"), F.max("last_city").alias("last_city"),
+        *[F.sum(name).alias(name) for name in COUNTERS],
+    )
+    return region_rates(single).select(
         C("residents").alias("total_residents"),
         C("heart_rate").alias("heart_risk_rate"),
         C("stroke_rate").alias("stroke_risk_rate"),
         "comorbidity_rate", "risk_metric_source",
+        *[value.alias(name) for name, value in _coverage_columns().items()],
+        "region_analysis",
+        *[F.lit(value).alias(name) for name, value in metadata.items()],
     )
-    rows = suppress_small(region_rates(counters).select(C("district").alias("region"), *HIDDEN), minimum)
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("region", *HIDDEN, "suppressed"))).alias("region_analysis"))
-    single = F.lit(1)
-    joined = (
-        totals.withColumn("one", single)
-        .join(coverage(df).withColumn("one", single), "one")
-        .join(listed.withColumn("one", single), "one")
-        .drop("one")
-    )
-    return joined.withColumns({name: F.lit(value) for name, value in metadata.items()})

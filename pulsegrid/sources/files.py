@@ -88,9 +88,8 @@ def merge_files(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
 
 def preview(df: DataFrame, key: str, rows: int = 5) -> DataFrame:
     """First rows by key with the shape of the whole table beside them."""
-    total = df.agg(F.count(F.lit(1)).alias("table_rows")).withColumn("one", F.lit(1))
-    first = df.orderBy(key).limit(rows).withColumn("one", F.lit(1))
-    return first.join(total, "one").drop("one").withColumn("table_columns", F.lit(len(df.columns)))
+    shape = {"table_rows": F.lit(df.count()).cast("bigint"), "table_columns": F.lit(len(df.columns))}
+    return df.orderBy(key).limit(rows).withColumns(shape)
 
 
 def profile(df: DataFrame) -> DataFrame:
