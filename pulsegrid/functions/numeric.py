@@ -68,7 +68,3 @@ def count_if(condition: Column) -> Column:
 def add_all(columns: list[Column]) -> Column:
     """Left-to-right sum."""
     return reduce(lambda a, b: a + b, columns)
-
-
-def sigmoid(column: Column) -> Column:
-    return F.lit(1.0) / (F.lit(1.0) + F.exp(-column))

@@ -82,6 +82,8 @@ def values_at_ranks(df: DataFrame, ranks: dict[str, list[int]], bounds: dict | N
     searches = []
     for name, wanted in ranks.items():
         low, high, rows = bounds[name]
+        if rows and math.isinf(high - low):
+            raise ValueError(f"{name} spans an infinite range")
         for rank in sorted(set(wanted)):
             search = _Search(name, rank, low, high, rank)
             search.settle(low, high, rows, rank)

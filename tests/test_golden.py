@@ -256,3 +256,30 @@ def test_bad_csv_rows_are_kept(spark, tmp_path):
     schema = T.StructType([T.StructField("age", T.IntegerType()), T.StructField("district", T.StringType())])
     found = files.read_csv(spark, str(path), schema, keep_bad_rows=True).collect()
     assert [(r.age, r[files.BAD_ROW]) for r in found] == [(70, None), (None, "xx,b")]
+
+
+def test_layered_chain(spark, tmp_path):
+    from pulsegrid import layers
+
+    header = "resident_id;region;district;age_group;" + ";".join(contract.FEATURES) + ";target_disease;extra"
+    lines = [
+        "1;成都市;武侯区;60-74;70;1;31.239;3;1;1;2;0;0;1;x", "2;成都市;武侯区;60-74;66;0;;9;0;1;7;0;1;2.0;y",
+        "3;成都市;青羊区;40-59;-1;5;22.5;1;0;0;0;1;1;0;z", "4;成都市;青羊区;60-74;68;0;24.1;2;0;0;0;1;1;0;z",
+    ]
+    source = tmp_path / "in.csv"
+    source.write_text("\n".join([header, *lines]), encoding="utf-8")
+    dwd, dws, ads, todo = (str(tmp_path / name) for name in ("dwd", "dws", "ads", "todo"))
+    layers.clean_layer(spark, str(source), dwd, ";")
+    rows = {r.resident_id: r for r in files.read_layer(spark, dwd).collect()}
+    assert len(rows) == 4 and "extra" not in files.read_layer(spark, dwd).columns
+    assert (rows["2"].label_heart, rows["2"].label_stroke, rows["2"].cholesterol, rows["2"].smoker) == (0, 1, None, None)
+    assert (rows["3"].age, rows["3"].gender) == (None, None)
+    layers.feature_layer(spark, dwd, dws)
+    filled = {r.resident_id: r for r in files.read_layer(spark, dws).collect()}
+    assert (filled["1"].bmi, filled["2"].bmi, filled["3"].age, filled["2"].cholesterol) == (31.24, 24.1, 68, 2)
+    layers.population_layer(spark, dws, ads)
+    report = {r.district: r for r in spark.read.option("header", True).csv(f"{ads}/district").collect()}
+    assert (report["武侯区"].residents, report["武侯区"].heart_risk_rate) == ("2", "0.5")
+    layers.screening_layer(spark, dws, todo)
+    assert [r.resident_id for r in spark.read.option("header", True).csv(todo).collect()] == ["1", "2"]
+    assert layers.training_input(spark, dwd).count() == 4
