@@ -3,17 +3,18 @@
 1. Documents with the same shingle set form a class; only one of each class, its
    representative, goes on. Copies are merged before anything is shuffled twice.
 2. In each of several independent trees a representative goes to the child named
-   by its minwise token. A node of few documents is compared exhaustively. A
-   larger node compares its documents with two pivots and branches again: by one
-   minwise token, drawn from the node's path, and with probability 1/3 by a
-   second, so that a pair at the limit of similarity keeps, on average, one
-   common path. A node whose documents are already linked to one another is done.
+   by its minwise token. The documents of a node that are not yet linked with its
+   largest component are its open ones; a node with few is compared exhaustively,
+   its open documents with all others of the node. In a larger node documents are
+   compared with two pivots, and it branches again: by one minwise token, drawn
+   from the node's path, and with probability 1/3 by a second, so that a pair at
+   the limit of similarity keeps, on average, one common path.
 3. Pairs pass a sketch of 64 bytes (a pair at the limit fails it with probability
    below 1e-5) and are confirmed on their full sets of 64-bit shingle hashes.
 4. Links are contracted to components by alternating large and small stars.
 
-Nothing is capped: nodes branch until they are small or done; nodes that do not
-get small in MAX_LEVELS levels are compared exhaustively. What is kept between
+Nothing is capped: nodes branch until few documents are open; nodes that have
+more after MAX_LEVELS levels are compared exhaustively. What is kept between
 steps are tables in the shared folder.
 
 Rows that repeat a doc_id are one document (the smaller set of shingles of its
@@ -47,13 +48,13 @@ _KEYS = textblocks.mix(np.arange(1, 2 * FUNCTIONS + 1, dtype=np.uint64) * np.uin
 @dataclass(frozen=True)
 class Settings:
     """words: per shingle; percent: least similarity; recall: that the trees reach for a pair at the limit that needs
-    ``depth`` levels; node: documents compared exhaustively; least_sketch: share of equal sketch bytes a pair needs."""
+    ``depth`` levels; node: open documents of a node that is compared exhaustively; least_sketch: share of equal sketch bytes a pair needs."""
 
     words: int = 5
     percent: int = 75
     recall: float = 0.999
     depth: int = 3
-    node: int = 40
+    node: int = 32
     least_sketch: float = 0.5
 
     @property
@@ -115,7 +116,7 @@ def sets_of(documents: DataFrame, ids: DataFrame, settings: Settings) -> DataFra
 
 
 def _alike(pairs: DataFrame, settings: Settings) -> DataFrame:
-    """Pairs (a, b) whose sizes allow the similarity and whose sketches agree enough."""
+    """Distinct pairs (a, b) whose sketches agree enough."""
 
     def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,33 +126,33 @@ def _alike(pairs: DataFrame, settings: Settings) -> DataFrame:
             good = pa.array((one == two).mean(1) >= settings.least_sketch)
             yield pa.RecordBatch.from_arrays([batch["a"].filter(good), batch["b"].filter(good)], names=["a", "b"])
 
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * settings.percent
-    return pairs.filter(fits).select("a", "b", "sketch_a", "sketch_b").mapInArrow(agree, "a long, b long").distinct()
+    return pairs.mapInArrow(agree, "a long, b long").distinct()
 
 
-def _ordered(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
-    """Pairs of rows of one node, the smaller id first."""
-    one = left.select(on, *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "sketch", "part")])
-    two = right.select(on, *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "sketch", "part")])
-    return one.join(two, on).filter(F.col("part_a") != F.col("part_b"))
+def _joined(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents of one node that are not in one component and whose sizes allow the similarity; ``open_a`` and ``open_b`` say which are open."""
+    columns = ("id", "n", "sketch", "part", "open")
+    one = left.select("node", *[F.col(c).alias(f"{c}_a") for c in columns])
+    two = right.select("node", *[F.col(c).alias(f"{c}_b") for c in columns])
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
+    return one.join(two, (one["node"] == two["node"]) & (F.col("part_a") != F.col("part_b")) & fits).drop("node")
 
 
 def _pairs(frontier: DataFrame, limit: int, settings: Settings) -> DataFrame:
-    """Candidates of one level, from nodes of at most ``limit`` documents and from the pivots of larger ones.
-
-    ``part`` is a document's component so far; pairs inside one are not needed.
-    """
-    small = frontier.filter(F.col("size") <= limit)
-    names = [F.col("id_a").alias("a"), F.col("id_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b"]
-    near = _ordered(small, small, "node").filter(F.col("id_a") < F.col("id_b")).select(*names)
-    large = frontier.filter(F.col("size") > limit)
-    row = F.struct("id", "n", "sketch", "part")
+    """Candidates of one level, from nodes of at most ``limit`` open documents and from the pivots of larger ones."""
+    ready = frontier.filter(F.col("opens") <= limit)
+    once = ~F.col("open_b") | (F.col("id_a") < F.col("id_b"))
+    near = _joined(ready.filter("open"), ready, settings.percent).filter(once)
+    large = frontier.filter(F.col("opens") > limit)
+    row = F.struct("id", "n", "sketch", "part", "open")
     pivot = large.groupBy("node").agg(*[F.min_by(row, F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(2)])
     pivot = pivot.select("node", F.explode_outer(F.array("p0", "p1")).alias("p")).select("node", "p.*")
-    stars = _ordered(pivot, large, "node").select(
-        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"), "n_a", "n_b", "sketch_a", "sketch_b",
-    )
-    return _alike(near.unionByName(stars), settings)
+    stars = _joined(pivot, large, settings.percent)
+    return _alike(near.unionByName(stars).select(
+        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"),
+        F.when(F.col("id_a") < F.col("id_b"), F.col("sketch_a")).otherwise(F.col("sketch_b")).alias("sketch_a"),
+        F.when(F.col("id_a") < F.col("id_b"), F.col("sketch_b")).otherwise(F.col("sketch_a")).alias("sketch_b"),
+    ), settings)
 
 
 def confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
@@ -175,11 +176,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id, the root being the least id of its component.
 
-    Alternating stars: each id points all larger neighbours to its least neighbour, then all smaller ones. Stops when a
-    round changes nothing.
+    Alternating stars: each id points all larger neighbours to its least neighbour, then all smaller ones. Done when no
+    root is itself pointed elsewhere.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    before = None
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -188,31 +188,43 @@ def components(links: DataFrame) -> DataFrame:
         kept = large.join(least, "u")
         small = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
         edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == before:
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(
-                edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-            )
-        before = state
-
-
-def _sized(rows: DataFrame) -> DataFrame:
-    """Rows of nodes with two documents or more, with the node's size."""
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).filter(F.col("size") > 1)
-    return rows.join(sizes, "node")
+        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            own = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
+            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(own)
+
+
+def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` after more links: these join components, so only the links between different ones are followed."""
+    one = roots.select(F.col("id").alias("a"), F.col("root").alias("root_a"))
+    two = roots.select(F.col("id").alias("b"), F.col("root").alias("root_b"))
+    between = links.join(one, "a", "left").join(two, "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    between = durable(between.filter(F.col("a") != F.col("b")).distinct(), "between")
+    if between.isEmpty():
+        return roots
+    merged = components(between).select(F.col("id").alias("root"), F.col("root").alias("_root"))
+    old = roots.join(merged, "root", "left").select("id", F.coalesce("_root", "root").alias("root"))
+    new = merged.select(F.col("root").alias("id"), F.col("_root").alias("root")).join(roots.select("id"), "id", "left_anti")
+    return durable(old.unionByName(new), "roots")
+
+
+def _opened(rows: DataFrame) -> DataFrame:
+    """Rows of nodes of more than one component: which are open, and how many of the node are."""
+    parts = rows.groupBy("node", "part").agg(F.count("*").alias("of_part"))
+    largest = F.max(F.struct("of_part", F.col("part").alias("main")))
+    nodes = parts.groupBy("node").agg(largest.alias("m"), F.sum("of_part").alias("size"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
+    nodes = nodes.select("node", F.col("m")["main"].alias("main"), (F.col("size") - F.col("m")["of_part"]).alias("opens"))
+    return rows.join(nodes, "node").withColumn("open", F.col("part") != F.col("main")).drop("main")
 
 
 def _branch(frontier: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Children of large nodes that hold documents of more than one component."""
-    large = frontier.filter(F.col("size") > settings.node).drop("part")
-    large = large.join(roots.select("id", "root"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root", "size")
-    mixed = large.groupBy("node").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter(F.col("low") != F.col("high"))
-    large = large.join(mixed.select("node"), "node")
+    """Children of the nodes with many open documents."""
+    large = frontier.filter(F.col("opens") > settings.node).select("node", "id", "n", "sketch")
     draw = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n)).cast("int")
     choice = F.when(draw("more", 3) == 0, F.array(draw("one", FUNCTIONS), draw("two", FUNCTIONS))).otherwise(F.array(draw("one", FUNCTIONS)))
     child = large.withColumn("choice", F.explode_outer(F.array_distinct(choice)))
     child = child.withColumn("node", F.xxhash64("node", "choice", F.substring("sketch", F.col("choice") + 1, F.lit(1)))).drop("choice")
-    return _sized(child.select("node", "id", "n", "sketch", "part"))
+    child = child.join(roots, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    return _opened(child)
 
 
 def link(documents: DataFrame, sketched: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
@@ -224,7 +236,7 @@ def link(documents: DataFrame, sketched: DataFrame, settings: Settings = Setting
     )
     rows = classes.select(F.posexplode_outer("tokens").alias("tree", "token"), "id", "n", "sketch")
     rows = rows.select(F.xxhash64("tree", "token").alias("node"), "id", "n", "sketch", F.col("id").alias("part"))
-    frontier = durable(_sized(rows), "paths")
+    frontier = durable(_opened(rows), "paths")
     found: list[DataFrame] = []
     sets: list[DataFrame] = []
     roots = spark.createDataFrame([], "id long, root long")
@@ -240,8 +252,8 @@ def link(documents: DataFrame, sketched: DataFrame, settings: Settings = Setting
             sets.append(durable(sets_of(documents, ids, settings), "sets"))
         if sets and not pairs.isEmpty():
             found.append(durable(confirm(pairs, reduce(DataFrame.unionByName, sets), settings), "links"))
-            roots = components(reduce(DataFrame.unionByName, found))
-        if level >= MAX_LEVELS or frontier.filter(F.col("size") > limit).isEmpty():
+            roots = contracted(roots, found[-1])
+        if level >= MAX_LEVELS or frontier.filter(F.col("opens") > limit).isEmpty():
             break
         frontier = durable(_branch(frontier, roots, settings), "paths")
         level += 1
