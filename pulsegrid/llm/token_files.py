@@ -18,6 +18,7 @@ from __future__ import annotations
 import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +35,8 @@ from pulsegrid.session import durable, shared_path
 SEQUENCE = 2048
 ROWS_PER_BATCH = 64
 END_ID = 0
-#: Encoded pieces a worker remembers; when full it starts anew.
-REMEMBERED = 400_000
+#: Encoded pieces a worker remembers (about 200 bytes each); later ones are encoded whenever they occur.
+REMEMBERED = 1_200_000
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -62,18 +63,21 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _pieces(self, distinct: list[str]) -> list[bytes]:
-        new = [p for p in distinct if p not in self.known]
-        if new:
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = distinct
-            for piece, code in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(code.ids, self.dtype).tobytes()
-        return [self.known[p] for p in distinct]
+        found = [*map(self.known.get, distinct)]
+        missing = [i for i, code in enumerate(found) if code is None]
+        if missing:
+            new = [distinct[i] for i in missing]
+            room = REMEMBERED - len(self.known)
+            for i, piece, code in zip(missing, new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+                found[i] = array(self.dtype.char, code.ids).tobytes()
+                if room > 0:
+                    self.known[piece] = found[i]
+                    room -= 1
+        return found
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For blocks of rows: the first row, all ids with END_ID after each row, and the rows' lengths."""
-        for first, data, offsets in textblocks.blocks(texts):
+        for first, data, offsets in textblocks.blocks(texts, 8 << 20):
             cut = np.zeros(len(data) + 1, bool)
             if len(data):
                 cut[1:-1] = _WHITE[data[1:]] & ~_WHITE[data[:-1]] & ~_MAYBE_WHITE[data[:-1]]
