@@ -39,8 +39,12 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; every reported secret is replaced by a mark, and n_chars follows the text."""
-    clean = secrets.redact(secrets.scan(docs))
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    scanned = secrets.scan(docs.select(F.struct(*docs.columns).alias("_row"), "text"))
+    clean = secrets.redact(scanned)
+    changed = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return clean.select(*[changed.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

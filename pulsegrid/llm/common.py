@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Bytes between words, as a Java character class: blank, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"[\x20\x09-\x0D]"
@@ -34,3 +35,14 @@ def semi_join(rows: DataFrame, keys: DataFrame, key: str, anti: bool = False) ->
     if keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS:
         keys = F.broadcast(keys)
     return rows.join(keys, key, "left_anti" if anti else "left_semi")
+
+
+def first_by_hash(rows: DataFrame, group: str, count: int, parts: int = 64) -> DataFrame:
+    """The ``count`` rows of each group that come first by a hash of doc_id; ties by doc_id.
+
+    Ranked in ``parts`` parts of the group first, so that no task gets a whole group.
+    """
+    for keys in ([group, F.pmod(F.xxhash64("doc_id"), F.lit(parts))], [group]):
+        order = Window.partitionBy(*keys).orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id")
+        rows = rows.withColumn("_rank", F.row_number().over(order)).filter(F.col("_rank") <= count).drop("_rank")
+    return rows

@@ -186,7 +186,8 @@ def matches(hashes: np.ndarray, rows: np.ndarray, items: Index, settings: Settin
         middle = place + len(item) // 2
         if any(a <= middle < b for a, b in covered[r, i]):
             continue
-        low, high = max(0, place - allowed), min(len(text), place + len(item) + allowed)
+        reach = 2 * allowed + 2  # the place may be off by the edits before the segment, the passage by those after it
+        low, high = max(0, place - reach), min(len(text), place + len(item) + reach)
         distance, start, end = best_passage(item, text[low:high])
         if distance <= allowed:
             covered[r, i].append((low + start, low + end))

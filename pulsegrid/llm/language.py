@@ -23,7 +23,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from pulsegrid.llm.common import first_by_hash
 
 LETTER = re.compile(r"[^\W\d_]")
 
@@ -63,8 +64,7 @@ def fit(documents: DataFrame, settings: Settings = Settings()) -> dict[str, byte
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(settings.languages + 1).collect()}
     if len(counts) > settings.languages:
         raise ValueError(f"more than {settings.languages} languages")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.sample_docs)
+    chosen = first_by_hash(rows.select("doc_id", "lang"), "lang", settings.sample_docs)
     ids = sorted({r["doc_id"] for r in chosen.collect()})
     texts: dict[str, list[tuple[int, str]]] = {n: [] for n in counts}
     if ids:

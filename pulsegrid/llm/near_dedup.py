@@ -6,9 +6,9 @@
    by its minwise token. The documents of a node that are not yet linked with its
    largest component are its open ones; a node with few is compared exhaustively,
    its open documents with all others of the node. In a larger node documents are
-   compared with two pivots, and it branches again: by one minwise token, drawn
-   from the node's path, and with probability 1/3 by a second, so that a pair at
-   the limit of similarity keeps, on average, one common path.
+   compared with two pivots, and it branches again: by two minwise tokens, drawn
+   from the node's path, and with probability 3/4 by two others as well, so that a
+   pair at the limit of similarity keeps, on average, one common path.
 3. Pairs pass a sketch of 64 bytes (a pair at the limit fails it with probability
    below 1e-5) and are confirmed on their full sets of 64-bit shingle hashes.
 4. Links are contracted to components by alternating large and small stars.
@@ -220,9 +220,11 @@ def _branch(frontier: DataFrame, roots: DataFrame, settings: Settings) -> DataFr
     """Children of the nodes with many open documents."""
     large = frontier.filter(F.col("opens") > settings.node).select("node", "id", "n", "sketch")
     draw = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n)).cast("int")
-    choice = F.when(draw("more", 3) == 0, F.array(draw("one", FUNCTIONS), draw("two", FUNCTIONS))).otherwise(F.array(draw("one", FUNCTIONS)))
-    child = large.withColumn("choice", F.explode_outer(F.array_distinct(choice)))
-    child = child.withColumn("node", F.xxhash64("node", "choice", F.substring("sketch", F.col("choice") + 1, F.lit(1)))).drop("choice")
+    pair = lambda salt: F.struct(draw(f"{salt}-1", FUNCTIONS).alias("one"), draw(f"{salt}-2", FUNCTIONS).alias("two"))
+    choice = F.when(draw("more", 4) == 0, F.array(pair("a"))).otherwise(F.array(pair("a"), pair("b")))
+    child = large.withColumn("choice", F.explode_outer(choice))
+    token = lambda name: F.substring("sketch", F.col("choice")[name] + 1, F.lit(1))
+    child = child.withColumn("node", F.xxhash64("node", "choice", token("one"), token("two"))).drop("choice")
     child = child.join(roots, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
     return _opened(child)
 

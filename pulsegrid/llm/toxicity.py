@@ -9,8 +9,8 @@ could reach at most, so long strings do not win by length.
 Strings are the words of a sentence, a run of single characters counting as one
 word. The score of a sentence is that of its worst word, that of a document the
 score of its worst sentence. Only the document is labelled: every sentence of a
-clean document is clean, and of a toxic one the word that looks worst counts as
-the toxic one; which word that is is decided anew after each fit.
+clean document is clean, and of a toxic one the words that look toxic count as
+toxic; which words these are is decided anew after each fit.
 
 Landmarks are words of the training sentences: those that set toxic from clean
 documents apart, and frequent clean ones. On the Nystroem features of a word a
@@ -33,9 +33,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pulsegrid.llm import textblocks
+from pulsegrid.llm.common import first_by_hash
 
 #: Codes: 0 no letter, 1-26 a-z, 27 bytes of other letters.
 CODE = np.zeros(256, np.uint8)
@@ -183,8 +183,7 @@ def sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> tuple
     """Texts and labels to learn from: the first of either label by a hash of the id, none of them held out."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= settings.sample_docs)
+    chosen = first_by_hash(known, "toxic", settings.sample_docs)
     wanted = {r["doc_id"]: r["toxic"] for r in chosen.select("doc_id", "toxic").collect()}
     if not wanted:
         return [], np.zeros(0, int)
@@ -246,8 +245,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     weights, bias = np.zeros(project.shape[1]), 0.0
     active = np.arange(len(clean)) % 4 == 0
     for _ in range(settings.rounds):
-        witness = np.array([m[np.argmax(guess[m])] for m in members], int)
-        witness = witness[guess[witness] >= least]  # a toxic document without any such word teaches nothing
+        witness = np.concatenate([m[guess[m] >= least] for m in members])  # a toxic document without such a word teaches nothing
         if not len(witness):
             break
         x = np.vstack([clean_x[active], pool_x[witness]])
