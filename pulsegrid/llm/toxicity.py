@@ -52,13 +52,13 @@ class Settings:
     toxic ones have at least the share ``least_strength`` of the strongest one's strength. A toxic document whose words are all
     less than ``least_likeness`` like a toxic landmark is left out of the first fit."""
 
-    sample_docs: int = 1500
-    sample_bytes: int = 20_000
+    sample_docs: int = 800
+    sample_bytes: int = 10_000
     landmarks: int = 64
     gap: int = 2
     decay: float = 0.6
     longest_word: int = 60
-    clean_words: int = 24_000
+    clean_words: int = 16_000
     least_strength: float = 0.2
     least_likeness: float = 0.6
     rounds: int = 5
@@ -222,20 +222,26 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         return None
     good, bad = split_words(bags, toxic)
     ranked = sorted(bad, key=lambda w: (-bad[w], w))
+    if not ranked:
+        return None
     bad_words = [w for w in ranked if bad[w] >= settings.least_strength * bad[ranked[0]]][: settings.landmarks]
     clean_words = [w for w in good if w not in bad][: settings.landmarks]
     landmarks = tables(bad_words + clean_words, settings)
     values, vectors = np.linalg.eigh(kernel(bad_words + clean_words, landmarks, settings).astype(float))
     keep = values > 1e-6
-    project = vectors[:, keep] / np.sqrt(values[keep])  # kernel values -> Nystroem features
+    project = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # kernel values -> Nystroem features
 
     clean = [w for w in good if w not in bad]
     rest = clean[settings.clean_words // 2 :]
     rest = [rest[i] for i in np.random.default_rng(0).permutation(len(rest))[: settings.clean_words // 2]]
     clean = clean[: settings.clean_words // 2] + rest
-    groups = [{w for s in b for w in s if w in bad} for b, y in zip(bags, toxic, strict=True) if y]
-    pool = sorted(bad)
-    if not clean or not pool or not bad_words:
+    # a word with next to no likeness to a toxic landmark is never taken for a toxic one, so its features are not kept
+    ranked.sort()
+    near = [np.flatnonzero(kernel(ranked[i : i + 5000], landmarks[: len(bad_words)], settings).max(1) >= 0.3) + i for i in range(0, len(ranked), 5000)]
+    pool = [ranked[i] for part in near for i in part]
+    known_pool = set(pool)
+    groups = [{w for s in b for w in s} & known_pool for b, y in zip(bags, toxic, strict=True) if y]
+    if not clean or not pool:
         return None
     place = {w: i for i, w in enumerate(pool)}
     members = [np.array(sorted(place[w] for w in g), int) for g in groups if g]
