@@ -45,6 +45,11 @@ def mask_frame(df: DataFrame) -> DataFrame:
     return df.withColumns({name: rule(C(name)) for name, rule in rules.items() if name in df.columns})
 
 
+def stripped(column: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(column, r"^\s+|\s+$", "")
+
+
 def keyed_pseudonym(column: Column, key: bytes) -> Column:
     """HMAC-SHA256 as 64 hex characters, built from ``sha2`` only.
 
@@ -54,12 +59,12 @@ def keyed_pseudonym(column: Column, key: bytes) -> Column:
     padded = short.ljust(HASH_BLOCK, b"\0")
     inner_pad = F.lit(bytes(b ^ 0x36 for b in padded))
     outer_pad = F.lit(bytes(b ^ 0x5C for b in padded))
-    inner = F.sha2(F.concat(inner_pad, F.encode(F.trim(column), "UTF-8")), 256)
+    inner = F.sha2(F.concat(inner_pad, F.encode(stripped(column), "UTF-8")), 256)
     return F.sha2(F.concat(outer_pad, F.unhex(inner)), 256)
 
 
 def is_client_id(column: Column) -> Column:
-    return F.coalesce(F.length(F.trim(column)).between(MIN_ID_LENGTH, MAX_ID_LENGTH), F.lit(False))
+    return F.coalesce(F.length(stripped(column)).between(MIN_ID_LENGTH, MAX_ID_LENGTH), F.lit(False))
 
 
 def canonical_json(df: DataFrame, names: list[str]) -> Column:

@@ -283,3 +283,9 @@ def test_layered_chain(spark, tmp_path):
     layers.screening_layer(spark, dws, todo)
     assert [r.resident_id for r in spark.read.option("header", True).csv(todo).collect()] == ["1", "2"]
     assert layers.training_input(spark, dwd).count() == 4
+
+
+def test_pseudonym_ignores_white_space_of_any_kind(spark):
+    rows = spark.createDataFrame([("client-0001",), ("client-0001\t",), (" client-0001\n",)], "client string")
+    made = rows.select(privacy.keyed_pseudonym(F.col("client"), b"key").alias("p"), privacy.is_client_id(F.col("client")).alias("ok")).collect()
+    assert len({r.p for r in made}) == 1 and all(r.ok for r in made)
