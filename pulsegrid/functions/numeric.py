@@ -8,11 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPLITTER = float(2 ** 27 + 1)
+#: Decimal numbers with an optional exponent, and the names of the special values.
+DECIMAL = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*$"
 
 
 def to_number(column: Column) -> Column:
-    """Cast to double; text that is no number becomes null."""
-    return column.try_cast("double")
+    """Cast to double; text that is no decimal number becomes null.
+
+    The form is checked first, because the JVM also reads ``45d`` and ``0x1p3``.
+    """
+    return F.when(column.cast("string").rlike(DECIMAL), column.try_cast("double"))
 
 
 def is_finite(column: Column) -> Column:

@@ -38,10 +38,12 @@ def new_records(df: DataFrame, key: bytes, knowledge_version: str) -> DataFrame:
 
 def record_summary(records: DataFrame) -> DataFrame:
     """What a client may see: no hash, no input."""
+    level = F.coalesce("risk_level_code", F.lit(1))
     return records.withColumns({
         "heart_probability": F.coalesce("heart_probability", F.lit(0.0)),
         "stroke_probability": F.coalesce("stroke_probability", F.lit(0.0)),
-        "risk_level_code": F.coalesce("risk_level_code", F.lit(1)),
+        "risk_level_code": level,
+        "risk_level_name": F.coalesce("risk_level_name", grading.level_name(level)),
         "final_category": F.coalesce("final_category", F.lit(0)),
     }).select(*SUMMARY_COLUMNS)
 

@@ -66,7 +66,9 @@ def region_counters(df: DataFrame, keys: list[str]) -> DataFrame:
         count_if(heart == 1).alias("heart_positive"),
         count_if(stroke == 1).alias("stroke_positive"),
         count_if(comorbid_strict(heart, stroke)).alias("comorbidity"),
-        F.count(p_heart).alias("scored"),
+        F.count(p_heart).alias("heart_scored"),
+        F.count(p_stroke).alias("stroke_scored"),
+        count_if(p_heart.isNotNull() & p_stroke.isNotNull()).alias("both_scored"),
         count_if(p_heart >= cutoff).alias("heart_high"),
         count_if(p_stroke >= cutoff).alias("stroke_high"),
         count_if((p_heart >= cutoff) & (p_stroke >= cutoff)).alias("predicted_comorbidity"),
@@ -75,7 +77,7 @@ def region_counters(df: DataFrame, keys: list[str]) -> DataFrame:
 
 COUNTERS = [
     "residents", "heart_labelled", "stroke_labelled", "heart_positive", "stroke_positive", "comorbidity",
-    "scored", "heart_high", "stroke_high", "predicted_comorbidity",
+    "heart_scored", "stroke_scored", "both_scored", "heart_high", "stroke_high", "predicted_comorbidity",
 ]
 
 
@@ -86,20 +88,21 @@ def merge_counters(parts: DataFrame, keys: list[str]) -> DataFrame:
 def region_rates(counters: DataFrame) -> DataFrame:
     """Rates by group, from labels when the group has them, else from model scores.
 
-    A rate is never made up: without labels and scores it stays null.
+    A rate is never made up: without labels and scores it stays null. Each model
+    rate is a share of the residents that have the scores it is about.
     """
     labelled = (C("heart_labelled") > 0) & (C("stroke_labelled") > 0)
-    scored = C("scored") > 0
+    scored = (C("heart_scored") > 0) | (C("stroke_scored") > 0)
 
-    def rate(positive: str, known: str, high: str) -> Column:
-        part = F.when(labelled, C(positive)).when(scored, C(high))
-        return percent(part, F.when(labelled, C(known)).when(scored, C("scored")))
+    def rate(positive: str, known: str, high: str, scores: str) -> Column:
+        part = F.when(labelled, C(positive)).otherwise(C(high))
+        return percent(part, F.when(labelled, C(known)).otherwise(C(scores)))
 
     return counters.withColumns({
         "risk_metric_source": F.when(labelled, LABELS_SOURCE).when(scored, MODEL_SOURCE).otherwise(NO_SOURCE),
-        "heart_rate": rate("heart_positive", "heart_labelled", "heart_high"),
-        "stroke_rate": rate("stroke_positive", "stroke_labelled", "stroke_high"),
-        "comorbidity_rate": rate("comorbidity", "residents", "predicted_comorbidity"),
+        "heart_rate": rate("heart_positive", "heart_labelled", "heart_high", "heart_scored"),
+        "stroke_rate": rate("stroke_positive", "stroke_labelled", "stroke_high", "stroke_scored"),
+        "comorbidity_rate": rate("comorbidity", "residents", "predicted_comorbidity", "both_scored"),
     })
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsegrid import contract
-from pulsegrid.operators.quantiles import values_at_ranks
+from pulsegrid.session import durable
 
 C = F.col
 DIGITS = 4
@@ -173,13 +173,31 @@ def oversample(df: DataFrame, label: str, seed: int = contract.SEED) -> tuple[Da
 
 
 def positional_split(df: DataFrame, key: str, ratio: float = contract.TEST_RATIO) -> DataFrame:
-    """First part of the rows by key is ``train``, the rest ``test``."""
-    rows = df.count()
-    first = int(rows * (1 - ratio))
+    """First part of the rows by key is ``train``, the rest ``test``.
+
+    The key may be of any type that can be ordered and is compared as it is.
+    Rows without a key come last; rows that share the key at the cut stay
+    together in ``train``.
+    """
+    counts = durable(
+        df.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).repartitionByRange(C(key).asc_nulls_last())
+        .withColumn("part", F.spark_partition_id()), "key-counts")
+    parts = [(r.part, r.known, r.rows) for r in counts.groupBy("part").agg(
+        F.sum(F.when(C(key).isNotNull(), C("rows")).otherwise(0)).alias("known"), F.sum("rows").alias("rows"),
+    ).orderBy("part").collect()]
+    first = min(int(sum(rows for _, _, rows in parts) * (1 - ratio)), sum(known for _, known, _ in parts))
     if first == 0:
         return df.withColumn("split", F.lit("test"))
-    cutoff = values_at_ranks(df, {key: [first - 1]})[key][first - 1]
-    return df.withColumn("split", F.when(C(key).cast("double") <= cutoff, "train").otherwise("test"))
+    before = 0
+    for part, known, _ in parts:  # as many entries as the table has ranges
+        if before + known >= first:
+            break
+        before += known
+    upto = Window.partitionBy("part").orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
+    held = counts.filter((C("part") == part) & C(key).isNotNull()).withColumn("upto", F.sum("rows").over(upto))
+    cutoff = held.filter(C("upto") >= first - before).agg(F.min(key).alias(key)).first()[key]
+    at_most = F.coalesce(C(key) <= F.lit(cutoff), F.lit(False))
+    return df.withColumn("split", F.when(at_most, "train").otherwise("test"))
 
 
 def table_summary(df: DataFrame, key: str) -> DataFrame:

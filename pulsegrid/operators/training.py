@@ -26,8 +26,8 @@ BOOST_ROUNDS = 50
 BOOST_DEPTH = 4
 BOOST_STEP = 0.2
 DEFAULT_THRESHOLD = 0.5
-# Raw probabilities are kept to six decimals, so a calibration table never exceeds 10^6 + 1 scores.
-SCORE_DIGITS = 6
+# The calibrator is fitted on scores to six decimals, so its table never exceeds 10^6 + 1 rows; scored rows keep theirs whole.
+CALIBRATION_DIGITS = 6
 
 
 @dataclass
@@ -69,13 +69,12 @@ def assemble(df: DataFrame) -> DataFrame:
 def raw_probability(estimator, df: DataFrame) -> DataFrame:
     """Add ``raw_probability`` of the positive class."""
     scored = estimator.transform(assemble(df))
-    raw = F.round(vector_to_array("probability")[1], SCORE_DIGITS)
-    return scored.withColumn("raw_probability", raw).drop("features", "rawPrediction", "probability", "prediction")
+    return scored.withColumn("raw_probability", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def calibration_points(df: DataFrame, label: str, weight: str) -> DataFrame:
-    """Weighted mean label at each raw probability; this holds all that isotonic regression uses."""
-    return df.groupBy("raw_probability").agg(
+    """Weighted mean label at each raw probability, to CALIBRATION_DIGITS; this holds all that isotonic regression uses."""
+    return df.groupBy(F.round("raw_probability", CALIBRATION_DIGITS).alias("raw_probability")).agg(
         F.sum(weight).alias("weight"),
         (F.sum(C(weight) * C(label)) / F.sum(weight)).alias("mean_label"),
     )

@@ -23,7 +23,7 @@ def contract_columns(spark, sf_dir):
     """Presence of each wanted column and its number of filled rows, from one scan."""
     df = residents(spark, sf_dir)
     wanted = [*contract.FEATURES, "target_disease"]
-    missing = contract.column_report(df.columns, wanted)["missing_columns"]
+    missing = contract.absent(df.columns, wanted)
     counts = df.agg(*[
         (F.lit(0).cast("bigint") if name in missing else F.count(name)).alias(name) for name in wanted])
     return counts.select(F.inline(F.array(*[
@@ -163,21 +163,3 @@ def derived_measures(spark, sf_dir):
         code.alias("community_code"),
         cleaning.legacy_target(C("label_heart"), C("label_stroke")).alias("target_disease"),
     )
-
-
-SCORE_SQL = """0.95::DOUBLE * ((age - 45) / 18.0::DOUBLE) + 0.58::DOUBLE * hypertension + 0.48::DOUBLE * diabetes
-  + 0.34::DOUBLE * CAST(cholesterol >= 2 AS INTEGER) + 0.28::DOUBLE * CAST(smoker = 2 AS INTEGER)
-  + 0.18::DOUBLE * CAST(smoker = 1 AS INTEGER) + 0.22::DOUBLE * alcohol + 0.24::DOUBLE * CAST(bmi >= 30 AS INTEGER)
-  - 0.38::DOUBLE * exercise"""
-
-
-def score_column():
-    return cleaning.screening_score(*[C(name) for name in (
-        "age", "hypertension", "diabetes", "cholesterol", "smoker", "alcohol", "bmi", "exercise")])
-
-
-@query("p34_linear_score", with_clean(f"SELECT resident_id, {SCORE_SQL} AS score FROM clean"))
-def linear_score(spark, sf_dir):
-    return cleaning.clean(residents(spark, sf_dir)).select("resident_id", score_column().alias("score"))
-
-

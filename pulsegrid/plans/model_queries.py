@@ -8,7 +8,6 @@ from pulsegrid import contract
 from pulsegrid.functions import cleaning
 from pulsegrid.operators import evaluation, quantiles, splitting
 from pulsegrid.plans.checks import fixed, with_clean, with_parts, with_residents
-from pulsegrid.plans.cleaning_queries import SCORE_SQL, score_column
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.scoring_base import SCORED_PARTS, scored_residents
 from pulsegrid.session import durable
@@ -23,13 +22,13 @@ def median_imputation(spark, sf_dir):
     return quantiles.impute_medians(cleaning.clean(residents(spark, sf_dir))).select("resident_id", *contract.FEATURES)
 
 
-@query("j02_prevalence_cutoff", with_clean(f"""
-SELECT resident_id, CAST(score >= (SELECT quantile_cont(score, 1.0::DOUBLE - 0.1597::DOUBLE) FROM s) AS INTEGER) AS flag
-FROM s""").replace("\nSELECT resident_id, CAST(score", f""", s AS (SELECT resident_id, {SCORE_SQL} AS score FROM clean)
-SELECT resident_id, CAST(score"""))
+@query("j02_prevalence_cutoff", with_parts(SCORED_PARTS, """
+SELECT resident_id, CAST(stroke_probability >= (
+  SELECT quantile_cont(stroke_probability, 1.0::DOUBLE - 0.1597::DOUBLE) FROM scored) AS INTEGER) AS flag
+FROM scored"""))
 def prevalence_cutoff(spark, sf_dir):
-    scored = cleaning.clean(residents(spark, sf_dir)).select("resident_id", score_column().alias("score"))
-    return quantiles.flag_by_prevalence(scored, "score", 0.1597, "flag").select("resident_id", "flag")
+    scored = scored_residents(spark, sf_dir).select("resident_id", "stroke_probability")
+    return quantiles.flag_by_prevalence(scored, "stroke_probability", 0.1597, "flag").select("resident_id", "flag")
 
 
 # -- evaluation ---------------------------------------------------------------

@@ -203,24 +203,25 @@ mixed AS (
   SELECT district, CASE WHEN nk % 3 = 0 THEN label_heart END AS label_heart,
     CASE WHEN nk % 3 = 0 THEN label_stroke END AS label_stroke,
     CASE WHEN nk % 3 < 2 THEN heart_probability END AS heart_probability,
-    CASE WHEN nk % 3 < 2 THEN stroke_probability END AS stroke_probability
+    CASE WHEN nk % 3 < 2 AND gender = 1 THEN stroke_probability END AS stroke_probability
   FROM (SELECT *, community_id // 1000 AS nk FROM scored) q
 )"""
 
 
 def mixed_sources(df):
-    """A third of the nations carries labels and scores, a third scores only, a third neither."""
+    """A third of the nations carries labels and scores, a third scores only, a third neither; one gender has no stroke score."""
     kind = F.expr("community_id div 1000") % 3
+    has_score = {"heart_probability": kind < 2, "stroke_probability": (kind < 2) & (C("gender") == 1)}
     return df.select(
         "district",
         *[F.when(kind == 0, C(name)).alias(name) for name in ("label_heart", "label_stroke")],
-        *[F.when(kind < 2, C(name)).alias(name) for name in ("heart_probability", "stroke_probability")],
+        *[F.when(known, C(name)).alias(name) for name, known in has_score.items()],
     )
 
 
 def _source_rate(labels: str, scores: str) -> str:
     return f"""CASE WHEN count(label_heart) > 0 AND count(label_stroke) > 0 THEN {labels}
-    WHEN count(heart_probability) > 0 THEN {scores} END"""
+    WHEN count(heart_probability) + count(stroke_probability) > 0 THEN {scores} END"""
 
 
 def _register_metric_source():
@@ -228,14 +229,15 @@ def _register_metric_source():
 
     high = "count(*) FILTER (WHERE {0}_probability >= 0.35)"
     both_high = "count(*) FILTER (WHERE heart_probability >= 0.35 AND stroke_probability >= 0.35)"
-    scored = "count(heart_probability)"
+    scored = "count({0}_probability)"
+    both_scored = "count(*) FILTER (WHERE heart_probability IS NOT NULL AND stroke_probability IS NOT NULL)"
     check = with_parts([*SCORED_PARTS, _MIXED], f"""
 SELECT district, count(*) AS residents,
   CASE WHEN count(label_heart) > 0 AND count(label_stroke) > 0 THEN 'labels'
-       WHEN count(heart_probability) > 0 THEN 'model_probability' ELSE 'unavailable' END AS risk_metric_source,
-  {_source_rate(pct('sum(label_heart)', 'count(label_heart)'), pct(high.format('heart'), scored))} AS heart_rate,
-  {_source_rate(pct('sum(label_stroke)', 'count(label_stroke)'), pct(high.format('stroke'), scored))} AS stroke_rate,
-  {_source_rate(pct(f'count(*) FILTER (WHERE {BOTH})', 'count(*)'), pct(both_high, scored))} AS comorbidity_rate
+       WHEN count(heart_probability) + count(stroke_probability) > 0 THEN 'model_probability' ELSE 'unavailable' END AS risk_metric_source,
+  {_source_rate(pct('sum(label_heart)', 'count(label_heart)'), pct(high.format('heart'), scored.format('heart')))} AS heart_rate,
+  {_source_rate(pct('sum(label_stroke)', 'count(label_stroke)'), pct(high.format('stroke'), scored.format('stroke')))} AS stroke_rate,
+  {_source_rate(pct(f'count(*) FILTER (WHERE {BOTH})', 'count(*)'), pct(both_high, both_scored))} AS comorbidity_rate
 FROM mixed GROUP BY district""")
 
     @query("a11_metric_source", check)

@@ -128,9 +128,9 @@ def feature_importance(spark, sf_dir):
 
 @query("m10_repeated_rounds")
 def repeated_rounds(spark, sf_dir):
-    """Two short rounds; the models of the last one are kept, both are logged."""
+    """Two rounds; the models of the last one are kept, both are logged."""
     _, log = training.train_models(
-        durable(training_rows(spark, sf_dir), "training"), rounds=2, run_label="short", trees=5)
+        durable(training_rows(spark, sf_dir), "training"), rounds=2, run_label="repeated")
     return training.append_runs(spark, log, shared_path(spark, "runs")).select(
         "run_label", "round", "target", "roc_auc", "oversampled_rows")
 

@@ -9,6 +9,8 @@ from pulsegrid.session import shared_path
 from pulsegrid.sources.tables import residents
 from pulsegrid.streaming import ingest
 
+#: Small for the test tables, so that they make several batches; set it to what the cluster holds in one pass.
+BATCH_BYTES = 65536
 COLUMNS = ["resident_id", "data_period", "district", "community_id", "age", "label_heart", "label_stroke"]
 
 
@@ -16,8 +18,8 @@ def landed_files(spark, sf_dir, copies: int):
     """Resident rows as several landed files; with copies, repeats fall into different files."""
     path = shared_path(spark, "landing")
     rows = residents(spark, sf_dir).select(*COLUMNS)
-    for copy in range(copies):
-        rows.repartition(2 + copy, "community_id").write.mode("append").parquet(path)
+    for _ in range(copies):
+        rows.write.mode("append").parquet(path)
     return path, rows.schema
 
 
@@ -25,7 +27,7 @@ def landed_files(spark, sf_dir, copies: int):
 def unique_ingest(spark, sf_dir):
     path, schema = landed_files(spark, sf_dir, 2)
     target = shared_path(spark, "ingested")
-    stream = ingest.read_stream(spark, path, schema, files_per_batch=2)
+    stream = ingest.read_stream(spark, path, schema, bytes_per_batch=BATCH_BYTES)
     ingest.ingest_unique(
         stream, ["resident_id", "data_period"], "data_period", target, shared_path(spark, "progress"))
     return ingest.read_unique(spark, target, schema)
@@ -35,7 +37,7 @@ def unique_ingest(spark, sf_dir):
 def running_report(spark, sf_dir):
     path, schema = landed_files(spark, sf_dir, 1)
     target = shared_path(spark, "counters")
-    stream = ingest.read_stream(spark, path, schema, files_per_batch=1)
+    stream = ingest.read_stream(spark, path, schema, bytes_per_batch=BATCH_BYTES)
     keys = ["data_period", "district"]
     ingest.ingest_counters(stream, keys, target, shared_path(spark, "progress"))
     return ingest.current_report(spark, keys, target)

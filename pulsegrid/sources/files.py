@@ -19,9 +19,12 @@ def read_csv(
 ) -> DataFrame:
     """Header CSV with an explicit schema, so no pass over the data is spent on inference.
 
+    Columns are bound by name: a file whose header differs from the schema, in
+    names or in order, is refused rather than read into the wrong columns.
     With ``keep_bad_rows`` unreadable lines are kept in ``_bad_row``.
     """
     reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding)
+    reader = reader.option("enforceSchema", False)
     if keep_bad_rows:
         schema = T.StructType([*schema.fields, T.StructField(BAD_ROW, T.StringType(), True)])
         reader = reader.option("columnNameOfCorruptRecord", BAD_ROW)
@@ -54,9 +57,9 @@ def register_layers(spark: SparkSession, database: str, location: str, ods: str,
     """External tables over the three layers: CSV source, Parquet features, CSV report."""
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database} LOCATION '{location}'")
     tables = [
-        ("ods_resident_health", contract.ODS_SCHEMA, "CSV", "OPTIONS (header 'true', sep ',')", ods),
+        ("ods_resident_health", contract.ODS_SCHEMA, "CSV", "OPTIONS (header 'true', sep ',', enforceSchema 'false')", ods),
         ("dws_cardio_features", contract.DWS_SCHEMA, "PARQUET", "", dws),
-        ("ads_region_risk_summary", contract.ADS_SCHEMA, "CSV", "OPTIONS (header 'true', sep ',')", ads),
+        ("ads_region_risk_summary", contract.ADS_SCHEMA, "CSV", "OPTIONS (header 'true', sep ',', enforceSchema 'false')", ads),
     ]
     for name, schema, kind, options, path in tables:
         columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in schema.fields)

@@ -18,10 +18,15 @@ C = F.col
 BATCH = "batch_id"
 
 
-def read_stream(spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None) -> DataFrame:
+def read_stream(
+    spark: SparkSession, path: str, schema: T.StructType, files_per_batch: int | None = None, bytes_per_batch: int | None = None,
+) -> DataFrame:
+    """New files as they land; a micro-batch is bounded by files, by bytes, or by what has landed."""
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
     return reader.parquet(path)
 
 
@@ -50,7 +55,9 @@ def ingest_unique(stream: DataFrame, key: list[str], period: str, target: str, c
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        fresh = batch.dropDuplicates(key)
+        # of several copies the one that comes first by its values stays, so a retry stores the same row
+        row = F.struct(*schema.names)
+        fresh = batch.groupBy(*key).agg(F.min(row).alias("_row")).select("_row.*")
         stored = _read_batches(spark, target, schema)
         if stored is not None:
             periods = [row[0] for row in batch.select(period).distinct().collect()]
@@ -66,7 +73,9 @@ def ingest_unique(stream: DataFrame, key: list[str], period: str, target: str, c
 
 
 def read_unique(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    return _read_batches(spark, target, schema).drop(BATCH).select(*schema.names)
+    """All stored rows; none before the first batch."""
+    stored = _read_batches(spark, target, schema)
+    return spark.createDataFrame([], schema) if stored is None else stored.select(*schema.names)
 
 
 def ingest_counters(stream: DataFrame, keys: list[str], target: str, checkpoint: str) -> None:

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pulsegrid import contract
 from pulsegrid.functions import cleaning, grading, numeric, privacy
 from pulsegrid.functions import fixed_values as V
-from pulsegrid.operators import advice, evaluation, history, population, regions, trends, uploads
+from pulsegrid.operators import advice, evaluation, history, population, regions, splitting, trends, uploads
 from pulsegrid.sources import files, rules
+from pulsegrid.streaming import ingest
 
 C = F.col
 
@@ -122,7 +123,7 @@ def test_label_rates_are_not_made_up(spark):
 
 def test_labels_win_over_scores(spark):
     counters = spark.createDataFrame(
-        [("武侯区", 5, 5, 5, 0, 0, 0, 5, 5, 5, 5)],
+        [("武侯区", 5, 5, 5, 0, 0, 0, 5, 5, 5, 5, 5, 5)],
         "district string, " + ", ".join(f"{name} long" for name in regions.COUNTERS))
     row = regions.region_rates(counters).first()
     assert (row.heart_rate, row.stroke_rate, row.comorbidity_rate) == (0.0, 0.0, 0.0)
@@ -289,3 +290,52 @@ def test_pseudonym_ignores_white_space_of_any_kind(spark):
     rows = spark.createDataFrame([("client-0001",), ("client-0001\t",), (" client-0001\n",)], "client string")
     made = rows.select(privacy.keyed_pseudonym(F.col("client"), b"key").alias("p"), privacy.is_client_id(F.col("client")).alias("ok")).collect()
     assert len({r.p for r in made}) == 1 and all(r.ok for r in made)
+
+
+def test_numbers_are_decimal(spark):
+    given = ["45", " 4.5 ", "-.5", "1e3", "nan", "45d", "45F", "0x1p3", "", "n/a", None]
+    rows = spark.createDataFrame([(t,) for t in given], "t string").select(numeric.to_number(C("t")).alias("n")).collect()
+    assert [r.n for r in rows][:4] == [45.0, 4.5, -0.5, 1000.0]
+    assert rows[4].n != rows[4].n
+    assert all(r.n is None for r in rows[5:])
+
+
+def test_reordered_csv_is_refused(spark, tmp_path):
+    (tmp_path / "f.csv").write_text("b,a\n1,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        files.read_csv(spark, str(tmp_path / "f.csv"), "a int, b int").collect()
+
+
+def test_stroke_rate_counts_stroke_scores(spark):
+    schema = "district string, label_heart int, label_stroke int, heart_probability double, stroke_probability double"
+    rows = [("d", None, None, 0.1, 0.9), *[("d", None, None, 0.5, None)] * 3]
+    row = regions.region_rates(regions.region_counters(spark.createDataFrame(rows, schema), ["district"])).first()
+    assert (row.heart_rate, row.stroke_rate, row.comorbidity_rate) == (75.0, 100.0, 0.0)
+
+
+def test_default_level_has_a_name(spark):
+    schema = "assessment_id string, model_version string, knowledge_version string, heart_probability double, " \
+        "stroke_probability double, risk_level_code int, risk_level_name string, final_category int, created_at string"
+    row = history.record_summary(spark.createDataFrame([("a", *[None] * 8)], schema)).first()
+    assert row.risk_level_code == 1 and row.risk_level_name
+
+
+@pytest.mark.parametrize("kind, keys", [
+    ("long", [*range(8), None, None]), ("string", [f"r{i}" for i in range(10)]), ("long", [2**60 + i for i in range(10)]),
+    ("long", [7] * 10), ("long", [None] * 10), ("long", []),
+])
+def test_positional_split_of_any_key(spark, kind, keys):
+    df = spark.createDataFrame([(k,) for k in keys], f"k {kind}")
+    split = splitting.positional_split(df, "k").filter("split = 'train'").select("k").collect()
+    known = sorted(k for k in keys if k is not None)
+    assert sorted(r.k for r in split) == ([7] * 10 if keys == [7] * 10 else known[:8])
+
+
+def test_ingest_keeps_the_same_copy_and_reads_nothing_at_first(spark, tmp_path):
+    schema = "k int, p string, v int"
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    assert ingest.read_unique(spark, target, spark.createDataFrame([], schema).schema).count() == 0
+    spark.createDataFrame([(1, "a", v) for v in (5, 3, 9)], schema).repartition(3).write.parquet(source)
+    stream = ingest.read_stream(spark, source, spark.read.parquet(source).schema)
+    ingest.ingest_unique(stream, ["k", "p"], "p", target, str(tmp_path / "progress"))
+    assert [tuple(r) for r in ingest.read_unique(spark, target, stream.schema).collect()] == [(1, "a", 3)]
