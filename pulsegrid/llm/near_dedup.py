@@ -176,8 +176,8 @@ def confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id, the root being the least id of its component.
 
-    Alternating stars: each id points all larger neighbours to its least neighbour, then all smaller ones. Done when no
-    root is itself pointed elsewhere.
+    Alternating stars: each id points all larger neighbours to its least neighbour, then all smaller ones. Done when every
+    pointed id has one root and no root is itself pointed elsewhere.
     """
     edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct()
     while True:
@@ -188,7 +188,10 @@ def components(links: DataFrame) -> DataFrame:
         kept = large.join(least, "u")
         small = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
         edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        if edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+        ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+        least, greatest, is_root = F.min("v"), F.max("v"), F.max(F.col("v").isNull())
+        state = ends.groupBy("u").agg(least.alias("least"), greatest.alias("greatest"), is_root.alias("is_root"))
+        if state.filter((F.col("least") < F.col("greatest")) | (F.col("is_root") & F.col("least").isNotNull())).isEmpty():
             own = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
             return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(own)
 

@@ -169,6 +169,26 @@ def test_near_duplicates_large_groups(spark):
     rows_by_text(near_dedup.classify(frame_, near_dedup.Settings(node=8)), brute_components(rows))
 
 
+def chain(ids, tag):
+    """Texts in which each is a near copy of the next one only, under these ids."""
+    return [(i, " ".join(f"{tag}{k}" for k in range(6 * n, 6 * n + 64))) for n, i in enumerate(ids)]
+
+
+def test_near_duplicates_chain(spark):
+    links = spark.createDataFrame([(10, 3), (10, 1), (11, 3), (11, 2)], "a long, b long")
+    assert sorted(tuple(r) for r in near_dedup.components(links).collect()) == [(i, 1) for i in (1, 2, 3, 10, 11)]
+    known = near_dedup.contracted(spark.createDataFrame([(i, i) for i in (1, 2, 3, 10, 11)], "id long, root long"), links)
+    assert sorted(tuple(r) for r in known.collect()) == [(i, 1) for i in (1, 2, 3, 10, 11)]
+    rows = chain([1, 10, 3, 11, 2], "w")
+    rows_by_text(near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string")), brute_components(rows))
+
+
+def test_near_duplicates_shuffled_chains(spark):
+    rng = np.random.default_rng(4)
+    rows = [row for n in range(40) for row in chain((100 * n + rng.permutation(100)[: 5 + n % 16]).tolist(), f"c{n}x")]
+    rows_by_text(near_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string")), brute_components(rows))
+
+
 @pytest.mark.parametrize("name", ["docs", "awkward"])
 def test_license_base(name, docs, awkward, both):
     expected = []
