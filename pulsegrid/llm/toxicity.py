@@ -6,17 +6,20 @@ costs the factor ``decay`` on either side. So ``idiot``, ``id1iot`` and
 ``i-d-i-o-t`` are close. The value is divided by what the letters of a string
 could reach at most, so long strings do not win by length.
 
-Strings are the words of a sentence, a run of single characters counting as one
-word. The score of a sentence is that of its worst word, that of a document the
-score of its worst sentence. Only the document is labelled: every sentence of a
-clean document is clean, and of a toxic one the words that look toxic count as
-toxic; which words these are is decided anew after each fit.
-
-Landmarks are words of the training sentences: those that set toxic from clean
-documents apart, and frequent clean ones. On the Nystroem features of a word a
-linear machine is fitted. Because the kernel is a product over letter triples,
-machine and landmarks fold into one table of triples, and a text is scored by
-looking up its triples, in blocks of bounded size.
+Strings are the units of a sentence: its words, a run of single characters
+counting as one word, its runs of two to ``RUN`` words, and the sentence itself.
+Blanks are other characters like any, so triples go across words. The score of a
+sentence is that of its worst unit, that of a document the score of its worst
+sentence. Only the document is labelled: every unit of a clean document is clean,
+and of a toxic one the units that look toxic count as toxic; which these are is
+decided anew after each fit.
+
+Landmarks are units of the training sentences: those that set toxic from clean
+documents apart, longer ones only if their parts do so less, and frequent clean
+ones. On the Nystroem features of a unit a linear machine is fitted. Because the
+kernel is a product over letter triples, machine and landmarks fold into one
+table of triples, and a text is scored by looking up its triples, in blocks of
+bounded size. A sentence of fewer than three letters has no triple.
 
 An empty or null text has no word and gets the lowest score of all; without
 labels of both kinds every score is 0. Rows are judged one by one.
@@ -25,7 +28,6 @@ labels of both kinds every score is 0. Rows are judged one by one.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,13 +46,19 @@ CODE[65:91] = np.arange(1, 27)
 CODE[128:] = 27
 BASE = 28
 
+#: Words of the longest unit below a whole sentence. A triple spans seven characters, so four words at most.
+RUN = 4
+ENDS = np.zeros(256, bool)
+ENDS[[33, 46, 63]] = True
+
 
 @dataclass(frozen=True)
 class Settings:
     """The model is fitted on a bounded sample: at most ``sample_docs`` labelled documents of each label, in the order of
-    a hash of their id, ``sample_bytes`` of each, and ``clean_words`` of their words. ``landmarks``: words of either kind;
-    toxic ones have at least the share ``least_strength`` of the strongest one's strength. A toxic document whose words are all
-    less than ``least_likeness`` like a toxic landmark is left out of the first fit."""
+    a hash of their id, ``sample_bytes`` of each, and ``clean_words`` of their words and as many of their longer units. ``landmarks``: units of
+    either kind; toxic ones have at least the share ``least_strength`` of the strongest one's strength, and longer units stand in
+    ``least_documents`` toxic documents. A toxic document whose units are all less than ``least_likeness`` like a toxic landmark
+    is left out of the first fit."""
 
     sample_docs: int = 800
     sample_bytes: int = 10_000
@@ -61,6 +69,7 @@ class Settings:
     clean_words: int = 16_000
     least_strength: float = 0.2
     least_likeness: float = 0.6
+    least_documents: int = 3
     rounds: int = 5
     penalty: float = 1e-5
     threshold: float = 0.7
@@ -68,7 +77,7 @@ class Settings:
 
 @dataclass(frozen=True)
 class Model:
-    """table: weight of each letter triple; slope and shift turn the score of the worst word into a probability."""
+    """table: weight of each letter triple; slope and shift turn the score of the worst unit into a probability."""
 
     table: np.ndarray
     bias: float
@@ -82,82 +91,106 @@ def held_out(fold: int = 1, folds: int = 3) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word number of every byte (-1 between words), and the row of every word; runs of single characters are one word."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word number of every byte (of a blank, that of the word before it), and per word the number of its sentence and its row.
+
+    Runs of single characters are one word. A sentence ends with a word that ends in a full stop, exclamation or question
+    mark, with a line, and with the row.
+    """
     start, end, first = textblocks.words(data, offsets)
     single = end - start == 1
     joins = np.zeros(len(start), bool)  # this word goes on with the one before
     joins[1:] = single[1:] & single[:-1] & (start[1:] - end[:-1] == 1)
-    joins[first[first < len(start)]] = False
-    number = np.cumsum(~joins) - 1
-    owner = np.full(len(data), -1, np.int32)
-    lengths = end - start
-    at = np.repeat(start - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-    owner[at] = np.repeat(number, lengths).astype(np.int32)
-    gaps = np.flatnonzero(joins)
-    owner[start[gaps] - 1] = number[gaps]
-    row = (np.searchsorted(first, np.arange(len(start)), side="right") - 1)[~joins]
-    return owner, row
-
-
-def triples(codes: np.ndarray, owner: np.ndarray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """For each pair of gaps: the places where a triple of letters of one word begins, its code, its weight."""
+    first = first[:-1][first[:-1] < len(start)]
+    joins[first] = False
+    lines = np.concatenate([[0], np.cumsum(data == 10)])
+    joins[1:] &= (lines[start[1:]] == lines[end[:-1]]) & ~ENDS[data[end[:-1] - 1]]
+    opens = np.zeros(len(start), bool)  # this word begins a sentence
+    opens[1:] = (lines[start[1:]] > lines[end[:-1]]) | ENDS[data[end[:-1] - 1]]
+    opens[first] = True
+    begin = np.zeros(len(data), np.int32)
+    begin[start[~joins]] = 1
+    row = np.searchsorted(offsets[1:], start[~joins], side="right")
+    return np.cumsum(begin, dtype=np.int32) - 1, (np.cumsum(opens) - 1)[~joins], row
+
+
+def triples(codes: np.ndarray, owner: np.ndarray, settings: Settings) -> Iterator[tuple[np.ndarray, np.ndarray, int, float]]:
+    """For each pair of gaps: the places where a triple of letters of one owner begins, its code, its reach, its weight."""
     n = len(codes)
-    letter = codes > 0
+    letter = (codes > 0) & (owner >= 0)
     wide = codes.astype(np.int32)
     for a in range(1, settings.gap + 2):
         for b in range(1, settings.gap + 2):
             reach = a + b
             if n <= reach:
                 continue
-            good = letter[:-reach] & letter[a : n - b] & letter[reach:] & (owner[:-reach] == owner[reach:]) & (owner[:-reach] >= 0)
+            good = letter[:-reach] & letter[a : n - b] & letter[reach:] & (owner[:-reach] == owner[reach:])
             at = np.flatnonzero(good)
-            yield at, (wide[at] * BASE + wide[at + a]) * BASE + wide[at + reach], settings.decay ** (reach - 2)
+            yield at, (wide[at] * BASE + wide[at + a]) * BASE + wide[at + reach], reach, settings.decay ** (reach - 2)
 
 
-def word_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """For every word: the sum of its triples' weights over its norm, and its row."""
-    owner, row = word_bounds(data, offsets)
+def row_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have words, and the score of the worst unit of each: the sum of its triples' weights over its norm."""
+    word, sentence, row = word_bounds(data, offsets)
+    n = len(row)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0)
     codes = CODE[data]
-    total, norm = np.zeros(len(row)), np.zeros(len(row))
-    for at, code, weight in triples(codes, owner, settings):
-        word = owner[at]
-        total += weight * np.bincount(word, table[code], len(row))
-        norm += weight**2 * np.bincount(word, minlength=len(row))
-    return total / np.sqrt(np.maximum(norm, 1e-12)), row
+    owner = np.where(word >= 0, sentence[word], -1)
+    total, norm = np.zeros((RUN, n + RUN)), np.zeros((RUN, n + RUN))  # by words that a triple goes beyond its first
+    for at, code, reach, weight in triples(codes, owner, settings):
+        key = np.minimum(word[at + reach] - word[at], RUN - 1) * np.int64(n + RUN) + word[at]
+        total += weight * np.bincount(key, table[code], total.size).reshape(total.shape)
+        norm += weight**2 * np.bincount(key, minlength=norm.size).reshape(norm.shape)
+    np.cumsum(total, axis=0, out=total)
+    np.cumsum(norm, axis=0, out=norm)
+    value = lambda t, m: t / np.sqrt(np.maximum(m, 1e-12))
+    begins = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1]])
+    best = value(total[0, :n], norm[0, :n])
+    whole = value(np.add.reduceat(total[-1, :n], begins), np.add.reduceat(norm[-1, :n], begins))
+    best[begins] = np.maximum(best[begins], whole)
+    one, two = total[0], norm[0]  # sums of the runs that begin at each word
+    for size in range(2, RUN + 1):
+        one, two = total[size - 1] + np.r_[one[1:], 0], norm[size - 1] + np.r_[two[1:], 0]
+        inside = np.flatnonzero(sentence[size - 1 :] == sentence[: n - size + 1]) if n >= size else np.zeros(0, int)
+        best[inside] = np.maximum(best[inside], value(one[inside], two[inside]))
+    rows = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+    return row[rows], np.maximum.reduceat(best, rows)
 
 
 def tables(words: list[str], settings: Settings) -> np.ndarray:
-    """One row per word: its normalised triple weights, so that a row looked up by a text's triples is the kernel."""
+    """One row per unit: its normalised triple weights, so that a row looked up by a text's triples is the kernel."""
     out = np.zeros((len(words), BASE**3), np.float32)
     for i, w in enumerate(words):
         data = np.frombuffer(w.encode(), np.uint8)
         norm = 0.0
-        for _, code, weight in triples(CODE[data], np.zeros(len(data), np.int32), settings):
+        for _, code, _, weight in triples(CODE[data], np.zeros(len(data), np.int32), settings):
             np.add.at(out[i], code, weight)
             norm += weight**2 * len(code)
         out[i] /= np.sqrt(max(norm, 1e-12))
     return out
 
 
-def kernel(words: list[str], landmarks: np.ndarray, settings: Settings) -> np.ndarray:
-    """Kernel values of words (without white space, of three bytes or more) with every landmark's table."""
+def kernel(units: list[str], landmarks: np.ndarray, settings: Settings) -> np.ndarray:
+    """Kernel values of units with every landmark's table."""
     used = np.flatnonzero(landmarks.any(0))
     place = np.full(landmarks.shape[1], -1)
     place[used] = np.arange(len(used))
     by_code = np.ascontiguousarray(landmarks[:, used].T)
     parts = [np.zeros((0, len(landmarks)), np.float32)]
-    for i in range(0, len(words), 5000):
-        data = np.frombuffer(" ".join(words[i : i + 5000]).encode(), np.uint8)
-        owner, row = word_bounds(data, np.array([0, len(data)]))
-        out, norm = np.zeros((len(row), len(landmarks)), np.float32), np.zeros(len(row))
-        for at, code, weight in triples(CODE[data], owner, settings):
-            word, code = owner[at], place[code]
-            norm += weight**2 * np.bincount(word, minlength=len(row))
-            word, code = word[code >= 0], code[code >= 0]
-            if len(word):
-                begins = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                out[word[begins]] += weight * np.add.reduceat(by_code[code], begins, axis=0)
+    for i in range(0, len(units), 5000):
+        encoded = [u.encode() for u in units[i : i + 5000]]
+        data = np.frombuffer(b"".join(encoded), np.uint8)
+        owner = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(u) for u in encoded])
+        out, norm = np.zeros((len(encoded), len(landmarks)), np.float32), np.zeros(len(encoded))
+        for at, code, _, weight in triples(CODE[data], owner, settings):
+            unit, code = owner[at], place[code]
+            norm += weight**2 * np.bincount(unit, minlength=len(encoded))
+            unit, code = unit[code >= 0], code[code >= 0]
+            for k in range(0, len(unit), 100_000):  # a bounded number of landmark rows at once
+                u, c = unit[k : k + 100_000], code[k : k + 100_000]
+                begins = np.flatnonzero(np.r_[True, u[1:] != u[:-1]])
+                out[u[begins]] += weight * np.add.reduceat(by_code[c], begins, axis=0)
         parts.append(out / np.sqrt(np.maximum(norm, 1e-12))[:, None].astype(np.float32))
     return np.vstack(parts)
 
@@ -166,7 +199,7 @@ def tidy(word: str) -> str:
     return word.strip(".,;:!?\"'()[]{}<>*#$%&|_-")
 
 
-SENTENCE = re.compile(r"[.!?\n]+")
+SENTENCE = re.compile(r"(?<=[.!?])[ \t\v\f\r]+|\n+")
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -174,6 +207,7 @@ def sentences(text: str) -> list[list[str]]:
     found = []
     for part in SENTENCE.split(text.lower()):
         words = re.sub(r"(?<!\S)(\S)((?: \S(?!\S))+)", lambda m: m[1] + m[2].replace(" ", ""), part).split()
+        words = [w for w in map(tidy, words) if w]
         if words:
             found.append(words)
     return found
@@ -193,58 +227,129 @@ def sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> tuple
     return [t for _, t in texts], np.array([wanted[i] for i, _ in texts], int)
 
 
-def split_words(bags: list[list[list[str]]], toxic: np.ndarray) -> tuple[list[str], dict[str, float]]:
-    """Words of clean documents, commonest first, and those that are found several times as often in toxic ones, with their strength.
+@dataclass(frozen=True)
+class Units:
+    """All units of one size of the sample, the places where they begin: unit number, document, and strength by number."""
+
+    size: int  # words; 0: a sentence longer than RUN
+    begin: np.ndarray
+    end: np.ndarray
+    number: np.ndarray
+    document: np.ndarray
+    clean_documents: np.ndarray
+    toxic_documents: np.ndarray
+    strength: np.ndarray
+    bad: np.ndarray
 
-    Some labels may be wrong, so a word may point to toxic documents and still stand in some that are called clean.
+
+def split_units(ids: np.ndarray, sentence: np.ndarray, document: np.ndarray, toxic: np.ndarray, settings: Settings) -> list[Units]:
+    """The units of each size. Bad are those found several times as often in toxic documents as in clean ones; a longer one
+    only if it is more than twice as strong as each of its parts, as the part carries the evidence otherwise.
+
+    Some labels may be wrong, so a bad unit may point to toxic documents and still stand in some that are called clean.
     """
-    seen: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for bag, y in zip(bags, toxic, strict=True):
-        seen[int(y)].update({w for s in bag for w in s})
     n = np.maximum(np.bincount(toxic, minlength=2), 1)
-    bad = {}
-    for w, count in seen[1].items():
-        odds = np.log((count + 0.1) / n[1]) - np.log((seen[0][w] + 0.1) / n[0])
-        if odds > np.log(4):
-            bad[w] = float(odds * np.sqrt(count))
-    return sorted(seen[0], key=lambda w: (-seen[0][w], w)), bad
+    bounds = np.flatnonzero(np.r_[True, sentence[1:] != sentence[:-1], True])
+    hashes = textblocks.mix(ids.astype(np.uint64) + np.uint64(1))
+    key, found, best = hashes, [], np.zeros(len(ids))  # best: strength of the strongest part of the unit that begins here
+    for size in (*range(1, RUN + 1), 0):
+        if size:
+            if size > 1:
+                key = textblocks.mix(key[:-1] * np.uint64(0x9E3779B97F4A7C15) + hashes[size - 1 :])
+                best = np.maximum(best[:-1], best[1:])
+            begin = np.flatnonzero(sentence[: len(key)] == sentence[size - 1 :])
+            end, keys, parts = begin + size, key[begin], best[begin]
+        else:
+            long = np.diff(bounds) > RUN
+            begin, end = bounds[:-1][long], bounds[1:][long]
+            place = np.arange(len(ids)) - np.repeat(bounds[:-1], np.diff(bounds))
+            sums = np.cumsum(np.r_[np.uint64(0), textblocks.mix(hashes + place.astype(np.uint64))], dtype=np.uint64)
+            keys, parts = sums[end] - sums[begin], np.array([best[a : b - RUN + 1].max() for a, b in zip(begin, end, strict=True)])
+        if not len(begin):
+            break
+        _, number = np.unique(keys, return_inverse=True)
+        total, where = number.max() + 1, document[begin]
+        pair = np.unique(number.astype(np.int64) * len(toxic) + where)
+        by = [np.bincount(pair[toxic[pair % len(toxic)] == y] // len(toxic), minlength=total) for y in (0, 1)]
+        odds = np.log((by[1] + 0.1) / n[1]) - np.log((by[0] + 0.1) / n[0])
+        bad = (odds > np.log(4)) & (by[1] > 0)
+        strength = np.where(bad, odds * np.sqrt(by[1]), 0.0)
+        if size != 1:
+            stronger = np.zeros(total)
+            np.maximum.at(stronger, number, parts)
+            bad &= (strength > 2 * stronger) & (by[1] >= settings.least_documents)
+        found.append(Units(size, begin, end, number, where, by[0], by[1], strength, bad))
+        if size:
+            best = best.copy()
+            best[begin] = np.maximum(best[begin], strength[number])
+    return found
 
 
 def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
     """None if there are not labels of both kinds."""
     texts, toxic = sample(documents, labels, settings)
-    known = lambda w: 3 <= len(w.encode()) <= settings.longest_word
-    bags = [[[w for w in map(tidy, s) if known(w)] for s in sentences(t)] for t in texts]
-    bags = [[s for s in b if s] for b in bags]
-    some = np.array([bool(b) for b in bags], bool)
-    bags, toxic = [b for b in bags if b], toxic[some] if len(some) else toxic
-    if len(set(toxic.tolist())) < 2:
+    vocabulary: dict[str, int] = {}
+    split = [[[vocabulary.setdefault(w, len(vocabulary)) for w in s] for s in sentences(t)] for t in texts]
+    some = np.array([bool(b) for b in split], bool)
+    if len(set(toxic[some].tolist())) < 2:
         return None
-    good, bad = split_words(bags, toxic)
-    ranked = sorted(bad, key=lambda w: (-bad[w], w))
+    lengths = np.array([len(x) for b in split for x in b])
+    ids = np.concatenate([np.array(x, np.int32) for b in split for x in b])
+    sentence = np.repeat(np.arange(len(lengths)), lengths)
+    document = np.repeat(np.arange(len(split)), [sum(map(len, b)) for b in split])
+    del split
+    vocabulary = list(vocabulary)
+    all_units = split_units(ids, sentence, document, toxic, settings)
+    sized = np.array([len(w) for w in vocabulary])
+    strongest: dict[str, float] = {}
+    bad_places: list[tuple[Units, dict[int, str]]] = []
+    clean_lists: list[list[str]] = []
+    for units in all_units:
+        total = len(units.bad)
+        first = np.zeros(total, np.int64)
+        first[units.number[::-1]] = np.arange(len(units.number))[::-1]  # the first place of every unit
+        name = lambda k, u=units, f=first: " ".join(vocabulary[i] for i in ids[u.begin[f[k]] : u.end[f[k]]])
+        usable = np.ones(total, bool)
+        if units.size == 1:
+            letters = sized[ids[units.begin[first]]]
+            usable = (letters >= 3) & (letters <= settings.longest_word)
+        names = {int(k): name(k) for k in np.flatnonzero(units.bad & usable)}
+        strongest.update({w: float(units.strength[k]) for k, w in names.items()})
+        bad_places.append((units, names))
+        good = np.flatnonzero(~units.bad & usable & (units.clean_documents > 0))
+        good = good[np.lexsort((first[good], -units.clean_documents[good]))]
+        most = settings.clean_words if units.size == 1 else settings.clean_words // RUN
+        rest = good[most // 2 :]
+        rest = rest[np.random.default_rng(0).permutation(len(rest))[: most // 2]]
+        clean_lists.append([name(k) for k in np.r_[good[: most // 2], rest]])
+    ranked = sorted(strongest, key=lambda w: (-strongest[w], w))
     if not ranked:
         return None
-    bad_words = [w for w in ranked if bad[w] >= settings.least_strength * bad[ranked[0]]][: settings.landmarks]
-    clean_words = [w for w in good if w not in bad][: settings.landmarks]
+    bad_words = [w for w in ranked if strongest[w] >= settings.least_strength * strongest[ranked[0]]][: settings.landmarks]
+    clean = list(dict.fromkeys(w for part in clean_lists for w in part))
+    clean_words = [w for part in clean_lists for w in part[: settings.landmarks // 2 if part is clean_lists[0] else settings.landmarks // (2 * RUN)]]
     landmarks = tables(bad_words + clean_words, settings)
     values, vectors = np.linalg.eigh(kernel(bad_words + clean_words, landmarks, settings).astype(float))
     keep = values > 1e-6
     project = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # kernel values -> Nystroem features
 
-    clean = [w for w in good if w not in bad]
-    rest = clean[settings.clean_words // 2 :]
-    rest = [rest[i] for i in np.random.default_rng(0).permutation(len(rest))[: settings.clean_words // 2]]
-    clean = clean[: settings.clean_words // 2] + rest
-    # a word with next to no likeness to a toxic landmark is never taken for a toxic one, so its features are not kept
+    # a unit with next to no likeness to a toxic landmark is never taken for a toxic one, so its features are not kept
     ranked.sort()
     near = [np.flatnonzero(kernel(ranked[i : i + 5000], landmarks[: len(bad_words)], settings).max(1) >= 0.3) + i for i in range(0, len(ranked), 5000)]
     pool = [ranked[i] for part in near for i in part]
-    known_pool = set(pool)
-    groups = [{w for s in b for w in s} & known_pool for b, y in zip(bags, toxic, strict=True) if y]
     if not clean or not pool:
         return None
     place = {w: i for i, w in enumerate(pool)}
-    members = [np.array(sorted(place[w] for w in g), int) for g in groups if g]
+    groups: dict[int, set[int]] = {}
+    for units, names in bad_places:
+        at = np.full(len(units.bad), -1)
+        for k, w in names.items():
+            at[k] = place.get(w, -1)
+        at = at[units.number]
+        for d, k in set(zip(units.document[at >= 0].tolist(), at[at >= 0].tolist(), strict=True)):
+            if toxic[d]:
+                groups.setdefault(d, set()).add(k)
+    members = [np.array(sorted(groups[d]), int) for d in sorted(groups)]
     clean_k, pool_k = kernel(clean, landmarks, settings), kernel(pool, landmarks, settings)
     clean_x, pool_x = clean_k @ project, pool_k @ project
     guess, least = pool_k[:, : len(bad_words)].max(1), settings.least_likeness  # at first: likeness to a toxic landmark
@@ -257,7 +362,7 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         x = np.vstack([clean_x[active], pool_x[witness]])
         weights, bias = _machine(x, np.r_[-np.ones(int(active.sum())), np.ones(len(witness))], settings)
         guess, least = pool_x @ weights + bias, 0.0
-        active |= clean_x @ weights + bias > -1  # clean words inside the margin join the next fit
+        active |= clean_x @ weights + bias > -1  # clean units inside the margin join the next fit
     table = (project @ weights) @ landmarks
     table = table.astype(np.float32)
     encoded = pa.array(texts, pa.string())
@@ -280,7 +385,9 @@ def _machine(x: np.ndarray, y: np.ndarray, settings: Settings) -> tuple[np.ndarr
 
 
 def _calibrate(scores: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
-    """Logistic curve through the scores, with the usual softened targets."""
+    """Logistic curve through the scores, with the usual softened targets. Scores far beyond the toxic margin, 1, count as 1.5,
+    so that documents with the whole of a phrase do not make its words alone look clean."""
+    scores = np.minimum(scores, 1.5)
     n1, n0 = toxic.sum(), (1 - toxic).sum()
     target = np.where(toxic == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     slope, shift = 1.0, 0.0
@@ -295,11 +402,11 @@ def _calibrate(scores: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
 
 
 def _worst(texts: pa.Array, table: np.ndarray, bias: float, settings: Settings) -> np.ndarray:
-    """Score of the worst word of every text; a text without words has the lowest, that of no likeness at all."""
+    """Score of the worst unit of every text; a text without words has the lowest, that of no likeness at all."""
     out = np.full(len(texts), -1.0 - abs(bias))
     for first, data, offsets in textblocks.blocks(texts, 1 << 20):
-        scores, row = word_scores(data, offsets, table, settings)
-        np.maximum.at(out, first + row, scores + bias)
+        row, scores = row_scores(data, offsets, table, settings)
+        out[first + row] = scores + bias
     return out
 
 

@@ -124,6 +124,34 @@ def test_toxicity_catches_held_out_and_bent_words(spark):
     assert scored.filter("predicted = toxic").count() >= 0.95 * scored.count()
 
 
+def toxic_phrases(spark, phrase, words, n=600):
+    """A model, and its judgement of documents of which half have the phrase; the words of it stand alone in all."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(n):
+        text = [words[k] for k in rng.integers(0, len(words), 80)]
+        for k, w in enumerate(phrase.split()):
+            text.insert(5 + 17 * k, w)
+        if i % 2:
+            text.insert(int(rng.integers(0, 70)), phrase)
+        rows.append((i, " ".join(text) + "."))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    return model, toxicity.predict(docs, model).filter("held_out").join(labels, "doc_id")
+
+
+@pytest.mark.parametrize("phrase", ["piece of work", "go to it", "old bag full of wind"])
+def test_toxicity_phrase_of_clean_words(spark, phrase):
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdefghijklmnoprstuvw"), rng.integers(2, 9))) for _ in range(400)]
+    model, judged = toxic_phrases(spark, phrase, words)
+    assert judged.filter("predicted = toxic").count() >= 0.95 * judged.count()
+    texts = [phrase, phrase.replace(" ", "  "), *phrase.split(), " ".join(phrase.split()[::-1])]
+    got = toxicity.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert min(r.score for r in got[:2]) > max(r.score for r in got[2:])
+
+
 def test_toxicity_without_labels(awkward, spark):
     got = toxicity.report(awkward, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(AWKWARD) and all(r.score == 0 and r.predicted == 0 for r in got)
