@@ -28,6 +28,7 @@ labels of both kinds every score is 0. Rows are judged one by one.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -39,12 +40,21 @@ from pyspark.sql import functions as F
 from pulsegrid.llm import textblocks
 from pulsegrid.llm.common import first_by_hash
 
-#: Codes: 0 no letter, 1-26 a-z, 27 bytes of other letters.
-CODE = np.zeros(256, np.uint8)
-CODE[97:123] = np.arange(1, 27)
-CODE[65:91] = np.arange(1, 27)
-CODE[128:] = 27
-BASE = 28
+def _letters() -> np.ndarray:
+    """By code point: 0 no letter, 1-26 a-z, else the code point of the lower-case letter or mark."""
+    out = np.zeros(0x20000, np.int32)
+    for point in range(len(out)):
+        char = chr(point)
+        if char.isalpha() or unicodedata.category(char)[0] == "M":
+            out[point] = ord(char.lower()[0])
+    out[97:123] = out[65:91] = np.arange(1, 27)
+    return out
+
+
+LETTER = _letters()
+BASE = 27
+#: Places of the table of triples: those of a-z come first, each with its own; triples with other letters are hashed to the rest.
+PLACES = 1 << 17
 
 #: Words of the longest unit below a whole sentence. A triple spans seven characters, so four words at most.
 RUN = 4
@@ -91,14 +101,42 @@ def held_out(fold: int = 1, folds: int = 3) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % folds == fold, F.lit(False))
 
 
+def characters(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letter of every character of UTF-8 bytes, and the byte where it begins."""
+    at = np.flatnonzero((data & 0xC0) != 0x80)
+    point = data[at].astype(np.int32)
+    if len(at) < len(data):
+        for least, bits, more in ((0xC0, 0x1F, 1), (0xE0, 0x0F, 2), (0xF0, 0x07, 3)):
+            of = np.flatnonzero((point >= least) & (point < (0x100 if more == 3 else least + (0x20 >> (more - 1)))) & (data[at] >= 0xC0))
+            value = point[of] & bits
+            for k in range(1, more + 1):
+                value = (value << 6) | (data[at[of] + k] & 0x3F)
+            point[of] = -value  # below 0, so that no later round takes it for a first byte
+        point = np.abs(point)
+    letter = LETTER[np.minimum(point, len(LETTER) - 1)]
+    return np.where(point < len(LETTER), letter, np.where(point < 0x40000, point, 0)), at  # planes 2 and 3 are ideographs
+
+
+def place_of(x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Place of each triple of letters in the table."""
+    place = (x * BASE + y) * BASE + z
+    other = np.flatnonzero((x >= BASE) | (y >= BASE) | (z >= BASE))
+    if len(other):
+        x, y, z = (a[other].astype(np.uint64) for a in (x, y, z))
+        hashed = textblocks.mix((x << np.uint64(42)) | (y << np.uint64(21)) | z)
+        place[other] = BASE**3 + (hashed % np.uint64(PLACES - BASE**3)).astype(np.int64)
+    return place
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word number of every byte (of a blank, that of the word before it), and per word the number of its sentence and its row.
+    """Word number of every character (of a blank, that of the word before it), and per word the number of its sentence and its row.
 
     Runs of single characters are one word. A sentence ends with a word that ends in a full stop, exclamation or question
     mark, with a line, and with the row.
     """
     start, end, first = textblocks.words(data, offsets)
-    single = end - start == 1
+    lead = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # characters before each byte
+    single = lead[end] - lead[start] == 1
     joins = np.zeros(len(start), bool)  # this word goes on with the one before
     joins[1:] = single[1:] & single[:-1] & (start[1:] - end[:-1] == 1)
     first = first[:-1][first[:-1] < len(start)]
@@ -108,8 +146,8 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     opens = np.zeros(len(start), bool)  # this word begins a sentence
     opens[1:] = (lines[start[1:]] > lines[end[:-1]]) | ENDS[data[end[:-1] - 1]]
     opens[first] = True
-    begin = np.zeros(len(data), np.int32)
-    begin[start[~joins]] = 1
+    begin = np.zeros(lead[-1], np.int32)
+    begin[lead[start[~joins]]] = 1
     row = np.searchsorted(offsets[1:], start[~joins], side="right")
     return np.cumsum(begin, dtype=np.int32) - 1, (np.cumsum(opens) - 1)[~joins], row
 
@@ -118,7 +156,7 @@ def triples(codes: np.ndarray, owner: np.ndarray, settings: Settings) -> Iterato
     """For each pair of gaps: the places where a triple of letters of one owner begins, its code, its reach, its weight."""
     n = len(codes)
     letter = (codes > 0) & (owner >= 0)
-    wide = codes.astype(np.int32)
+    wide = codes.astype(np.int64)
     for a in range(1, settings.gap + 2):
         for b in range(1, settings.gap + 2):
             reach = a + b
@@ -126,7 +164,7 @@ def triples(codes: np.ndarray, owner: np.ndarray, settings: Settings) -> Iterato
                 continue
             good = letter[:-reach] & letter[a : n - b] & letter[reach:] & (owner[:-reach] == owner[reach:])
             at = np.flatnonzero(good)
-            yield at, (wide[at] * BASE + wide[at + a]) * BASE + wide[at + reach], reach, settings.decay ** (reach - 2)
+            yield at, place_of(wide[at], wide[at + a], wide[at + reach]), reach, settings.decay ** (reach - 2)
 
 
 def row_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
@@ -135,7 +173,7 @@ def row_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, setting
     n = len(row)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0)
-    codes = CODE[data]
+    codes, _ = characters(data)
     owner = np.where(word >= 0, sentence[word], -1)
     total, norm = np.zeros((RUN, n + RUN)), np.zeros((RUN, n + RUN))  # by words that a triple goes beyond its first
     for at, code, reach, weight in triples(codes, owner, settings):
@@ -160,11 +198,11 @@ def row_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, setting
 
 def tables(words: list[str], settings: Settings) -> np.ndarray:
     """One row per unit: its normalised triple weights, so that a row looked up by a text's triples is the kernel."""
-    out = np.zeros((len(words), BASE**3), np.float32)
+    out = np.zeros((len(words), PLACES), np.float32)
     for i, w in enumerate(words):
-        data = np.frombuffer(w.encode(), np.uint8)
+        codes, _ = characters(np.frombuffer(w.encode(), np.uint8))
         norm = 0.0
-        for _, code, _, weight in triples(CODE[data], np.zeros(len(data), np.int32), settings):
+        for _, code, _, weight in triples(codes, np.zeros(len(codes), np.int32), settings):
             np.add.at(out[i], code, weight)
             norm += weight**2 * len(code)
         out[i] /= np.sqrt(max(norm, 1e-12))
@@ -179,11 +217,11 @@ def kernel(units: list[str], landmarks: np.ndarray, settings: Settings) -> np.nd
     by_code = np.ascontiguousarray(landmarks[:, used].T)
     parts = [np.zeros((0, len(landmarks)), np.float32)]
     for i in range(0, len(units), 5000):
-        encoded = [u.encode() for u in units[i : i + 5000]]
-        data = np.frombuffer(b"".join(encoded), np.uint8)
+        encoded = units[i : i + 5000]
+        codes, _ = characters(np.frombuffer("".join(encoded).encode(), np.uint8))
         owner = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(u) for u in encoded])
         out, norm = np.zeros((len(encoded), len(landmarks)), np.float32), np.zeros(len(encoded))
-        for at, code, _, weight in triples(CODE[data], owner, settings):
+        for at, code, _, weight in triples(codes, owner, settings):
             unit, code = owner[at], place[code]
             norm += weight**2 * np.bincount(unit, minlength=len(encoded))
             unit, code = unit[code >= 0], code[code >= 0]

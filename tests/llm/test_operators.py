@@ -152,6 +152,32 @@ def test_toxicity_phrase_of_clean_words(spark, phrase):
     assert min(r.score for r in got[:2]) > max(r.score for r in got[2:])
 
 
+def test_toxicity_characters():
+    text = "aZé1Я中 \U00020000\U0001f600ड़ऀ.ñß"
+    codes, at = toxicity.characters(np.frombuffer(text.encode(), np.uint8))
+    assert len(codes) == len(text) and [text.encode()[k:].decode()[0] for k in at] == list(text)
+    assert [c > 0 for c in codes] == [c.isalpha() or c in "\u0900\u093c" for c in text]
+    assert codes[:3].tolist() == [1, 26, ord("é")] and codes[4] == ord("я")
+
+
+@pytest.mark.parametrize("alphabet,insult", [("абвгдежзиклмнопрстуфхц", "негодяй"), ("αβγδεζηθικλμνξοπρστυφ", "βλάκας"), ("ابتثجحخدذرزسشصضطظعغفق", "حقيرجدا")])
+def test_toxicity_other_scripts(spark, alphabet, insult):
+    rng = np.random.default_rng(3)
+    words = ["".join(rng.choice(list(alphabet), rng.integers(3, 9))) for _ in range(400)]
+    rows = []
+    for i in range(400):
+        text = [words[k] for k in rng.integers(0, 400, 60)]
+        rows.append((i, " ".join([*text[:30], *[insult] * (i % 2), *text[30:]])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
+    model = toxicity.fit(docs, labels)
+    judged = toxicity.predict(docs, model).filter("held_out").join(labels, "doc_id")
+    assert judged.filter("predicted = toxic").count() >= 0.95 * judged.count()
+    texts = [insult, insult.upper(), " ".join(insult), f"{insult[:3]}-{insult[3:]}", *words[:50]]
+    got = toxicity.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).orderBy("doc_id").collect()
+    assert min(r.score for r in got[:4]) > max(r.score for r in got[4:])
+
+
 def test_toxicity_without_labels(awkward, spark):
     got = toxicity.report(awkward, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()
     assert len(got) == len(AWKWARD) and all(r.score == 0 and r.predicted == 0 for r in got)
