@@ -6,7 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pulsegrid.llm import decontaminate, language, licenses, near_dedup, packing, quality, quotations, secrets, token_files, toxicity
+from pulsegrid.llm import (
+    adaptive_scan,
+    conversation_repair,
+    decontaminate,
+    filtered_clustering,
+    language,
+    licenses,
+    near_dedup,
+    packing,
+    quality,
+    quotations,
+    secrets,
+    token_files,
+    toxicity,
+)
 from pulsegrid.llm.checks import CHECKS
 from pulsegrid.llm.common import table
 
@@ -55,10 +69,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.report(table(spark, sf_dir, "documents"))
 
 
+def op11_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.report(table(spark, sf_dir, "conversations"))
+
+
+def op12_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return adaptive_scan.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op13_filtered_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filtered_clustering.report(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_token_files, op3_toxicity, op4_near_duplicates, op5_license_scan, op6_chat_quotations,
         op7_decontamination, op8_secret_scan, op9_best_fit_packing, op10_language,
+        op11_structure_repair, op12_adaptive_scan, op13_filtered_clustering,
     )
 }
