@@ -3,19 +3,27 @@
 1. Documents with the same shingle set form a class; only one of each class, its
    representative, goes on. Copies are merged before anything is shuffled twice.
 2. In each of several independent trees a representative goes to the child named
-   by its minwise token. The documents of a node that are not yet linked with its
-   largest component are its open ones; a node with few is compared exhaustively,
-   its open documents with all others of the node. In a larger node documents are
-   compared with two pivots, and it branches again: by two minwise tokens, drawn
-   from the node's path, and with probability 3/4 by two others as well, so that a
-   pair at the limit of similarity keeps, on average, one common path.
-3. Pairs pass a sketch of 64 bytes (a pair at the limit fails it with probability
-   below 1e-5) and are confirmed on their full sets of 64-bit shingle hashes.
-4. Links are contracted to components by alternating large and small stars.
-
-Nothing is capped: nodes branch until few documents are open; nodes that have
-more after MAX_LEVELS levels are compared exhaustively. What is kept between
-steps are tables in the shared folder.
+   by its minwise token. A node whose documents are all linked is done. Nodes of
+   up to ``task`` documents are branched on inside a task, larger ones by a
+   shuffle: by two minwise tokens, drawn anew for every node, twice, so that a
+   pair at the limit of similarity keeps more than one common child on average;
+   of a few draws the two that part the node's documents most are taken, as
+   tokens of boilerplate part nothing. Before a large node branches, documents
+   whose sketches all but equal a pivot's are tied to it.
+3. A small node is compared exhaustively by sketches of 64 bytes (a pair at the
+   limit fails that with probability below 1e-5). What is passed on are not pairs
+   but groups of documents of bounded size, a row a document; a pivot's documents
+   are cut into groups that each hold the pivot.
+4. Groups are verified on the documents' full sets of 64-bit shingle hashes:
+   shared shingles are counted through the group's postings, one document at a
+   time, until those left are all in one component.
+5. Links are contracted to components by alternating large and small stars. Two
+   rounds are made: the first trees link most families, the others then only look
+   at nodes whose documents are still in different components.
+
+Nothing is capped: a node that goes on being large after MAX_LEVELS shuffles is
+cut into blocks, and every two blocks are compared. What is kept between steps
+are tables in the shared folder.
 
 Rows that repeat a doc_id are one document (the smaller set of shingles of its
 texts stands for it in classes of its own). A row without a doc_id is linked
@@ -25,10 +33,8 @@ empty sets and are linked with nothing. Other columns are not read.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -40,26 +46,29 @@ from pulsegrid.llm.common import semi_join
 from pulsegrid.session import durable
 
 FUNCTIONS = 64
-MAX_LEVELS = 24
+#: Shuffles that branch large nodes, and branchings inside a task, before all documents of a node are compared.
+MAX_LEVELS = 12
+PIVOTS = 4
 
 _KEYS = textblocks.mix(np.arange(1, 2 * FUNCTIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 @dataclass(frozen=True)
 class Settings:
-    """words: per shingle; percent: least similarity; recall: that the trees reach for a pair at the limit that needs
-    ``depth`` levels; node: open documents of a node that is compared exhaustively; least_sketch: share of equal sketch bytes a pair needs."""
+    """words: per shingle; percent: least similarity; trees: in all, ``first_trees`` of them in the first round; node: documents
+    outside the largest component of a node that is compared exhaustively; task: documents of a node that a task branches on its own;
+    least_sketch, sure_sketch: shares of equal sketch bytes that a pair needs, and that ties a document to a pivot until it
+    is verified; group: shingles verified together, about."""
 
     words: int = 5
     percent: int = 75
-    recall: float = 0.999
-    depth: int = 3
-    node: int = 32
+    trees: int = 13
+    first_trees: int = 2
+    node: int = 1_024
+    task: int = 16_384
     least_sketch: float = 0.5
-
-    @property
-    def trees(self) -> int:
-        return math.ceil(math.log(1 - self.recall) / math.log(1 - (self.percent / 100) ** self.depth))
+    sure_sketch: float = 0.9
+    group: int = 2_000_000
 
 
 def _sets(texts: pa.Array, words: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -115,62 +124,273 @@ def sets_of(documents: DataFrame, ids: DataFrame, settings: Settings) -> DataFra
     return rows.mapInArrow(collect, "id long, set binary").groupBy("id").agg(F.min("set").alias("set"))
 
 
-def _alike(pairs: DataFrame, settings: Settings) -> DataFrame:
-    """Distinct pairs (a, b) whose sketches agree enough."""
+def _fits(one: np.ndarray, two: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes can be similar enough."""
+    return np.minimum(one, two) * 100 >= np.maximum(one, two) * percent
+
+
+class _Paths:
+    """Branches the documents of one node inside a task and gathers the groups to verify, as arrays of row numbers."""
+
+    def __init__(self, node: int, sizes: np.ndarray, sketch: np.ndarray, part: np.ndarray, settings: Settings):
+        self.sizes, self.sketch, self.settings = sizes, sketch, settings
+        self.label = np.unique(part, return_inverse=True)[1]
+        self.draw = np.random.default_rng(np.uint64(node & 0xFFFFFFFFFFFFFFFF))
+        self.groups: list[np.ndarray] = []
+
+    def agreeing(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Equal sketch bytes of every document of ``one`` with every one of ``two``."""
+        equal = np.zeros((len(one), len(two)), np.uint8)
+        ours, theirs = self.sketch[one], self.sketch[two]
+        for k in range(FUNCTIONS):
+            equal += ours[:, k, None] == theirs[None, :, k]
+        return equal
+
+    def candidates(self, one: np.ndarray, two: np.ndarray, share: float) -> np.ndarray:
+        good = self.agreeing(one, two) >= share * FUNCTIONS
+        good &= self.label[one][:, None] != self.label[two][None]
+        return good & _fits(self.sizes[one][:, None], self.sizes[two][None], self.settings.percent)
+
+    def tie(self, pivot: int, others: np.ndarray) -> None:
+        """Groups of a pivot and the documents taken for its own."""
+        heaps = np.cumsum(self.sizes[others]) // self.settings.group
+        self.groups += [np.r_[pivot, others[heaps == heap]] for heap in np.unique(heaps)]
+        self.label[np.isin(self.label, self.label[others])] = self.label[pivot]
+
+    def open(self, rows: np.ndarray) -> np.ndarray:
+        """Documents outside the largest component."""
+        labels = self.label[rows]
+        return rows[labels != np.bincount(labels).argmax()]
+
+    def explore(self, rows: np.ndarray, depth: int = 0) -> None:
+        left = self.open(rows)
+        for _ in range(2 * PIVOTS):
+            if len(left) <= self.settings.node:
+                break
+            pivot = self.draw.choice(left)
+            sure = rows[self.candidates(np.array([pivot]), rows, self.settings.sure_sketch)[0]]
+            if len(sure):
+                self.tie(pivot, sure)
+                left = self.open(rows)
+        if not len(left):
+            return
+        children = [] if len(left) <= self.settings.node or depth == MAX_LEVELS else self.children(rows)
+        if not children:
+            self.compare(left, rows)
+        for child in children:
+            self.explore(child, depth + 1)
+
+    def children(self, rows: np.ndarray) -> list[np.ndarray]:
+        """Children of two branchings; none if tokens don't part the documents."""
+        drawn = []
+        for _ in range(6):
+            one, two = self.draw.choice(FUNCTIONS, 2, replace=False)
+            key = self.sketch[rows, one].astype(np.int64) * 256 + self.sketch[rows, two]
+            drawn.append((float((np.bincount(key).astype(np.float64) ** 2).sum()), len(drawn), key))
+        out = []
+        for together, _, key in sorted(drawn, key=lambda d: d[:2])[:2]:
+            if together > 0.8 * len(rows) ** 2:
+                return []
+            order = np.argsort(key, kind="stable")
+            out += [rows[part] for part in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(part) > 1]
+        return out
+
+    def compare(self, left: np.ndarray, rows: np.ndarray) -> None:
+        """All pairs of a document outside the largest component with any other, by their sketches."""
+        step = max(1, (4 << 20) // len(rows))
+        wanted = np.zeros(len(self.label), bool)
+        for at in range(0, len(left), step):
+            some = left[at : at + step]
+            good = self.candidates(some, rows, self.settings.least_sketch)
+            wanted[some[good.any(1)]] = True
+            wanted[rows[good.any(0)]] = True
+        members = np.flatnonzero(wanted)
+        if not len(members):
+            return
+        heap = np.cumsum(self.sizes[members]) // self.settings.group
+        heaps = [members[heap == h] for h in np.unique(heap)]
+        if len(heaps) == 1:
+            self.groups += heaps
+        else:  # too much to verify at once: every two heaps
+            self.groups += [np.r_[heaps[i], heaps[j]] for i in range(len(heaps)) for j in range(i)]
+
+
+_GROUPS = pa.schema([("group", pa.int64()), ("id", pa.int64()), ("part", pa.int64())])
+
+
+def _grouped(ids: np.ndarray, part: np.ndarray, groups: list[np.ndarray]) -> pa.RecordBatch:
+    """Rows of the groups; a group is named by its documents, so that trees which find the same one name it alike."""
+    names = [int(textblocks.mix(ids[g].astype(np.uint64)).sum() ^ np.uint64(len(g))) for g in groups]
+    sizes, rows = [len(g) for g in groups], np.concatenate(groups) if groups else np.zeros(0, int)
+    name = np.repeat(np.array(names, np.uint64), sizes).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(name), pa.array(ids[rows]), pa.array(part[rows])], schema=_GROUPS)
+
+
+def _columns(batch: pa.RecordBatch) -> list[np.ndarray]:
+    sketch = np.frombuffer(b"".join(batch["sketch"].to_pylist()), np.uint8).reshape(-1, FUNCTIONS)
+    return [*(batch[c].to_numpy(zero_copy_only=False) for c in ("node", "id", "n", "part")), sketch]
+
+
+def groups_of(nodes: DataFrame, settings: Settings) -> DataFrame:
+    """(group, id, part) of nodes that fit a task: documents that may be similar to one another."""
+
+    def explored(node: np.ndarray, ids: np.ndarray, sizes: np.ndarray, part: np.ndarray, sketch: np.ndarray) -> pa.RecordBatch:
+        begins = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+        ends = np.r_[begins[1:], len(node)]
+        two = begins[ends - begins == 2]  # most nodes hold two documents
+        good = (sketch[two] == sketch[two + 1]).sum(1) >= settings.least_sketch * FUNCTIONS
+        good &= (part[two] != part[two + 1]) & _fits(sizes[two], sizes[two + 1], settings.percent)
+        groups = [np.array([k, k + 1]) for k in two[good]]
+        for begin, end in zip(begins, ends):
+            if end - begin > 2:
+                paths = _Paths(int(node[begin]), sizes[begin:end], sketch[begin:end], part[begin:end], settings)
+                paths.explore(np.arange(end - begin))
+                groups += [begin + g for g in paths.groups]
+        return _grouped(ids, part, groups)
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            columns = _columns(batch)
+            if rest is not None:
+                columns = [np.concatenate(pair) for pair in zip(rest, columns)]
+            whole = len(columns[0]) and int(np.flatnonzero(np.r_[True, columns[0][1:] != columns[0][:-1]])[-1])  # the last node may go on
+            if whole:
+                yield explored(*(c[:whole] for c in columns))
+            rest = [c[whole:] for c in columns]
+        if rest is not None and len(rest[0]):
+            yield explored(*rest)
+
+    rows = nodes.select("node", "id", "n", "part", "sketch").repartition("node").sortWithinPartitions("node")
+    return rows.mapInArrow(stream, "group long, id long, part long")
+
+
+def _open_nodes(rows: DataFrame) -> DataFrame:
+    """Rows (node, id, part) of nodes that hold more than one component, with the number of the node's documents."""
+    nodes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("part").alias("least"), F.max("part").alias("greatest"))
+    return rows.join(nodes.filter(F.col("least") < F.col("greatest")).select("node", "size"), "node")
 
-    def agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _tied(large: DataFrame, settings: Settings) -> DataFrame:
+    """Rows of large nodes, each with the pivot it is tied to (or null) and that pivot's component in place of its own."""
+    row = F.struct("id", "n", "part", "sketch")
+    drawn = [F.min_by(row, F.xxhash64("id", "node", F.lit(k))) for k in range(PIVOTS)]
+    pivots = large.groupBy("node").agg(F.array(*drawn).alias("pivots"))
+
+    def tie(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, two = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, FUNCTIONS) for c in ("sketch_a", "sketch_b"))
-            good = pa.array((one == two).mean(1) >= settings.least_sketch)
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(good), batch["b"].filter(good)], names=["a", "b"])
-
-    return pairs.mapInArrow(agree, "a long, b long").distinct()
-
-
-def _joined(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Pairs of documents of one node that are not in one component and whose sizes allow the similarity; ``open_a`` and ``open_b`` say which are open."""
-    columns = ("id", "n", "sketch", "part", "open")
-    one = left.select("node", *[F.col(c).alias(f"{c}_a") for c in columns])
-    two = right.select("node", *[F.col(c).alias(f"{c}_b") for c in columns])
-    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent
-    return one.join(two, (one["node"] == two["node"]) & (F.col("part_a") != F.col("part_b")) & fits).drop("node")
-
-
-def _pairs(frontier: DataFrame, limit: int, settings: Settings) -> DataFrame:
-    """Candidates of one level, from nodes of at most ``limit`` open documents and from the pivots of larger ones."""
-    ready = frontier.filter(F.col("opens") <= limit)
-    once = ~F.col("open_b") | (F.col("id_a") < F.col("id_b"))
-    near = _joined(ready.filter("open"), ready, settings.percent).filter(once)
-    large = frontier.filter(F.col("opens") > limit)
-    row = F.struct("id", "n", "sketch", "part", "open")
-    pivot = large.groupBy("node").agg(*[F.min_by(row, F.xxhash64("id", F.lit(k))).alias(f"p{k}") for k in range(2)])
-    pivot = pivot.select("node", F.explode_outer(F.array("p0", "p1")).alias("p")).select("node", "p.*")
-    stars = _joined(pivot, large, settings.percent)
-    return _alike(near.unionByName(stars).select(
-        F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"),
-        F.when(F.col("id_a") < F.col("id_b"), F.col("sketch_a")).otherwise(F.col("sketch_b")).alias("sketch_a"),
-        F.when(F.col("id_a") < F.col("id_b"), F.col("sketch_b")).otherwise(F.col("sketch_a")).alias("sketch_b"),
-    ), settings)
-
-
-def confirm(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-
-    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for one, two in zip(batch["set_a"], batch["set_b"], strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (one, two))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * common >= settings.percent * (len(x) + len(y) - common))
-            good = pa.array(good, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch["a"].filter(good), batch["b"].filter(good)], names=["a", "b"])
-
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
-    return joined.select("a", "b", "set_a", "set_b").mapInArrow(exact, "a long, b long")
+            node, ids, sizes, part, sketch = _columns(batch)
+            pivot, now = np.zeros(len(ids), np.int64), part.copy()
+            of = batch["pivots"].flatten()
+            p_ids, p_sizes, p_parts = (of.field(c).to_numpy(zero_copy_only=False).reshape(-1, PIVOTS) for c in ("id", "n", "part"))
+            p_sketch = np.frombuffer(b"".join(of.field("sketch").to_pylist()), np.uint8).reshape(-1, PIVOTS, FUNCTIONS)
+            free = np.ones(len(ids), bool)
+            for k in range(PIVOTS):
+                sure = free & ((sketch == p_sketch[:, k]).sum(1) >= settings.sure_sketch * FUNCTIONS)
+                sure &= (p_parts[:, k] != part) & _fits(sizes, p_sizes[:, k], settings.percent)
+                pivot[sure], now[sure] = p_ids[sure, k], p_parts[sure, k]
+                free &= ~sure & (p_ids[:, k] != ids)
+            tied = pa.array(pivot, mask=now == part)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node), pa.array(ids), pa.array(sizes), pa.array(part), batch["sketch"], batch["size"], tied, pa.array(now)],
+                names=["node", "id", "n", "part", "sketch", "size", "pivot", "now"],
+            )
+
+    joined = large.join(pivots, "node").select("node", "id", "n", "part", "sketch", "size", "pivots")
+    return joined.mapInArrow(tie, "node long, id long, n long, part long, sketch binary, size long, pivot long, now long")
+
+
+def _pivot_groups(tied: DataFrame) -> DataFrame:
+    """(group, id, part): about 64 documents of a pivot each, with the pivot."""
+    some = tied.filter(F.col("pivot").isNotNull())
+    some = some.withColumn("group", F.xxhash64("node", "pivot", F.pmod(F.xxhash64("id"), F.ceil(F.col("size") / 64))))
+    pivots = some.select("group", F.col("pivot").alias("id"), F.col("now").alias("part")).distinct()
+    return some.select("group", "id", "part").unionByName(pivots)
+
+
+def _branched(tied: DataFrame) -> DataFrame:
+    """Children of large nodes: two minwise tokens, drawn twice for each node; rows (node, id, part, n, sketch)."""
+    draw = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(FUNCTIONS)).cast("int")
+    token = lambda salt: F.substring("sketch", draw(salt) + 1, F.lit(1))
+    children = [F.xxhash64("node", F.lit(k), token(f"{k}-1"), token(f"{k}-2")) for k in range(2)]
+    return tied.select(F.explode(F.array(*children)).alias("node"), "id", F.col("now").alias("part"), "n", "sketch")
+
+
+def _block_pairs(large: DataFrame, settings: Settings) -> DataFrame:
+    """Nodes that branching does not part: their documents in blocks, and every two blocks a node of its own."""
+    blocks = F.ceil(F.col("size") * 2 / settings.task)
+    dealt = large.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return dealt.withColumn("node", F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")))
+
+
+def _candidates(classes: DataFrame, roots: DataFrame | None, first: int, trees: int, settings: Settings) -> DataFrame:
+    """(group, id, part) of trees ``first`` up to ``trees``, stored."""
+    rows = classes.select(F.posexplode(F.slice("tokens", first + 1, trees - first)).alias("tree", "token"), "id")
+    rows = rows.select(F.xxhash64(F.col("tree") + first, "token").alias("node"), "id")
+    if roots is None:
+        rows = rows.withColumn("part", F.col("id"))
+    else:
+        rows = rows.join(roots, "id", "left").select("node", "id", F.coalesce("root", "id").alias("part"))
+    nodes = durable(_open_nodes(rows).join(classes.select("id", "n", "sketch"), "id"), "nodes")
+    found = groups_of(nodes.filter(F.col("size") <= settings.task), settings)
+    large, level = nodes.filter(F.col("size") > settings.task), 0
+    while not large.isEmpty():
+        if level == MAX_LEVELS:
+            found = found.unionByName(groups_of(_block_pairs(large, settings), settings))
+            break
+        tied = durable(_tied(large, settings), "tied")
+        nodes = durable(_open_nodes(_branched(tied)), "nodes")
+        found = found.unionByName(_pivot_groups(tied)).unionByName(groups_of(nodes.filter(F.col("size") <= settings.task), settings))
+        large, level = nodes.filter(F.col("size") > settings.task), level + 1
+    return durable(found, "groups")
+
+
+# --- verification ----------------------------------------------------------------------------------------------------
+
+def linked(sets: list[np.ndarray], part: np.ndarray, percent: int) -> np.ndarray:
+    """Component of each set, as the place of a member: those of one ``part``, and those joined by similar pairs."""
+    label = np.unique(part, return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    _, code = np.unique(np.concatenate(sets), return_inverse=True)
+    owner, bounds = np.repeat(np.arange(len(sets)), sizes), np.r_[0, np.cumsum(sizes)]
+    posting = owner[np.argsort(code, kind="stable")]
+    count = np.bincount(code)
+    begin = np.cumsum(count) - count
+    weight = np.add.reduceat(count[code], bounds[:-1])  # documents that share much come first
+    waiting = np.ones(len(sets), bool)
+    while True:
+        left = np.flatnonzero(waiting & (label != np.bincount(label).argmax()))
+        if not len(left):
+            return label
+        one = left[weight[left].argmax()]
+        waiting[one] = False
+        mine = code[bounds[one] : bounds[one + 1]]
+        many = count[mine]
+        at = np.repeat(begin[mine] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        common = np.bincount(posting[at], minlength=len(sets))
+        near = 100 * common >= percent * (sizes[one] + sizes - common)
+        label[np.isin(label, label[near])] = label[one]
+
+
+def verified(documents: DataFrame, groups: DataFrame, settings: Settings) -> DataFrame:
+    """Links (a, b) between components that hold a similar pair, from the full sets of each group's documents."""
+    groups = groups.dropDuplicates(["group", "id"])
+    sets = sets_of(documents, durable(groups.select("id").distinct(), "members"), settings)
+
+    def verify(table: pa.Table) -> pa.Table:
+        part = table["part"].to_numpy()
+        label = linked([np.frombuffer(s.as_buffer(), np.uint64) for s in table["set"]], part, settings.percent)
+        a, b = [], []
+        for k in np.unique(label):
+            parts = np.unique(part[label == k])
+            a += parts[1:].tolist()
+            b += [int(parts[0])] * (len(parts) - 1)
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return groups.join(sets, "id").select("group", "part", "set").groupBy("group").applyInArrow(verify, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -210,68 +430,24 @@ def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
     return durable(old.unionByName(new), "roots")
 
 
-def _opened(rows: DataFrame) -> DataFrame:
-    """Rows of nodes of more than one component: which are open, and how many of the node are."""
-    parts = rows.groupBy("node", "part").agg(F.count("*").alias("of_part"))
-    largest = F.max(F.struct("of_part", F.col("part").alias("main")))
-    nodes = parts.groupBy("node").agg(largest.alias("m"), F.sum("of_part").alias("size"), F.count("*").alias("parts")).filter(F.col("parts") > 1)
-    nodes = nodes.select("node", F.col("m")["main"].alias("main"), (F.col("size") - F.col("m")["of_part"]).alias("opens"))
-    return rows.join(nodes, "node").withColumn("open", F.col("part") != F.col("main")).drop("main")
-
-
-def _branch(frontier: DataFrame, roots: DataFrame, settings: Settings) -> DataFrame:
-    """Children of the nodes with many open documents."""
-    large = frontier.filter(F.col("opens") > settings.node).select("node", "id", "n", "sketch")
-    draw = lambda salt, n: F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(n)).cast("int")
-    pair = lambda salt: F.struct(draw(f"{salt}-1", FUNCTIONS).alias("one"), draw(f"{salt}-2", FUNCTIONS).alias("two"))
-    choice = F.when(draw("more", 4) == 0, F.array(pair("a"))).otherwise(F.array(pair("a"), pair("b")))
-    child = large.withColumn("choice", F.explode_outer(choice))
-    token = lambda name: F.substring("sketch", F.col("choice")[name] + 1, F.lit(1))
-    child = child.withColumn("node", F.xxhash64("node", "choice", token("one"), token("two"))).drop("choice")
-    child = child.join(roots, "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
-    return _opened(child)
-
-
-def link(documents: DataFrame, sketched: DataFrame, settings: Settings = Settings()) -> tuple[DataFrame, DataFrame]:
-    """Confirmed links between representatives (a < b), and components (id, root)."""
-    spark = documents.sparkSession
+def link(documents: DataFrame, sketched: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Components (id, root) of representatives that are linked."""
     known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
-    classes = known.groupBy("print_a", "print_b").agg(
+    classes = durable(known.groupBy("print_a", "print_b").agg(
         F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"),
-    )
-    rows = classes.select(F.posexplode_outer("tokens").alias("tree", "token"), "id", "n", "sketch")
-    rows = rows.select(F.xxhash64("tree", "token").alias("node"), "id", "n", "sketch", F.col("id").alias("part"))
-    frontier = durable(_opened(rows), "paths")
-    found: list[DataFrame] = []
-    sets: list[DataFrame] = []
-    roots = spark.createDataFrame([], "id long, root long")
-    level = 1
-    while True:
-        limit = settings.node if level < MAX_LEVELS else (1 << 62)
-        pairs = durable(_pairs(frontier, limit, settings), "pairs")
-        ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        for have in sets:
-            ids = ids.join(have.select("id"), "id", "left_anti")
-        ids = durable(ids, "members")
-        if not ids.isEmpty():
-            sets.append(durable(sets_of(documents, ids, settings), "sets"))
-        if sets and not pairs.isEmpty():
-            found.append(durable(confirm(pairs, reduce(DataFrame.unionByName, sets), settings), "links"))
-            roots = contracted(roots, found[-1])
-        if level >= MAX_LEVELS or frontier.filter(F.col("opens") > limit).isEmpty():
-            break
-        frontier = durable(_branch(frontier, roots, settings), "paths")
-        level += 1
-        if frontier.isEmpty():
-            break
-    links = reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], "a long, b long")
-    return links.distinct(), roots
+    ).drop("print_a", "print_b"), "classes")
+    roots, done = None, 0
+    for trees in (settings.first_trees, settings.trees):
+        links = durable(verified(documents, _candidates(classes, roots, done, trees, settings), settings), "links")
+        roots = contracted(documents.sparkSession.createDataFrame([], "id long, root long") if roots is None else roots, links)
+        done = trees
+    return roots
 
 
 def classify(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The contract's row per document: doc_id, n_shingles, component_id, kept."""
     sketched = durable(sketches(documents, settings), "sketches")
-    _, roots = link(documents, sketched, settings)
+    roots = link(documents, sketched, settings)
     known = sketched.filter(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
     classes = known.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("id"))
     classes = classes.join(roots, "id", "left").select("print_a", "print_b", F.coalesce("root", "id").alias("component"))

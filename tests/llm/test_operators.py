@@ -220,7 +220,7 @@ def test_near_duplicates_large_groups(spark):
     shared = " ".join(f"s{k}" for k in range(60))
     rows += [(2000 + i, shared + " " + " ".join(f"y{i}z{k}" for k in range(60))) for i in range(90)]  # alike, not enough
     frame_ = spark.createDataFrame(rows, "doc_id long, text string")
-    rows_by_text(near_dedup.classify(frame_, near_dedup.Settings(node=8)), brute_components(rows))
+    rows_by_text(near_dedup.classify(frame_, near_dedup.Settings(node=8, task=40, group=3_000)), brute_components(rows))
 
 
 def chain(ids, tag):
