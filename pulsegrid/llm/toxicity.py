@@ -22,7 +22,8 @@ table of triples, and a text is scored by looking up its triples, in blocks of
 bounded size. A sentence of fewer than three letters has no triple.
 
 An empty or null text has no word and gets the lowest score of all; without
-labels of both kinds every score is 0. Rows are judged one by one.
+labels of both kinds every score is 0. Rows are judged one by one; those without
+doc_id are scored like others and never learned from.
 """
 
 from __future__ import annotations
@@ -39,6 +40,7 @@ from pyspark.sql import functions as F
 
 from pulsegrid.llm import textblocks
 from pulsegrid.llm.common import first_by_hash
+from pulsegrid.session import durable
 
 def _letters() -> np.ndarray:
     """By code point: 0 no letter, 1-26 a-z, else the code point of the lower-case letter or mark."""
@@ -64,14 +66,15 @@ ENDS[[33, 46, 63]] = True
 
 @dataclass(frozen=True)
 class Settings:
-    """The model is fitted on a bounded sample: at most ``sample_docs`` labelled documents of each label, in the order of
-    a hash of their id, ``sample_bytes`` of each, and ``clean_words`` of their words and as many of their longer units. ``landmarks``: units of
+    """The machine is fitted on a bounded sample: at most ``sample_docs`` labelled documents of each label, in the order of
+    a hash of their id; of a text longer than ``sample_characters``, passages evenly spread over all of it; and ``clean_words`` of
+    their words and as many of their longer units. Probabilities are calibrated on the same documents' whole texts. ``landmarks``: units of
     either kind; toxic ones have at least the share ``least_strength`` of the strongest one's strength, and longer units stand in
     ``least_documents`` toxic documents. A toxic document whose units are all less than ``least_likeness`` like a toxic landmark
     is left out of the first fit."""
 
     sample_docs: int = 800
-    sample_bytes: int = 10_000
+    sample_characters: int = 20_000
     landmarks: int = 64
     gap: int = 2
     decay: float = 0.6
@@ -196,31 +199,44 @@ def row_scores(data: np.ndarray, offsets: np.ndarray, table: np.ndarray, setting
     return row[rows], np.maximum.reduceat(best, rows)
 
 
-def tables(words: list[str], settings: Settings) -> np.ndarray:
-    """One row per unit: its normalised triple weights, so that a row looked up by a text's triples is the kernel."""
-    out = np.zeros((len(words), PLACES), np.float32)
-    for i, w in enumerate(words):
-        codes, _ = characters(np.frombuffer(w.encode(), np.uint8))
-        norm = 0.0
-        for _, code, _, weight in triples(codes, np.zeros(len(codes), np.int32), settings):
-            np.add.at(out[i], code, weight)
-            norm += weight**2 * len(code)
-        out[i] /= np.sqrt(max(norm, 1e-12))
-    return out
+@dataclass(frozen=True)
+class Landmarks:
+    """Normalised triple weights of each landmark (a row), at the places of the table that any of them uses."""
+
+    places: np.ndarray
+    weights: np.ndarray
 
+    def first(self, count: int) -> Landmarks:
+        return Landmarks(self.places, self.weights[:count])
 
-def kernel(units: list[str], landmarks: np.ndarray, settings: Settings) -> np.ndarray:
-    """Kernel values of units with every landmark's table."""
-    used = np.flatnonzero(landmarks.any(0))
-    place = np.full(landmarks.shape[1], -1)
-    place[used] = np.arange(len(used))
-    by_code = np.ascontiguousarray(landmarks[:, used].T)
-    parts = [np.zeros((0, len(landmarks)), np.float32)]
+
+def landmark_table(units: list[str], settings: Settings) -> Landmarks:
+    """Looked up by a text's triples, a row is the kernel with that unit."""
+    found = []
+    for unit in units:
+        codes, _ = characters(np.frombuffer(unit.encode(), np.uint8))
+        parts = [(code, np.full(len(code), weight)) for _, code, _, weight in triples(codes, np.zeros(len(codes), np.int32), settings)]
+        code, weight = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.int64) for k in (0, 1))
+        found.append((code, weight / np.sqrt(max((weight**2).sum(), 1e-12))))
+    places = np.unique(np.concatenate([code for code, _ in found]))
+    weights = np.zeros((len(units), len(places)), np.float32)
+    for row, (code, weight) in zip(weights, found, strict=True):
+        np.add.at(row, np.searchsorted(places, code), weight)
+    return Landmarks(places, weights)
+
+
+def kernel(units: list[str], landmarks: Landmarks, settings: Settings) -> np.ndarray:
+    """Kernel values of units with every landmark."""
+    place = np.full(PLACES, -1, np.int32)
+    place[landmarks.places] = np.arange(len(landmarks.places))
+    by_code = np.ascontiguousarray(landmarks.weights.T)
+    many = len(landmarks.weights)
+    parts = [np.zeros((0, many), np.float32)]
     for i in range(0, len(units), 5000):
         encoded = units[i : i + 5000]
         codes, _ = characters(np.frombuffer("".join(encoded).encode(), np.uint8))
         owner = np.repeat(np.arange(len(encoded), dtype=np.int32), [len(u) for u in encoded])
-        out, norm = np.zeros((len(encoded), len(landmarks)), np.float32), np.zeros(len(encoded))
+        out, norm = np.zeros((len(encoded), many), np.float32), np.zeros(len(encoded))
         for at, code, _, weight in triples(codes, owner, settings):
             unit, code = owner[at], place[code]
             norm += weight**2 * np.bincount(unit, minlength=len(encoded))
@@ -251,18 +267,28 @@ def sentences(text: str) -> list[list[str]]:
     return found
 
 
-def sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> tuple[list[str], np.ndarray]:
-    """Texts and labels to learn from: the first of either label by a hash of the id, none of them held out."""
+def spread(text: str, most: int, words: int = 40) -> str:
+    """A text of at most ``most`` characters; of a longer one, passages (sentences, long ones cut) evenly spread over it."""
+    if len(text) <= most:
+        return text
+    passages = [part[i : i + words] for part in map(str.split, SENTENCE.split(text)) for i in range(0, len(part), words)]
+    passages = [" ".join(p)[:most] for p in passages]
+    ends = np.cumsum([len(p) + 1 for p in passages])
+    share = most / ends[-1]
+    taken = np.floor(ends * share / (8 * words))  # one passage whenever its share of about 320 characters is full
+    return "\n".join(p for p, now, before in zip(passages, taken, np.r_[0, taken[:-1]]) if now > before)[:most]
+
+
+def sample(documents: DataFrame, labels: DataFrame, settings: Settings) -> DataFrame:
+    """(doc_id, text, toxic) to learn from: the first of either label by a hash of the id, none of them held out, whole texts.
+
+    A label that stands twice is toxic if either is; of several texts of an id the least is taken.
+    """
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
     known = known.filter(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = first_by_hash(known, "toxic", settings.sample_docs)
-    wanted = {r["doc_id"]: r["toxic"] for r in chosen.select("doc_id", "toxic").collect()}
-    if not wanted:
-        return [], np.zeros(0, int)
-    part = F.substring("text", 1, settings.sample_bytes)
-    rows = documents.filter(F.col("doc_id").isin(sorted(wanted))).select("doc_id", part.alias("text")).filter(F.length("text") > 0)
-    texts = sorted({(r["doc_id"], r["text"]) for r in rows.collect()})
-    return [t for _, t in texts], np.array([wanted[i] for i, _ in texts], int)
+    chosen = durable(first_by_hash(known, "toxic", settings.sample_docs).select("doc_id", "toxic"), "sample")
+    rows = documents.select("doc_id", "text").filter(F.length("text") > 0).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample_docs ids
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 @dataclass(frozen=True)
@@ -323,9 +349,8 @@ def split_units(ids: np.ndarray, sentence: np.ndarray, document: np.ndarray, tox
     return found
 
 
-def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
-    """None if there are not labels of both kinds."""
-    texts, toxic = sample(documents, labels, settings)
+def train(texts: list[str], toxic: np.ndarray, settings: Settings) -> tuple[np.ndarray, float] | None:
+    """Table and bias of the machine; None if there are not labels of both kinds, or nothing sets them apart."""
     vocabulary: dict[str, int] = {}
     split = [[[vocabulary.setdefault(w, len(vocabulary)) for w in s] for s in sentences(t)] for t in texts]
     some = np.array([bool(b) for b in split], bool)
@@ -366,14 +391,14 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     bad_words = [w for w in ranked if strongest[w] >= settings.least_strength * strongest[ranked[0]]][: settings.landmarks]
     clean = list(dict.fromkeys(w for part in clean_lists for w in part))
     clean_words = [w for part in clean_lists for w in part[: settings.landmarks // 2 if part is clean_lists[0] else settings.landmarks // (2 * RUN)]]
-    landmarks = tables(bad_words + clean_words, settings)
+    landmarks = landmark_table(bad_words + clean_words, settings)
     values, vectors = np.linalg.eigh(kernel(bad_words + clean_words, landmarks, settings).astype(float))
     keep = values > 1e-6
     project = (vectors[:, keep] / np.sqrt(values[keep])).astype(np.float32)  # kernel values -> Nystroem features
 
     # a unit with next to no likeness to a toxic landmark is never taken for a toxic one, so its features are not kept
     ranked.sort()
-    near = [np.flatnonzero(kernel(ranked[i : i + 5000], landmarks[: len(bad_words)], settings).max(1) >= 0.3) + i for i in range(0, len(ranked), 5000)]
+    near = [np.flatnonzero(kernel(ranked[i : i + 5000], landmarks.first(len(bad_words)), settings).max(1) >= 0.3) + i for i in range(0, len(ranked), 5000)]
     pool = [ranked[i] for part in near for i in part]
     if not clean or not pool:
         return None
@@ -401,11 +426,43 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         weights, bias = _machine(x, np.r_[-np.ones(int(active.sum())), np.ones(len(witness))], settings)
         guess, least = pool_x @ weights + bias, 0.0
         active |= clean_x @ weights + bias > -1  # clean units inside the margin join the next fit
-    table = (project @ weights) @ landmarks
-    table = table.astype(np.float32)
-    encoded = pa.array(texts, pa.string())
-    slope, shift = _calibrate(_worst(encoded, table, bias, settings)[some], toxic)
-    return Model(table, float(bias), slope, shift, settings)
+    table = np.zeros(PLACES, np.float32)
+    table[landmarks.places] = (project @ weights) @ landmarks.weights
+    return table, float(bias)
+
+
+def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()) -> Model | None:
+    """None if there are not labels of both kinds. The bounded sample is learned from in one task; the driver gets the table of
+    triples, and the sampled documents' scores for the calibration."""
+    taken = durable(sample(documents, labels, settings), "sample")
+
+    def shorten(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):  # a text at a time
+                text = spread(batch["text"][row].as_py(), settings.sample_characters)
+                one = slice(row, row + 1)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"][one], pa.array([text]), batch["toxic"][one]], names=["doc_id", "text", "toxic"])
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted(row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("doc_id", "text", "toxic"))))
+        found = train([text for _, text, _ in rows], np.array([y for _, _, y in rows], int), settings) if rows else None
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([found[0].tobytes()]), pa.array([found[1]])], names=["weights", "bias"])
+
+    short = taken.mapInArrow(shorten, "doc_id long, text string, toxic int")
+    learned = short.repartition(1).mapInArrow(learn, "weights binary, bias double").collect()
+    if not learned:
+        return None
+    table, bias = np.frombuffer(learned[0]["weights"], np.float32), learned[0]["bias"]
+
+    def worst(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(_worst(batch["text"], table, bias, settings)), batch["toxic"]], names=["doc_id", "worst", "toxic"])
+
+    rows = sorted(taken.mapInArrow(worst, "doc_id long, worst double, toxic int").collect())
+    rows = [r for r in rows if r["worst"] > -1.0 - abs(bias)]  # those with words
+    slope, shift = _calibrate(np.array([r["worst"] for r in rows]), np.array([r["toxic"] for r in rows]))
+    return Model(table, bias, slope, shift, settings)
 
 
 def _machine(x: np.ndarray, y: np.ndarray, settings: Settings) -> tuple[np.ndarray, float]:
