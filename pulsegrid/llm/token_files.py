@@ -4,8 +4,8 @@ Documents are range-partitioned by id; each task encodes its documents in order
 and writes one stream file: record batches of a fixed number of rows, each row
 ``ids`` (fixed-size list of 16-bit or 32-bit ids) and ``mask`` (fixed-size list
 of booleans, false in the padding of the last row). Every batch but the last
-has the same size, so row and token places need no search, and a memory-mapped
-file is read without copying. Which document lies where is a table beside the
+takes the same bytes, so a reader seeks to the batch of a row or token and reads
+nothing else, from any store; a memory-mapped file is read without copying. Which document lies where is a table beside the
 files; it names only files of tasks that succeeded, so what a lost task left
 behind is never read.
 
@@ -35,8 +35,9 @@ from pulsegrid.session import durable, shared_path
 SEQUENCE = 2048
 ROWS_PER_BATCH = 64
 END_ID = 0
-#: Encoded pieces a worker remembers (about 200 bytes each); later ones are encoded whenever they occur.
-REMEMBERED = 1_200_000
+#: Bytes of encoded pieces that a worker remembers, with what Python adds to each; later ones are encoded whenever they occur.
+REMEMBERED_BYTES = 100_000_000
+PIECE_BYTES = 180
 
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
@@ -50,7 +51,8 @@ class Encoder:
 
     Byte-level tokenizers never join what stands before white space with it, unless that is white space too. So texts
     are cut there, each distinct piece is encoded once, and the ids are put together again: the same ids as for the
-    whole text.
+    whole text. Strings of added tokens become their tokens, as they do in a whole text; if one of them takes in white
+    space, nothing is cut.
     """
 
     def __init__(self, path: str) -> None:
@@ -58,28 +60,29 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.cuts = not any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        self.room = REMEMBERED_BYTES
 
     def _pieces(self, distinct: list[str]) -> list[bytes]:
         found = [*map(self.known.get, distinct)]
         missing = [i for i, code in enumerate(found) if code is None]
         if missing:
             new = [distinct[i] for i in missing]
-            room = REMEMBERED - len(self.known)
             for i, piece, code in zip(missing, new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
                 found[i] = array(self.dtype.char, code.ids).tobytes()
-                if room > 0:
+                if self.room > 0:
                     self.known[piece] = found[i]
-                    room -= 1
+                    self.room -= len(piece) + len(found[i]) + PIECE_BYTES
         return found
 
     def encode(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For blocks of rows: the first row, all ids with END_ID after each row, and the rows' lengths."""
         for first, data, offsets in textblocks.blocks(texts, 8 << 20):
             cut = np.zeros(len(data) + 1, bool)
-            if len(data):
+            if len(data) and self.cuts:
                 cut[1:-1] = _WHITE[data[1:]] & ~_WHITE[data[:-1]] & ~_MAYBE_WHITE[data[:-1]]
             cut[offsets] = True
             bounds = np.flatnonzero(cut)
@@ -149,19 +152,36 @@ class TokenWriter:
 
 
 class TokenFile:
-    """Random access to a stream file; a local one is memory-mapped and its arrays are views of it."""
+    """Random access to a stream file by seeking: every batch but the last takes the same bytes, which the first one tells.
+
+    Only the batches asked for are read; of a local, memory-mapped file their arrays are views.
+    """
 
     def __init__(self, path: str) -> None:
         files, place = pa.fs.FileSystem.from_uri(path)
         local = isinstance(files, pa.fs.LocalFileSystem)
         self.source = pa.memory_map(place) if local else files.open_input_file(place)
-        self.batches = list(pa.ipc.open_stream(self.source))
-        self.sequence = self.batches[0].schema.field("ids").type.list_size if self.batches else SEQUENCE
-        self.rows = self.batches[0].num_rows if self.batches else 0
+        self.schema = pa.ipc.read_schema(self.source)
+        self.sequence = self.schema.field("ids").type.list_size
+        self.begin = self.source.tell()
+        self.held: tuple[int, pa.RecordBatch] | None = None
+        first = self._next()
+        self.size = self.source.tell() - self.begin
+        self.rows = first.num_rows
+        self.held = 0, first
+
+    def _next(self) -> pa.RecordBatch:
+        return pa.ipc.read_record_batch(pa.ipc.read_message(self.source), self.schema)
+
+    def batch(self, number: int) -> pa.RecordBatch:
+        if self.held is None or self.held[0] != number:
+            self.source.seek(self.begin + number * self.size)
+            self.held = number, self._next()
+        return self.held[1]
 
     def row(self, number: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and mask of one sequence."""
-        batch, at = self.batches[number // self.rows], number % self.rows
+        batch, at = self.batch(number // self.rows), number % self.rows
         cut = slice(at * self.sequence, (at + 1) * self.sequence)
         return batch["ids"].values.to_numpy()[cut], batch["mask"].values[cut].to_numpy(zero_copy_only=False)
 
@@ -169,14 +189,14 @@ class TokenFile:
         """The ids from place ``start`` on; a view unless they cross batches."""
         size, parts = self.sequence * self.rows, []
         while count > 0:
-            ids = self.batches[start // size]["ids"].values.to_numpy()
+            ids = self.batch(start // size)["ids"].values.to_numpy()
             part = ids[start % size : start % size + count]
             parts.append(part)
             start, count = start + len(part), count - len(part)
         return parts[0] if len(parts) == 1 else np.concatenate(parts) if parts else np.zeros(0, np.uint16)
 
     def close(self) -> None:
-        self.batches = []
+        self.held = None
         self.source.close()
 
 

@@ -89,13 +89,15 @@ def test_token_files(name, docs, awkward, both, spark):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     code = Tokenizer.from_file(path)
-    code.encode_special_tokens = True
     start, expected = 0, []
-    for i, text in sorted(both[name], key=lambda r: (r[0] is not None, r[0] or 0)):
+    told = [(20, "one<|endoftext|> two  <|endoftext|>\n<|endoftext|>"), (21, "<|endoftext|>"), (22, "<|endoftext| >")] if name == "awkward" else []
+    for i, text in sorted(both[name] + told, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*code.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
         expected.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
-    rows_by_text(token_files.report(frame(name, docs, awkward), path, 128), expected)
+    rows = frame(name, docs, awkward).select("doc_id", "text")
+    rows = rows.unionByName(spark.createDataFrame(told, "doc_id long, text string")) if told else rows
+    rows_by_text(token_files.report(rows, path, 128), expected)
 
 
 def test_token_file_rows(tmp_path):
@@ -108,6 +110,7 @@ def test_token_file_rows(tmp_path):
     assert np.array_equal(file.row(3)[0], ids[48:64]) and file.row(3)[1].all()
     assert file.row(62)[1].tolist() == [True] * 8 + [False] * 8
     assert np.array_equal(file.tokens(50, 400), ids[50:450])
+    assert file.rows == 4 and np.array_equal(file.tokens(940, 60), ids[940:]) and np.array_equal(file.tokens(3, 5), ids[3:8])
 
 
 def test_toxicity_catches_held_out_and_bent_words(spark):
