@@ -267,20 +267,75 @@ def test_license_index(spark):
     assert got[0].score == 1 and got[2].score == 0
 
 
+MESSAGES = "conv_id long, turn int, role string, text string, level int, passage int"
+
+
+def linked_messages(spark, rows):
+    got = quotations.conversations(spark.createDataFrame([(*r, 1, 1) for r in rows], MESSAGES))
+    return Counter((r.conv_id, r.turn, r.thread, r.place, r.parent, r.text) for r in got.collect())
+
+
 def test_quotations(spark):
     rows = [
         (1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> how  ARE you?\nFine.\n\nAnd you?"), (1, 2, "user", "Something new"),
         (1, 3, "user", "> > How are you?\n>  Fine.\nGreat"), (None, 1, "user", None), (2, None, "user", "> x"), (1, 2, "user", "Something new"),
-        (1, 4, "user", "> Fine.\n> Great"),
+        (1, 4, "user", "> Fine.\n> Great"), (3, 0, "user", ""), (3, 1, "user", "> --"),
     ]
-    got = quotations.conversations(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
-    found = Counter((r.conv_id, r.turn, r.thread, r.parent, r.text) for r in got.collect())
-    assert found == Counter({
-        (1, 0, 0, None, "Hello there\nHow are you?"): 1, (1, 1, 0, 0, "Fine.\n\nAnd you?"): 1, (1, 2, 2, None, "Something new"): 2,
-        (1, 3, 0, 1, "Great"): 1, (None, 1, 1, None, None): 1, (2, None, None, None, ""): 1, (1, 4, 0, 3, ""): 1,
+    assert linked_messages(spark, rows) == Counter({
+        (1, 0, 0, 0, None, "Hello there\nHow are you?"): 1, (1, 1, 0, 1, 0, "Fine.\n\nAnd you?"): 1, (1, 2, 2, 0, None, "Something new"): 2,
+        (1, 3, 0, 2, 1, "Great"): 1, (None, 1, None, None, None, None): 1, (2, None, None, None, None, ""): 1, (1, 4, 0, 3, 3, ""): 1,
+        (3, 0, 0, 0, None, ""): 1, (3, 1, 1, 0, None, ""): 1,
     })
 
 
+def test_quotations_wrapped_partial_and_repeated(spark):
+    long = "The quick brown fox jumps over the lazy dog and then it sleeps for the whole afternoon under a tree"
+    rows = [
+        (1, 0, "user", long), (1, 1, "user", "Thank you very much"), (1, 2, "user", "Thank you very much\nfor the long answer you gave"),
+        (1, 3, "assistant", "> the quick brown fox jumps over\n> the lazy dog and then it\nYes."),  # wrapped anew, and a part only
+        (1, 4, "user", "> Thank you very much\n> for the long answer you gave\nWelcome."),  # only turn 2 holds all of it
+        (1, 5, "user", "> Thank you very much\nWhich one?"),  # the latest of two holders
+        (1, 6, "user", ">> Yes.\n> the lazy dog and then it sleeps\nBoth."),  # the lowest level leads
+        (2, 0, "user", "> The quick brown fox jumps over"), (2, 1, "user", long),  # nothing earlier
+    ]
+    parents = {(c, t): p for (c, t, _, _, p, _) in linked_messages(spark, rows)}
+    assert parents == {(1, 0): None, (1, 1): None, (1, 2): None, (1, 3): 0, (1, 4): 2, (1, 5): 2, (1, 6): 0, (2, 0): None, (2, 1): None}
+
+
+def test_quotations_of_many_marks_and_blanks(spark):
+    rows = [(1, 0, "user", "so it is"), (1, 1, "user", ">" * 100_000 + " so it is\nI agree" + " " * 300_000 + "\n"), (1, 2, "user", "> " + "word " * 50_000),
+            (1, 3, "user", " " * 300_000 + "x"), (1, 4, "user", "> " * 50_000)]
+    got = {t: (p, text) for (_, t, _, _, p, text) in linked_messages(spark, rows)}
+    assert got[1] == (0, "I agree") and got[2] == (None, "") and got[3][1] == rows[3][3] and got[4] == (None, "")
+
+
+def test_quotations_against_search(spark):
+    """Random conversations; parents found by comparing every passage with every earlier message."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for conv in range(12):
+        said = []
+        for turn in range(10):
+            text = " ".join(f"w{k}" for k in rng.integers(0, 40, rng.integers(5, 20)))
+            if said and rng.random() < 0.6:
+                source = said[rng.integers(0, len(said))].split()
+                begin = int(rng.integers(0, len(source) - 4))
+                part = source[begin : begin + int(rng.integers(4, 12))]
+                cut = int(rng.integers(1, len(part) + 1))
+                text_ = "> " + " ".join(part[:cut]).upper() + ("\n> " + " ".join(part[cut:]) if part[cut:] else "") + "\n" + text
+            else:
+                text_ = text
+            rows.append((conv, turn, "user", text_))
+            said.append(text)
+    expected = {}
+    for conv, turn, _, text in rows:
+        quoted = " ".join(line[2:].lower() for line in text.split("\n") if line.startswith("> "))
+        holders = [t for c, t, _, other in rows if c == conv and t < turn and f" {quoted} " in f" {other.split(chr(10))[-1]} "]
+        expected[conv, turn] = max(holders) if quoted and holders else None
+    got = {(c, t): p for (c, t, _, _, p, _) in linked_messages(spark, rows)}
+    assert got == expected
+
+
 def test_decontamination(spark):
     rng = np.random.default_rng(5)
     vocabulary = [f"v{i}" for i in range(3000)]
