@@ -25,18 +25,19 @@ WHOLE = [name for name in NUMERIC if name != "bmi"]
 def read_source(spark: SparkSession, path: str, separator: str = ",", encoding: str = "UTF-8") -> DataFrame:
     """Source CSV by its header: health fields as numbers, everything else as text.
 
-    Only the header is looked at before the scan. Health fields are read as
-    doubles, so that a code written as ``2.0`` is kept.
+    Only headers are looked at before the scan; files may order their columns
+    differently. Health fields are read as doubles, so that a code written as
+    ``2.0`` is kept.
     """
-    header = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).csv(path).columns
+    header = list(next(iter(files.csv_headers(spark, path, separator, encoding)), ()))
     schema = T.StructType([
         T.StructField(name, contract.DOUBLE if name in NUMERIC else contract.STRING, True) for name in header])
     return files.read_csv(spark, path, schema, separator, encoding)
 
 
-def clean_layer(spark: SparkSession, source: str, target: str, separator: str = ",") -> None:
+def clean_layer(spark: SparkSession, source: str, target: str, separator: str = ",", encoding: str = "UTF-8") -> None:
     """Source CSV to cleaned rows; codes become integers after the domain checks."""
-    cleaned = cleaning.clean(read_source(spark, source, separator))
+    cleaned = cleaning.clean(read_source(spark, source, separator, encoding))
     whole = {name: C(name).cast("int") for name in WHOLE if name in cleaned.columns}
     files.write_layer(cleaned.withColumns(whole), target)
 

@@ -309,7 +309,7 @@ def client_id_check(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", privacy.is_client_id(text).alias("valid"))
 
 
-_JSON_FIELDS = sorted(["age", "gender", "cholesterol", "district", "community_id", "age_group"])
+_JSON_FIELDS = sorted(["age", "gender", "cholesterol", "district", "community_id", "age_group", "bmi", "fasting_glucose", "systolic_bp"])
 _JSON_TEXT = {"district", "age_group"}
 
 

@@ -349,7 +349,7 @@ def graded_residents(spark, sf_dir):
     graded = advice.with_situation(
         scored_residents(spark, sf_dir), grading.level_code(grading.overall_probability(heart, stroke)))
     plans = advice.plan_table(demo_rules(spark), DEMO_VERSION)
-    full = advice.attach_plans(graded, plans).withColumns({
+    full = advice.attach(graded, plans).withColumns({
         "final_category": grading.final_category(heart, stroke), "level_name": grading.level_name(C("level"))})
     return full.select(
         "resident_id", "final_category", C("level").alias("level_code"), "level_name",

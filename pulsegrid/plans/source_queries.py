@@ -26,6 +26,16 @@ def csv_scan(spark, sf_dir):
     return files.read_csv(spark, path, contract.RESIDENT_SCHEMA)
 
 
+@query("s01_reordered_headers", RESIDENT_SQL)
+def reordered_headers(spark, sf_dir):
+    """Files with their columns in another order, and with one more column, read as one table."""
+    source, path = residents(spark, sf_dir).select(*RESIDENT_COLUMNS), shared_path(spark, "csv")
+    young, old = C("age") < 50, C("age") >= 50
+    files.write_csv(source.filter(young), f"{path}/a")
+    files.write_csv(source.filter(old).select(*reversed(RESIDENT_COLUMNS), F.lit("x").alias("remark")), f"{path}/b")
+    return files.read_csv(spark, [f"{path}/a", f"{path}/b"], contract.RESIDENT_SCHEMA)
+
+
 @query("s02_csv_scan_encoding", with_residents(
     "SELECT resident_id, district || 'é' AS district, age, bmi FROM residents"))
 def csv_scan_encoding(spark, sf_dir):

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,7 +34,34 @@ def build_session(app_name: str = "pulsegrid", master: str | None = None, **conf
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def package_archive(folder: str) -> str:
+    """A zip of this package's modules in ``folder``; the same modules make the same bytes."""
+    root = Path(__file__).resolve().parent
+    path = Path(folder) / f"{root.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for module in sorted(root.rglob("*.py")):
+            entry = zipfile.ZipInfo(f"{root.name}/{module.relative_to(root).as_posix()}", (1980, 1, 1, 0, 0, 0))
+            archive.writestr(entry, module.read_bytes(), zipfile.ZIP_DEFLATED)
+    return str(path)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give Python workers this package, once per application: functions sent to them name its modules.
+
+    The archive is made beside the driver; Spark copies it to every executor, also to ones that start later.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _SHIPPED:
+        context.addPyFile(package_archive(tempfile.mkdtemp(prefix="pulsegrid-package-")))
+        _SHIPPED.add(context.applicationId)
 
 
 def shared_root(spark: SparkSession) -> str:

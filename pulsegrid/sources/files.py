@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 from collections.abc import Iterator
 from urllib.parse import quote
@@ -19,6 +20,37 @@ C = F.col
 BAD_ROW = "_bad_row"
 #: Bytes of a file that are in memory while it is hashed.
 HASHED_BYTES = 4 << 20
+#: Bytes in which a CSV file's header ends.
+HEADER_BYTES = 1 << 16
+
+
+def csv_headers(spark: SparkSession, path: str | list[str], separator: str = ",", encoding: str = "UTF-8") -> dict[tuple[str, ...], list[str]]:
+    """Files by their header. Tasks read the first HEADER_BYTES of every file, nothing else; files without a line are left out."""
+    listed = spark.read.format("binaryFile").load(path).select("path", "length").filter(C("length") > 0)
+    first = listed.first()
+    if first is None:
+        return {}
+    try:
+        _opened(first.path)
+    except (pa.ArrowException, ValueError, OSError):  # only Spark opens this store: its reader compares every header with the first one
+        columns = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).csv(path).columns
+        return {tuple(columns): [path] if isinstance(path, str) else list(path)}
+
+    def headers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for place in batch["path"].to_pylist():
+                system, name = _opened(place)
+                with system.open_input_stream(name) as stream:
+                    text = stream.read(HEADER_BYTES).decode(encoding, "replace").lstrip("\ufeff")
+                found.append(next(csv.reader(text.splitlines()[:1], delimiter=separator), []))
+            yield pa.RecordBatch.from_arrays([batch["path"], pa.array(found, pa.list_(pa.string()))], names=["path", "header"])
+
+    rows = listed.mapInArrow(headers, "path string, header array<string>").filter(F.size("header") > 0)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in rows.orderBy("path").collect():  # a name a file, as the reader's own listing holds them
+        groups.setdefault(tuple(row.header), []).append(row.path)
+    return groups
 
 
 def read_csv(
@@ -27,16 +59,25 @@ def read_csv(
 ) -> DataFrame:
     """Header CSV with an explicit schema, so no pass over the data is spent on inference.
 
-    Columns are bound by name: a file whose header differs from the schema, in
-    names or in order, is refused rather than read into the wrong columns.
-    With ``keep_bad_rows`` unreadable lines are kept in ``_bad_row``.
+    Columns are bound by name: files are grouped by their header and each group is read in its own order; columns beyond the
+    schema are passed over, a file that lacks one is refused. With ``keep_bad_rows`` unreadable lines are kept in ``_bad_row``.
     """
-    reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding)
-    reader = reader.option("enforceSchema", False)
-    if keep_bad_rows:
-        schema = T.StructType([*schema.fields, T.StructField(BAD_ROW, T.StringType(), True)])
-        reader = reader.option("columnNameOfCorruptRecord", BAD_ROW)
-    return reader.schema(schema).csv(path)
+    names, frame = schema.names, None
+    for header, paths in csv_headers(spark, path, separator, encoding).items():
+        missing = sorted(set(names) - set(header))
+        if missing or len(set(header)) < len(header):
+            raise ValueError(f"{paths[0]} lacks columns {missing}" if missing else f"{paths[0]} repeats a column")
+        fields = [schema[name] if name in names else T.StructField(name, T.StringType()) for name in header]
+        reader = spark.read.option("header", True).option("sep", separator).option("encoding", encoding).option("enforceSchema", False)
+        if keep_bad_rows:
+            fields.append(T.StructField(BAD_ROW, T.StringType(), True))
+            reader = reader.option("columnNameOfCorruptRecord", BAD_ROW)
+        part = reader.schema(T.StructType(fields)).csv(paths).select(*names, *([BAD_ROW] if keep_bad_rows else []))
+        frame = part if frame is None else frame.unionByName(part)
+    if frame is None:
+        extra = [T.StructField(BAD_ROW, T.StringType(), True)] if keep_bad_rows else []
+        return spark.createDataFrame([], T.StructType([*schema.fields, *extra]))
+    return frame
 
 
 def write_csv(df: DataFrame, path: str, separator: str = ",", encoding: str = "UTF-8") -> None:

@@ -24,6 +24,7 @@ RULE_TYPE = T.StructType([
     T.StructField("review_mode", T.StringType()),
     T.StructField("target_population", T.StringType()),
     T.StructField("boundary_notes", T.StringType()),
+    T.StructField("contraindication", T.StringType()),
     T.StructField("source_doc", T.StringType()),
     T.StructField("source_section", T.StringType()),
     T.StructField("evidence_level", T.StringType()),
@@ -59,7 +60,8 @@ DEMO_RULES = [
     {"rule_id": "pressure-home-log", "factor": "hypertension", "risk_levels": ALL_LEVELS, "priority": 5,
      "advice": "Keep a home blood-pressure log.", "source": "demo"},
     {"rule_id": "pressure-low-salt", "factor": "hypertension", "risk_levels": [2, 3, 4, 5], "priority": 8,
-     "advice": "Cut salt step by step.", "source": "demo"},
+     "advice": "Cut salt step by step.", "source": "demo", "contraindication": "Not with kidney failure.",
+     "source_doc": "demo-guide", "source_section": "2.1", "evidence_level": "B"},
     {"rule_id": "pressure-review", "factor": "hypertension", "risk_levels": [4, 5], "priority": 8,
      "advice": "Have the treatment reviewed.", "source": "demo"},
     {"rule_id": "smoke-quit-date", "factor": "smoker", "risk_levels": ALL_LEVELS, "priority": 6,
@@ -91,7 +93,8 @@ DEMO_RULES = [
     {"rule_id": "habit-bundle", "auto_factors": ["smoker", "alcohol"], "risk_levels": [3], "priority": 6,
      "advice": "Change both habits together.", "source": "demo"},
     {"rule_id": "high-risk-visit", "factor": "risk_level", "risk_levels": [4, 5], "priority": 50,
-     "rule_class": "follow_up", "advice": "Book a visit soon.", "source": "demo"},
+     "rule_class": "follow_up", "advice": "Book a visit soon.", "source": "demo", "domain": "visit",
+     "boundary_notes": "Emergencies go to the ward.", "contraindication": "none", "source_doc": "demo-guide"},
     {"rule_id": "pressure-visit", "factor": "hypertension", "risk_levels": [3, 4, 5], "priority": 40,
      "rule_class": "follow_up", "advice": "Book a pressure check.", "source": "demo"},
     {"rule_id": "yearly-visit", "factor": "bmi", "risk_levels": [1, 2], "priority": 1,

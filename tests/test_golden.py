@@ -5,6 +5,7 @@ import hmac
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,7 +203,7 @@ def plans_for(spark, rule_list, samples, version="test-v1"):
     df = spark.createDataFrame(rows, fields)
     graded = advice.with_situation(df, C("level"))
     table = advice.plan_table(rules.rules_frame(spark, rule_list, version), version)
-    return advice.attach_plans(graded, table).orderBy("id").collect()
+    return advice.attach(graded, table).orderBy("id").collect()
 
 
 def test_rule_document(spark, tmp_path):
@@ -230,6 +231,29 @@ def test_plans(spark):
     assert [a.rule_id for a in pressure.actions] == ["pressure-home-log"]
 
 
+def test_suggestions_carry_their_rule(spark, tmp_path):
+    """Follow-up first with the level's guidance; provenance of each; contraindication where there are no boundary notes."""
+    path = tmp_path / "rules.json"
+    shared = {"risk_levels": [4, 5], "source": "s", "source_doc": "guide", "source_section": "3.2", "evidence_level": "A", "target_population": "adults"}
+    path.write_text(json.dumps({"version": "v7", "rules": [
+        {"rule_id": "salt", "factor": "hypertension", "advice": "a", "contraindication": "kidneys", "priority": 2, **shared},
+        {"rule_id": "salt", "factor": "hypertension", "advice": "again", "priority": 9, **shared},
+        {"rule_id": "pills", "auto_factors": ["hypertension", "diabetes"], "advice": "b", "boundary_notes": "doctor", "contraindication": "x", "priority": 2, **shared},
+        {"rule_id": "manual", "factor": "diabetes", "advice": "c", "automation_safe": False, "priority": 50, **shared},
+        {"rule_id": "visit", "factor": "risk_level", "advice": "d", "rule_class": "follow_up", "domain": "visits", **shared},
+    ]}))
+    df = spark.createDataFrame([(1, 1, 1, 1, 0, 0, 1, 25.0, 4)], "id int, hypertension int, cholesterol int, diabetes int, smoker int, alcohol int, exercise int, bmi double, level int")
+    row = advice.attach(advice.with_situation(df, C("level")), advice.plan_table(rules.read_rules(spark, str(path)), "v7")).first()
+    follow, pressure, sugar, weight = row.suggestions
+    assert (follow.rule_id, follow.domain, follow.text, follow.boundary_notes) == ("visit", "visits", row.follow_up, "")
+    assert (pressure.rule_id, pressure.boundary_notes, pressure.source_doc, pressure.source_section, pressure.evidence_level) == ("salt", "kidneys", "guide", "3.2", "A")
+    assert (sugar.rule_id, sugar.boundary_notes, sugar.matched_factors, sugar.target_population) == ("pills", "doctor", ["diabetes", "hypertension"], "adults")
+    assert (weight.rule_id, weight.source_doc, weight.version) == (V.BMI_DEFAULT_RULE, None, "v7")
+    assert row.actions == row.suggestions[1:] and all(s.automation_safe for s in row.suggestions)
+    matches = advice.attach_matches(advice.with_situation(df, C("level")), advice.matching_rules(rules.read_rules(spark, str(path))), ["id"])
+    assert [(r.rule_id, r.pos) for r in matches.orderBy("pos").collect()] == [("salt", 0), ("pills", 2), ("visit", 4)]
+
+
 def test_plan_without_rules_keeps_weight_default(spark):
     (row,) = plans_for(spark, [], [{"id": 1, "bmi": 26.0, "smoker": 2, "level": 3}])
     assert [a.rule_id for a in row.actions] == [V.BMI_DEFAULT_RULE]
@@ -301,10 +325,12 @@ def test_numbers_are_decimal(spark):
     assert all(r.n is None for r in rows[5:])
 
 
-def test_reordered_csv_is_refused(spark, tmp_path):
+def test_reordered_csv_is_bound_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
     (tmp_path / "f.csv").write_text("b,a\n1,2\n")
-    with pytest.raises(Exception, match="(?i)header"):
-        files.read_csv(spark, str(tmp_path / "f.csv"), "a int, b int").collect()
+    schema = T.StructType([T.StructField("a", T.IntegerType()), T.StructField("b", T.IntegerType())])
+    assert tuple(files.read_csv(spark, str(tmp_path / "f.csv"), schema).first()) == (2, 1)
 
 
 def test_stroke_rate_counts_stroke_scores(spark):
@@ -340,3 +366,81 @@ def test_ingest_keeps_the_same_copy_and_reads_nothing_at_first(spark, tmp_path):
     stream = ingest.read_stream(spark, source, spark.read.parquet(source).schema)
     ingest.ingest_unique(stream, ["k", "p"], "p", target, str(tmp_path / "progress"))
     assert [tuple(r) for r in ingest.read_unique(spark, target, stream.schema).collect()] == [(1, "a", 3)]
+
+
+@pytest.mark.parametrize("value", [1e-5, 1e10, 1e16, -0.0, 0.0, 57.0, 0.1, 1e-4, 123456789012345680.0, 9999999999999998.0, 5e-324, 1.7976931348623157e308, -2.5e-7, 2.0**-44, 1 / 3, 0.1 + 0.2])
+def test_json_numbers(spark, value):
+    from pyspark.sql import types as T
+
+    df = spark.createDataFrame([(value,)], "x double")
+    assert df.select(privacy.json_text(C("x"), T.DoubleType())).first()[0] == json.dumps(value)
+
+
+def test_canonical_json_is_the_json_modules(spark):
+    rng = np.random.default_rng(1)
+    numbers = [float(x) for x in np.concatenate([rng.normal(size=300) * 10.0 ** rng.integers(-20, 20, 300), rng.integers(0, 10**6, 100) / 100, [float("inf"), -1.0]])]
+    rows = [(n, [n, None], {"b": 1, "a": None}, (True, 'quote " back \\ line\n \x1f\x07 é 漢 /'), i, None) for i, n in enumerate(numbers)]
+    df = spark.createDataFrame(rows, "z double, list array<double>, m map<string,int>, s struct<yes:boolean,text:string>, i int, none string")
+    found = [r[0] for r in df.orderBy("i").select(privacy.canonical_json(df, df.columns)).collect()]
+    for text, (z, values, m, (yes, shown), i, none) in zip(found, rows):
+        value = {"z": z, "list": values, "m": m, "s": {"yes": yes, "text": shown}, "i": i, "none": none}
+        assert text == json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def test_csv_is_bound_by_name(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    schema = T.StructType([T.StructField("age", T.IntegerType()), T.StructField("district", T.StringType())])
+    (tmp_path / "a.csv").write_text("age;district\n70;é\n", encoding="ISO-8859-1")
+    (tmp_path / "b.csv").write_text('"district";more;age\n"b;c";x;50\nd;y;60\n', encoding="ISO-8859-1")
+    (tmp_path / "empty.csv").write_text("")
+    found = files.read_csv(spark, str(tmp_path), schema, separator=";", encoding="ISO-8859-1")
+    assert sorted(tuple(r) for r in found.collect()) == [(50, "b;c"), (60, "d"), (70, "é")]
+    (tmp_path / "c.csv").write_text("age\n1\n")
+    with pytest.raises(ValueError, match="district"):
+        files.read_csv(spark, str(tmp_path), schema, separator=";", encoding="ISO-8859-1")
+
+
+def test_encoding_goes_through_the_chain(spark, tmp_path):
+    from pulsegrid import layers
+
+    columns = ["age", "gender", "bmi", "cholesterol", "diabetes", "hypertension", "smoker", "alcohol", "exercise", "label_heart", "label_stroke", "district"]
+    (tmp_path / "in.csv").write_text(";".join(columns) + "\n50;1;24.5;1;0;1;0;0;1;0;1;Évry\n", encoding="ISO-8859-1")
+    layers.clean_layer(spark, str(tmp_path / "in.csv"), str(tmp_path / "clean"), ";", "ISO-8859-1")
+    assert spark.read.parquet(str(tmp_path / "clean")).first().district == "Évry"
+
+
+def test_hash_of_a_large_sparse_file(spark, tmp_path):
+    """Three GiB, beyond what Spark's binary reader takes, in a worker whose memory is far below that."""
+    size, path = 3 << 30, tmp_path / "large.bin"
+    with path.open("wb") as stream:
+        stream.truncate(size)
+        stream.seek(size - 3)
+        stream.write(b"end")
+    digest, zeros = hashlib.sha256(), bytes(1 << 24)
+    for _ in range(size // len(zeros) - 1):
+        digest.update(zeros)
+    digest.update(zeros[:-3] + b"end")
+    row = files.file_hashes(spark, str(tmp_path)).first()
+    assert (row.file_name, row.length, row.sha256) == ("large.bin", size, digest.hexdigest())
+
+
+def test_workers_get_the_package(tmp_path):
+    """A program started elsewhere, with the repository on the driver's path only."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    program = tmp_path / "program.py"
+    program.write_text(f"""
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {str(tmp_path / "shared")!r}).getOrCreate()
+import __spark_entry__
+print("rows:", __spark_entry__.queries()["s09_file_hashes"](spark, "/root/testdata/sf0.001").count())
+""")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, str(program)], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "rows: 14" in done.stdout, done.stderr[-2000:]

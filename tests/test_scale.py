@@ -499,3 +499,12 @@ def test_no_cartesian_or_python_rows(spark):
         plan = plan_of(QUERIES[name](spark, SF_DIR))
         assert "CartesianProduct" not in plan and "BatchEvalPython" not in plan, name
     assert "WindowGroupLimit" in plan_of(QUERIES["w01_latest_records"](spark, SF_DIR))
+
+
+def test_advice_adds_no_exchange_to_the_records(spark):
+    from pulsegrid.plans.advice_queries import graded_records
+    from pulsegrid.plans.catalog import QUERIES
+
+    source = plan_of(graded_records(spark, SF_DIR)).count("Exchange hashpartitioning")
+    for name in ("j01_matching_rules", "w05_best_rule_per_factor", "w06_action_plan"):
+        assert plan_of(QUERIES[name](spark, SF_DIR)).count("Exchange hashpartitioning") == source, name
