@@ -10,8 +10,13 @@ A candidate is verified on the whole item: the least edit distance (in words)
 between the item and any passage around the place must be at most
 ``edits`` times its words.
 
-A window that could pass has most of its words in the items' vocabulary, so
-others are not walked; nothing that could match is lost by that. Every
+Segments stand in for windows of the whole item: a walk over a long item meets
+all its edits, one over a segment only those inside it, and one segment that
+agrees is enough, as the whole item is verified.
+
+A window with few words of the items' vocabulary is not walked: a segment with
+its share of the item's edits keeps more. (Edits that crowd into one segment may
+keep it from being walked, but then the item's others have fewer.) Every
 candidate is verified; places already covered by a match of the item are not
 verified again. Items are used in slices of bounded size, one pass over the
 documents each, so the items a task holds are bounded.
@@ -39,12 +44,13 @@ from pulsegrid.llm import textblocks
 class Settings:
     """edits: largest distance, as a share of the item's words. walks and tables (per walk): a segment with two edits in
     sixteen words agrees in one of the twelve tables with probability over 0.9, and an item has a segment every ``stride``
-    words. slice_bytes: text of the items used in one pass."""
+    words; shorter segments, which may be all of an item, get ``short_walks`` more. slice_bytes: text of the items used in one pass."""
 
     edits: float = 0.15
     segment: int = 16
     stride: int = 8
     walks: int = 4
+    short_walks: int = 2
     tables: int = 3
     slice_bytes: int = 32 << 20
 
@@ -56,6 +62,7 @@ class Shape:
     words: int
     steps: int
     places: np.ndarray  # tables x symbols
+    walks: int
 
 
 def shape(words: int, settings: Settings) -> Shape:
@@ -63,7 +70,8 @@ def shape(words: int, settings: Settings) -> Shape:
     steps = words if words < 4 else words + words // 4
     noted = min(words, 6)
     draw = np.random.default_rng(words)
-    return Shape(words, steps, np.array([np.sort(draw.permutation(steps)[:noted]) for _ in range(settings.tables)]))
+    walks = 1 if words < 4 else settings.walks if words >= settings.segment else settings.walks + settings.short_walks
+    return Shape(words, steps, np.array([np.sort(draw.permutation(steps)[:noted]) for _ in range(settings.tables)]), walks)
 
 
 def walk(symbols: np.ndarray, at: np.ndarray, ends: np.ndarray, form: Shape, seed: int) -> np.ndarray:
@@ -109,23 +117,23 @@ def index(ids: list[int | None], texts: list[str], settings: Settings) -> Index:
         words += [hashes[rows[i] : rows[i + 1]] for i in range(len(rows) - 1)]
     some = [i for i, w in enumerate(words) if len(w)]
     ids, words = [ids[i] for i in some], [words[i] for i in some]
-    entries: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for i, w in enumerate(words):
-        size = next((s for s in (settings.segment, settings.segment // 2, 4) if len(w) >= s), len(w))
-        places = {*range(0, len(w) - size + 1, settings.stride), len(w) - size}
-        entries[size] += [(i, p) for p in sorted(places)]
+    lengths = np.array([len(w) for w in words], np.int64)
+    all_words = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    begin = np.cumsum(lengths) - lengths
+    sizes = np.select([lengths >= settings.segment, lengths >= settings.segment // 2, lengths >= 4], [settings.segment, settings.segment // 2, 4], lengths)
     shapes = []
-    for size in sorted(entries):
-        form = shape(size, settings)
-        keys, items, places = [], [], []
-        for i, p in entries[size]:
-            for seed in range(settings.walks):
-                found = walk(words[i], np.array([p]), np.array([len(words[i])]), form, seed)[:, 0]
-                keys += found.tolist()
-                items += [i] * len(found)
-                places += [p] * len(found)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        shapes.append((form, np.array(keys, np.uint64)[order], np.array(items)[order], np.array(places)[order]))
+    for size in np.unique(sizes):
+        form = shape(int(size), settings)
+        item = np.flatnonzero(sizes == size)
+        # places every stride words, and the last one
+        many = (lengths[item] - size) // settings.stride + 1
+        place = (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)) * settings.stride
+        pairs = np.unique(np.r_[np.c_[np.repeat(item, many), place], np.c_[item, lengths[item] - size]], axis=0)
+        at, end = begin[pairs[:, 0]] + pairs[:, 1], (begin + lengths)[pairs[:, 0]]
+        keys = np.concatenate([walk(all_words, at, end, form, seed) for seed in range(form.walks)]).ravel()
+        order = np.argsort(keys, kind="stable")
+        of = order % len(pairs)
+        shapes.append((form, keys[order], pairs[of, 0], pairs[of, 1]))
     vocabulary = np.unique(np.concatenate(words)) if words else np.zeros(0, np.uint64)
     return Index(ids, words, vocabulary, shapes)
 
@@ -150,7 +158,7 @@ def candidates(hashes: np.ndarray, rows: np.ndarray, items: Index, settings: Set
         at = at[(inside[upto] - inside[at] >= least)]
         if not len(at):
             continue
-        for seed in range(settings.walks):
+        for seed in range(form.walks):
             for key in walk(hashes, at, ends[at], form, seed):
                 low, high = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 for hit in np.flatnonzero(high > low):
