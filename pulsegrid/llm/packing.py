@@ -8,10 +8,13 @@ least room that still holds the piece and carries neither its source nor its
 cluster (the search goes on from bin to bin in the order of their room), else
 into a new one.
 
-A cluster is the documents with the same words, letter case aside. Null sources
-conflict with nothing; a null or empty text has no words, makes no piece and is
-reported with a null bin. Repeated rows are pieces of one cluster, so they go
-to different bins. Other columns are not read.
+A cluster is a component of near-duplicates where the caller knows it, else the
+documents with the same words, letter case aside. Null sources conflict with
+nothing; a null or empty text has no words, makes no piece and is reported with
+a null bin. Repeated rows are pieces of one cluster, so they go to different
+bins; they are counted before they are dealt, and each copy by its number, so
+neither the layout of the files nor a row that a third of all rows repeat decides
+a shard. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -95,18 +98,36 @@ def fill(lengths: list[int], sources: list[int], clusters: list[int], capacity:
     return bins, offsets
 
 
-def pack(documents: DataFrame, settings: Settings = Settings()) -> DataFrame:
+#: Copies of a row that are numbered together.
+COPIES = 1_000
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """Every row with a number among the rows that are the same in all columns."""
+    counted = rows.groupBy(*rows.columns).agg(F.count("*").alias("_n"))
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / COPIES).cast("long"))))
+    last = F.least(F.col("_n"), (F.col("_block") + 1) * COPIES) - 1
+    return blocks.withColumn("copy", F.explode(F.sequence(F.col("_block") * COPIES, last))).drop("_n", "_block")
+
+
+def pack(documents: DataFrame, settings: Settings = Settings(), clusters: DataFrame | None = None) -> DataFrame:
     """One row per piece: doc_id, piece, first_word, length, bin and offset (null for texts without words).
 
-    ``bin`` names the shard in its upper half.
+    ``bin`` names the shard in its upper half. ``clusters`` (doc_id, component_id) names groups of near-duplicates; of
+    rows without one there the words decide.
     """
-    rows = durable(pieces(documents, settings), "pieces")
-    some = rows.filter(F.col("length") > 0)
-    shards = max(1, math.ceil(some.count() / settings.shard))
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "cluster", F.monotonically_increasing_id()), F.lit(shards)).cast("int")
+    rows = pieces(documents, settings)
+    if clusters is not None:
+        known = clusters.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+        rows = rows.join(known, "doc_id", "left").withColumn("cluster", F.when(F.col("component_id").isNotNull(), F.xxhash64("component_id", F.lit("component"))).otherwise(F.col("cluster")))
+        rows = rows.drop("component_id")
+    rows = durable(rows, "pieces")
+    some = numbered(rows.filter(F.col("length") > 0))
+    shards = max(1, math.ceil(rows.filter(F.col("length") > 0).count() / settings.shard))
+    shard = F.pmod(F.xxhash64("doc_id", "piece", "cluster", "source", "length", "copy"), F.lit(shards)).cast("int")
 
     def packed(table: pa.Table) -> pa.Table:
-        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending")]
+        order = [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("cluster", "ascending"), ("source", "ascending"), ("copy", "ascending")]
         table = table.sort_by(order)
 
         def numbers(column: str, once: bool) -> list[int]:

@@ -62,7 +62,8 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"))
+    documents = table(spark, sf_dir, "documents")
+    return packing.pack(documents, clusters=near_dedup.classify(documents).select("doc_id", "component_id"))
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:

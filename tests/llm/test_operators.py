@@ -357,6 +357,36 @@ def test_decontamination(spark):
     assert {r.doc_id for r in got if r.doc_id >= 100} == set(range(100, 130)) and all(r.item_id == 6 for r in got if r.doc_id >= 100)
 
 
+@pytest.mark.parametrize("size", [8, 10, 12, 16, 20, 24])
+def test_decontamination_recall(spark, size):
+    """Items of few words with as many edits as are allowed: at least nine in ten are found."""
+    rng = np.random.default_rng(size)
+    draw = lambda n: [f"v{i}" for i in rng.integers(0, 5000, n)]
+    items, rows = [draw(size) for _ in range(120)], []
+    for i, item in enumerate(items):
+        changed = list(item)
+        for _ in range(int(0.15 * size)):
+            at = int(rng.integers(0, len(changed)))
+            kind = rng.integers(0, 3)
+            if kind == 0:
+                changed[at] = "changed"
+            elif kind == 1:
+                del changed[at]
+            else:
+                changed.insert(at, "added")
+        rows.append((i, " ".join(draw(40) + changed + draw(40))))
+    got = decontaminate.find(spark.createDataFrame(rows, "doc_id long, text string"),
+                             spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string"))
+    found = {(r.doc_id, r.item_id) for r in got.collect()}
+    assert len([1 for i in range(120) if (i, i) in found]) >= 0.9 * 120 and all(d == i for d, i in found)
+
+
+def test_decontamination_awkward(awkward, spark):
+    items = spark.createDataFrame([(1, LONG[:400]), (2, "one two THREE four five six seven."), (None, "no id here at all, none"), (3, None), (4, " ")], "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.find(awkward, items).collect()}
+    assert got == {(3, 1), (4, 2), (5, 2), (None, None)}
+
+
 def test_best_passage():
     rng = np.random.default_rng(1)
     for _ in range(60):
@@ -408,6 +438,24 @@ def test_packing(name, docs, awkward, both):
         assert len(known) == len(set(known))
 
 
+def test_packing_keeps_near_copies_apart(spark):
+    """Components of near-duplicates conflict like copies; results don't depend on how rows lie in files; bins are well filled."""
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(int(rng.integers(5, 120)))), f"s{i}") for i in range(400)] + [(900, "same words", "z")] * 30
+    frame_ = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clusters = spark.createDataFrame([(i, i % 7 if i < 70 else i) for i in range(400)], "doc_id long, component_id long")
+    settings = packing.Settings(capacity=256, shard=200)
+    results = [sorted(tuple(r) for r in packing.pack(f, settings, clusters).collect()) for f in (frame_.coalesce(1), frame_.repartition(6, F.rand(3)))]
+    assert results[0] == results[1]
+    bins = defaultdict(list)
+    for doc_id, _, _, length, where, _ in results[0]:
+        bins[where].append((doc_id, length))
+    for held in bins.values():
+        known = [d % 7 for d, _ in held if d < 70]
+        assert len(known) == len(set(known)) and sum(d == 900 for d, _ in held) <= 1
+    assert sum(n for held in bins.values() for _, n in held) >= 0.75 * 256 * len(bins)
+
+
 def test_best_fit_against_search():
     rng = np.random.default_rng(3)
     lengths, sources, clusters = (rng.integers(1, 60, 400).tolist(), rng.integers(-1, 9, 400).tolist(), rng.integers(-1, 50, 400).tolist())
