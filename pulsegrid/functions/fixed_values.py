@@ -168,3 +168,8 @@ RISK_FACTOR_NAMES = {
     "bmi": "超重或肥胖",
     "exercise": "缺乏规律运动",
 }
+
+# What an assessment says about the scope of its models.
+SCOPE_TYPE = "screening_proxy"
+SCOPE_LABEL = "心脑血管风险筛查模型"
+SCOPE_DISCLAIMER = "结果用于课程项目中的健康风险提示，不代表临床诊断或真实年度发病概率。"

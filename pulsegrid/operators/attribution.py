@@ -123,6 +123,16 @@ def contributions(trees: Trees, x: np.ndarray) -> np.ndarray:
     return out.T
 
 
+#: Rows of a task: every edge of every tree is applied to each, so a task takes far fewer rows than a scan does.
+TASK_ROWS = 20_000
+
+
+def spread(stored: DataFrame) -> DataFrame:
+    """A stored table dealt to all tasks, in parts of about TASK_ROWS rows, however few files it stands in."""
+    parts = max(stored.count() // TASK_ROWS, stored.sparkSession.sparkContext.defaultParallelism)
+    return stored.repartition(int(parts))
+
+
 def tree_contributions(df: DataFrame, trees: Trees, prefix: str) -> DataFrame:
     """Add ``{prefix}{feature}``: the exact contributions to the ensemble's raw output."""
     names = contract.FEATURES

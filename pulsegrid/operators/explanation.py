@@ -88,6 +88,40 @@ def _ranked_rows(df: DataFrame, keep: list[str], prefix: str, limit: int, fields
     )
 
 
+def _ranked_list(prefix: str, limit: int, fields: dict[str, Column]) -> Column:
+    """The first ``limit`` places of both rankings as an array; fields are arrays in feature order."""
+    best = F.concat(F.slice(C(f"{prefix}raising"), 1, limit), F.slice(C(f"{prefix}lowering"), 1, limit))
+    names = F.array(*[F.lit(name) for name in contract.FEATURES])
+
+    def entry(factor: Column, slot: Column) -> Column:
+        position = (factor.bitwiseAND(F.lit(POSITIONS - 1)) + 1).cast("int")
+        return F.when(factor < 0, F.struct(
+            (slot % limit + 1).alias("place"), F.when(slot < limit, "increase").otherwise("decrease").alias("direction"),
+            F.element_at(names, position).alias("feature"), *[F.element_at(value, position).alias(name) for name, value in fields.items()]))
+
+    return F.array_compact(F.transform(best, entry))
+
+
+def factor_list(prefix: str = "", limit: int = TOP_PER_MODEL) -> Column:
+    """A model's top factors with their display texts, as an array in the row."""
+    names, values = _labels()
+    return _ranked_list(prefix, limit, {
+        "feature_label": names, "value_label": values,
+        "contribution": _feature_array(prefix + "contribution_{}"), "impact_percent": _feature_array(prefix + "impact_{}"),
+    })
+
+
+def combined_list(models: dict[str, str], limit: int = TOP_COMBINED) -> Column:
+    """The merged top factors with their sources, as an array in the row."""
+    listed = _ranked_list("sum_", limit, {
+        "contribution": _feature_array("sum_contribution_{}"), "impact_percent": _feature_array("sum_impact_{}"), "sources": _feature_array("sum_models_{}"),
+    })
+    bits = [(1 << bit, model) for bit, model in enumerate(models)]
+    return F.transform(listed, lambda f: f.withField("contribution", round_to_grid(f["contribution"], 6)).withField(
+        "impact_percent", round_to_grid(f["impact_percent"], 2)).withField("sources", F.array_compact(F.array(*[
+            F.when(f["sources"].bitwiseAND(F.lit(bit)) > 0, F.lit(model)) for bit, model in bits]))))
+
+
 def _feature_array(pattern: str) -> Column:
     return F.array(*[C(pattern.format(name)) for name in contract.FEATURES])
 

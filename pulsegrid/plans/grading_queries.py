@@ -81,10 +81,13 @@ _MISSING_SQL = "concat_ws(';', " + ", ".join(
     f"CASE WHEN {name} IS NULL THEN '{name}' END" for name in contract.FEATURES) + ")"
 
 
-@query("p11_record_validation", with_parts([PAYLOAD], f"""
+VERDICT_SQL = f"""
 SELECT resident_id, missing_fields, invalid_fields, reasons, missing_fields = '' AND invalid_fields = '' AS valid
 FROM (SELECT resident_id, {_MISSING_SQL} AS missing_fields, {_INVALID_SQL} AS invalid_fields, {_REASON_SQL} AS reasons
-  FROM payload) q"""))
+  FROM payload) q"""
+
+
+@query("p11_record_validation", with_parts([PAYLOAD], VERDICT_SQL))
 def record_validation(spark, sf_dir):
     df = grading.with_numbers(payload(spark, sf_dir))
     found = df.select(

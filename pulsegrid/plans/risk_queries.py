@@ -10,10 +10,11 @@ from pulsegrid.functions import fixed_values as V
 from pulsegrid.functions import grading
 from pulsegrid.functions.grading import DEMO_WEIGHTS
 from pulsegrid.functions.numeric import round_exact
-from pulsegrid.operators import advice, attribution, explanation, registry, training
+from pulsegrid.operators import advice, assessment, attribution, explanation, registry, training
 from pulsegrid.plans.advice_queries import RULE_PARTS, _ACTIONS, demo_rules
+from pulsegrid.plans.checks import CLEAN as CLEAN_TRAINING
 from pulsegrid.plans.checks import fixed, quote, with_parts, with_residents
-from pulsegrid.plans.grading_queries import CATEGORY, LEVEL, SUMMARY, case_text
+from pulsegrid.plans.grading_queries import CATEGORY, LEVEL, PAYLOAD, SUMMARY, VERDICT_SQL, case_text, payload
 from pulsegrid.plans.model_queries import model_sizes_sql
 from pulsegrid.plans.registry import query
 from pulsegrid.plans.scoring_base import SCORED_PARTS, complete_residents, scored_residents
@@ -145,9 +146,7 @@ def _with_contributions(spark, sf_dir, learner, target):
     model = fitted(spark, sf_dir, learner)[target]
     trees = attribution.tree_arrays(spark, model.estimator, shared_path(spark, "trees"))
     filled = durable(model.imputer.transform(training_rows(spark, sf_dir)).select("resident_id", *contract.FEATURES), "filled")
-    # an edge of every tree is applied to every row: rows are dealt to all tasks, however few files they stand in
-    spread = filled.repartition(max(filled.rdd.getNumPartitions(), spark.sparkContext.defaultParallelism))
-    return attribution.tree_contributions(spread, trees, "shapley_"), trees, model
+    return attribution.tree_contributions(attribution.spread(filled), trees, "shapley_"), trees, model
 
 
 @query("m08_tree_contributions")
@@ -357,3 +356,44 @@ def graded_residents(spark, sf_dir):
         F.array_join(F.transform("actions", lambda a: a["rule_id"]), "|").alias("rule_ids"), "follow_up")
 
 
+@query("m12_assessments", with_parts([PAYLOAD], f"""
+SELECT resident_id, valid, missing_fields, invalid_fields, valid AS has_result, valid AS graded, valid AS explained, valid AS planned FROM ({VERDICT_SQL}) v"""))
+def assessments(spark, sf_dir):
+    """Text records assessed end to end by the registered models; what the models decide must fit together on every row."""
+    models = fitted(spark, sf_dir)
+    trees = {target: attribution.tree_arrays(spark, model.estimator, shared_path(spark, "trees")) for target, model in models.items()}
+    records = attribution.spread(durable(payload(spark, sf_dir), "records"))
+    found = assessment.assess(records, "resident_id", models, trees, demo_rules(spark), DEMO_VERSION)
+    r = lambda field: C(f"result.{field}")
+    heart, stroke = r("heart_predicted_probability"), r("stroke_predicted_probability")
+    graded = (r("risk_level.code") == grading.level_code(F.greatest(heart, stroke))) & (r("final_category") == grading.final_category(heart, stroke)) & heart.between(0, 1) & stroke.between(0, 1)
+    explained = (F.size(r("heart_explanation")) > 0) & F.forall(r("combined_summary"), lambda f: F.size(f["sources"]) > 0) & (F.size(r("key_highlights")) > 0)
+    planned = (F.size(r("intervention_plan.suggestions")) > 0) & r("intervention_plan.follow_up").isNotNull() & (F.size(r("intervention_sources")) > 0)
+    no = F.lit(False)
+    return found.select(
+        "resident_id", "valid", F.array_join("missing_fields", ";").alias("missing_fields"), F.array_join(F.map_keys("invalid_fields"), ";").alias("invalid_fields"),
+        C("result").isNotNull().alias("has_result"), F.coalesce(graded, no).alias("graded"), F.coalesce(explained, no).alias("explained"), F.coalesce(planned, no).alias("planned"))
+
+
+@query("m06_score_labels", with_residents("SELECT resident_id, TRUE AS in_range, TRUE AS labels_follow FROM residents"))
+def score_labels(spark, sf_dir):
+    """On every row both probabilities lie in [0, 1] and both labels follow from the registered thresholds."""
+    models = fitted(spark, sf_dir)
+    scored = training.score_both(training_rows(spark, sf_dir), models)
+    follow = [C(f"{t}_label") == (C(f"{t}_probability") >= F.lit(m.threshold)).cast("int") for t, m in models.items()]
+    return scored.select("resident_id", (C("heart_probability").between(0, 1) & C("stroke_probability").between(0, 1)).alias("in_range"), (follow[0] & follow[1]).alias("labels_follow"))
+
+
+@query("a07_imputed_cells", with_parts([CLEAN_TRAINING], f"""
+SELECT resident_id, TRUE AS complete, TRUE AS known_kept, {" + ".join(f"CAST({n} IS NULL AS INTEGER)" for n in contract.FEATURES)} AS filled FROM clean"""))
+def imputed_cells(spark, sf_dir):
+    """Every gap is filled, every known value is kept; the numbers of filled cells per row."""
+    from pulsegrid.operators.imputation import fit_chained_imputer
+
+    rows = durable(training_rows(spark, sf_dir), "training")
+    given = rows.withColumns({f"given_{n}": C(n) for n in contract.FEATURES})
+    filled = fit_chained_imputer(rows).transform(given)
+    complete = F.forall(F.array(*[C(n).cast("double") for n in contract.FEATURES]), lambda x: x.isNotNull() & ~F.isnan(x))
+    kept = F.forall(F.array(*[F.coalesce(C(f"given_{n}").cast("double") == C(n).cast("double"), C(f"given_{n}").isNull()) for n in contract.FEATURES]), lambda x: x)
+    gaps = sum((C(f"given_{n}").isNull().cast("int") for n in contract.FEATURES), F.lit(0))
+    return filled.select("resident_id", complete.alias("complete"), kept.alias("known_kept"), gaps.alias("filled"))
