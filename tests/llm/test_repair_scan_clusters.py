@@ -195,11 +195,12 @@ def test_scan_prunes_and_keeps_neighbours(spark):
             near = np.argsort(-(unit @ unit[q]), kind="stable")
             hits += len(set(near[near != q][:5]) & {v for v, _ in found[q]})
         assert hits >= 0.9 * 5 * 80, spread
-    query, data = unit[0], unit[1:]
-    blocks = [np.ascontiguousarray(data[:, i : i + 16].T.astype(np.float32)) for i in range(0, 48, 16)]
-    near = np.sort(((data - query) ** 2).sum(1))[5]
-    left, read = adaptive_scan.scan([query[i : i + 16].astype(np.float32) for i in range(0, 48, 16)], blocks, near, settings)
-    assert 6 <= len(left) < 50 and read < 0.9 * data.size
+        # what the neighbours are scanned for: few survivors; far clusters are left after their first coordinates
+        query, data = unit[0], unit[1:]
+        blocks = [np.ascontiguousarray(data[:, i : i + 16].T.astype(np.float32)) for i in range(0, 48, 16)]
+        near = np.sort(((data - query) ** 2).sum(1))[5]
+        left, read = adaptive_scan.scan([query[i : i + 16].astype(np.float32) for i in range(0, 48, 16)], blocks, near, settings)
+        assert 6 <= len(left) < 50 and read < (0.45 if spread < 1 else 1.0) * data.size, spread
 
 
 def test_scan_of_awkward_vectors(spark):
