@@ -22,6 +22,9 @@ HEADLINE = [
     "w01_latest_records", "w03_combined_factors", "w06_action_plan", "w08_trend_series",
 ]
 
+#: Dear queries, timed beside the headline and not part of its value.
+DEAR = ["a07_chained_imputation", "st1_unique_ingest", "st1_watermark_ingest", "st2_running_report"]
+
 
 def main() -> None:
     from pulsegrid.plans.catalog import QUERIES
@@ -40,9 +43,14 @@ def main() -> None:
         started = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         times[name] = round(time.perf_counter() - started, 3)
+    dear = {}
+    for name in DEAR:
+        started = time.perf_counter()
+        QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+        dear[name] = round(time.perf_counter() - started, 3)
     print(json.dumps({
         "metric": "headline_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec",
-        "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")), "cores": int(cpus),
+        "queries": times, "dear_queries": dear, "sf": os.path.basename(sf_dir.rstrip("/")), "cores": int(cpus),
     }))
     spark.stop()
 

@@ -15,9 +15,9 @@ DECIMAL = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:inf|infinity|nan))\s*
 def to_number(column: Column) -> Column:
     """Cast to double; text that is no decimal number becomes null.
 
-    The form is checked first, because the JVM also reads ``45d`` and ``0x1p3``.
+    The JVM also reads ``45d`` and ``0x1p3``, so the form is checked where a letter of these occurs.
     """
-    return F.when(column.cast("string").rlike(DECIMAL), column.try_cast("double"))
+    return F.when(column.cast("string").rlike(f"^[^dDfFxX]*$|{DECIMAL}"), column.try_cast("double"))
 
 
 def is_finite(column: Column) -> Column:

@@ -49,16 +49,15 @@ def trend_series(rows: DataFrame) -> DataFrame:
     )
 
 
-OUTCOMES = ["heart_probability", "stroke_probability"]
+def compare_scenarios(rows: DataFrame, changes: dict[str, Column], scores: dict[str, Column], key: str) -> DataFrame:
+    """Scores of every record as it is and with its features changed, side by side.
 
-
-def compare_scenarios(baseline: DataFrame, scenario: DataFrame, key: str) -> DataFrame:
-    """Scored baseline and scenario rows side by side, joined on the record id."""
-    left = baseline.select(key, *[C(name).alias(f"baseline_{name}") for name in OUTCOMES])
-    right = scenario.select(key, *[C(name).alias(f"scenario_{name}") for name in OUTCOMES])
-    joined = left.join(right, key)
-    return joined.withColumns({
-        f"{name}_change": C(f"scenario_{name}") - C(f"baseline_{name}") for name in OUTCOMES})
+    Both are columns of the record's own row: the scores are taken, the features changed, and the scores taken again.
+    """
+    before = rows.withColumns({f"baseline_{name}": score for name, score in scores.items()})
+    after = apply_scenario(before, changes).withColumns({f"scenario_{name}": score for name, score in scores.items()})
+    sides = [f"{side}_{name}" for side in ("baseline", "scenario") for name in scores]
+    return after.select(key, *sides, *[(C(f"scenario_{name}") - C(f"baseline_{name}")).alias(f"{name}_change") for name in scores])
 
 
 def apply_scenario(df: DataFrame, changes: dict[str, Column]) -> DataFrame:

@@ -36,16 +36,8 @@ def task_completeness(tasks: DataFrame, parts: DataFrame) -> DataFrame:
     its number of distinct parts.
     """
     arrived = parts.select(*PART_KEY).distinct()
-    wanted = tasks.select("task_id", "total_chunks")
-    inside = (
-        wanted.join(arrived, "task_id")
-        .filter(C("chunk_index").between(0, C("total_chunks") - 1))
-        .groupBy("task_id")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("chunk_index").alias("first_part"),
-             F.max("chunk_index").alias("last_part"))
-    )
-    received = F.coalesce("n", F.lit(0).cast("bigint"))
-    return wanted.join(inside, "task_id", "left").select(
-        "task_id", "total_chunks", received.alias("received"), "first_part", "last_part",
-        ((C("total_chunks") > 0) & (received == C("total_chunks"))).alias("complete"),
-    )
+    joined = tasks.select("task_id", "total_chunks").join(arrived, "task_id", "left")
+    inside = F.when(C("chunk_index").between(0, C("total_chunks") - 1), C("chunk_index"))
+    counted = joined.groupBy("task_id", "total_chunks").agg(
+        F.count(inside).alias("received"), F.min(inside).alias("first_part"), F.max(inside).alias("last_part"))
+    return counted.withColumn("complete", (C("total_chunks") > 0) & (C("received") == C("total_chunks")))

@@ -154,10 +154,6 @@ FROM before b JOIN after a ON b.resident_id = a.resident_id""")
 
 @query("j07_scenario_comparison", _scenario_check())
 def scenario_comparison(spark, sf_dir):
-    baseline = complete_residents(spark, sf_dir)
-    scenario = trends.apply_scenario(baseline, {
-        "hypertension": F.lit(0), "smoker": F.lit(0), "exercise": F.lit(1), "bmi": F.least("bmi", F.lit(24.0))})
-    scored = {"heart_probability": demo_probability("heart"), "stroke_probability": demo_probability("stroke")}
-    return trends.compare_scenarios(baseline.withColumns(scored), scenario.withColumns(scored), "resident_id")
-
-
+    changes = {"hypertension": F.lit(0), "smoker": F.lit(0), "exercise": F.lit(1), "bmi": F.least("bmi", F.lit(24.0))}
+    scores = {"heart_probability": demo_probability("heart"), "stroke_probability": demo_probability("stroke")}
+    return trends.compare_scenarios(complete_residents(spark, sf_dir), changes, scores, "resident_id")
