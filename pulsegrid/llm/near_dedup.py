@@ -393,14 +393,23 @@ def verified(documents: DataFrame, groups: DataFrame, settings: Settings) -> Dat
     return groups.join(sets, "id").select("group", "part", "set").groupBy("group").applyInArrow(verify, "a long, b long")
 
 
+def _starred(edges: DataFrame) -> bool:
+    """Whether every pointed id has one root and no root is itself pointed elsewhere."""
+    ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
+    least, greatest, is_root = F.min("v"), F.max("v"), F.max(F.col("v").isNull())
+    state = ends.groupBy("u").agg(least.alias("least"), greatest.alias("greatest"), is_root.alias("is_root"))
+    return state.filter((F.col("least") < F.col("greatest")) | (F.col("is_root") & F.col("least").isNotNull())).isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(id, root) of every linked id, the root being the least id of its component.
 
-    Alternating stars: each id points all larger neighbours to its least neighbour, then all smaller ones. Done when every
-    pointed id has one root and no root is itself pointed elsewhere.
+    Alternating stars, until there are only stars left: each id points all larger neighbours to its least neighbour, then all
+    smaller ones.
     """
-    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-    while True:
+    pointed = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    edges = durable(pointed.filter(F.col("u") != F.col("v")).distinct(), "components")
+    while not _starred(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -408,12 +417,8 @@ def components(links: DataFrame) -> DataFrame:
         kept = large.join(least, "u")
         small = kept.select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v"))
         edges = durable(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "components")
-        ends = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.lit(None).cast("long").alias("v")))
-        least, greatest, is_root = F.min("v"), F.max("v"), F.max(F.col("v").isNull())
-        state = ends.groupBy("u").agg(least.alias("least"), greatest.alias("greatest"), is_root.alias("is_root"))
-        if state.filter((F.col("least") < F.col("greatest")) | (F.col("is_root") & F.col("least").isNotNull())).isEmpty():
-            own = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
-            return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(own)
+    own = edges.select(F.col("v").alias("id"), F.col("v").alias("root")).distinct()
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("root")).unionByName(own)
 
 
 def contracted(roots: DataFrame, links: DataFrame) -> DataFrame:
