@@ -487,6 +487,6 @@ def test_language_awkward(awkward, spark):
 
 @pytest.mark.parametrize("name", [q for q in queries.QUERIES])
 def test_empty_tables(name, spark, tmp_path):
-    for table in ("documents", "benchmark", "labels", "conversations"):
+    for table in ("documents", "benchmark", "labels", "conversations", "embeddings"):
         spark.read.parquet(f"{SF}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert queries.QUERIES[name](spark, str(tmp_path)).count() == 0
