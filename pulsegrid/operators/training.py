@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pulsegrid import contract
-from pulsegrid.operators import evaluation, splitting
+from pulsegrid.operators import attribution, cells, evaluation, splitting
 from pulsegrid.operators.imputation import ChainedImputer, fit_chained_imputer
 from pulsegrid.session import durable
 
@@ -29,6 +31,7 @@ BOOST_STEP = 0.2
 DEFAULT_THRESHOLD = 0.5
 # The calibrator is fitted on scores to six decimals, so its table never exceeds 10^6 + 1 rows; scored rows keep theirs whole.
 CALIBRATION_DIGITS = 6
+FITS_AT_ONCE = 4
 
 
 @dataclass
@@ -67,6 +70,13 @@ def assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=contract.FEATURES, outputCol="features").transform(df)
 
 
+def fit_estimator(estimator, rows: DataFrame, label: str):
+    """Fit the trees on the cells of the rows, whose number does not grow with the table."""
+    cuts = cells.candidate_cuts(rows)
+    found = cells.cells(rows, cuts, label)
+    return cells.fit_forest(estimator, found, cuts, label) if isinstance(estimator, RandomForestClassifier) else cells.fit_boosted(estimator, found, cuts)
+
+
 def raw_probability(estimator, df: DataFrame) -> DataFrame:
     """Add ``raw_probability`` of the positive class."""
     scored = estimator.transform(assemble(df))
@@ -115,9 +125,9 @@ def train_target(
     weight = C("sample_weight") * (class_weight(fit, label) if learner == FOREST else F.lit(1.0))
     rows = imputer.transform(fit).withColumn("fit_weight", weight)
     rows = durable(rows.select(*contract.FEATURES, label, "fit_weight"), f"rows-{target}")
-    estimator = new_estimator(learner, label, trees).fit(assemble(rows))
+    estimator = fit_estimator(new_estimator(learner, label, trees), rows, label)
 
-    held = parted.filter(C("split") != "fit")
+    held = attribution.spread(parted.filter(C("split") != "fit").select("split", label, "sample_weight", *contract.FEATURES))
     scored = durable(
         raw_probability(estimator, imputer.transform(held)).select(
             "split", label, "sample_weight", "raw_probability"), f"held-{target}")
@@ -147,17 +157,20 @@ def train_target(
 def train_models(
     df: DataFrame, learner: str = BOOSTED, rounds: int = 1, run_label: str = "run", trees: int | None = None,
 ) -> tuple[dict[str, RiskModel], list[dict]]:
-    """Train both outcomes; with several rounds the last one is kept, and every round is logged."""
+    """Train both outcomes; with several rounds the last one is kept, and every round is logged.
+
+    Fits are many short jobs, so a few run side by side.
+    """
     if rounds <= 0:
         raise ValueError("rounds must be greater than 0")
-    models: dict[str, RiskModel] = {}
-    log = []
-    for number in range(1, rounds + 1):
-        name = f"{run_label}_round{number}" if rounds > 1 else run_label
-        for target in TARGETS:
-            models[target] = train_target(df, target, learner, trees=trees)
-            log.append({"run_label": name, "round": number, "target": target, "learner": learner,
-                        **models[target].metrics})
+    runs = [(number, target) for number in range(1, rounds + 1) for target in TARGETS]
+    train = inheritable_thread_target(df.sparkSession)(lambda run: train_target(df, run[1], learner, trees=trees))
+    with ThreadPool(min(len(runs), FITS_AT_ONCE)) as pool:
+        trained = pool.map(train, runs, chunksize=1)
+    models = {target: model for (_, target), model in zip(runs, trained, strict=True)}
+    log = [
+        {"run_label": f"{run_label}_round{number}" if rounds > 1 else run_label, "round": number, "target": target, "learner": learner, **model.metrics}
+        for (number, target), model in zip(runs, trained, strict=True)]
     return models, log
 
 
