@@ -106,6 +106,16 @@ def known_keys(stored: DataFrame, key: list[str], period: str, cells: list[tuple
     return stored.filter((C(BATCH) < number) & C(BUCKET).isin(buckets) & same).select(*key)
 
 
+def _write_buckets(rows: DataFrame, period: str, path: str) -> None:
+    """One file per period and bucket, however many tasks read the rows: a bucket is a hash's share of its period.
+
+    Opening files is most of the work, so all cores write.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    rows.repartition(tasks, period, BUCKET).write.mode("overwrite").partitionBy(period, BUCKET).parquet(path)
+
+
 def ingest_unique(stream: DataFrame, key: list[str], period: str, target: str, checkpoint: str, buckets: int = BUCKETS) -> None:
     """Insert-or-ignore into a table split by period and key bucket; order and repeats do not matter, however late.
 
@@ -127,7 +137,7 @@ def ingest_unique(stream: DataFrame, key: list[str], period: str, target: str, c
             known = known_keys(stored, key, period, cells, number).withColumnsRenamed({k: f"_{k}" for k in key})
             same = [C(k).eqNullSafe(C(f"_{k}")) for k in key]
             fresh = fresh.join(known, same, "left_anti")
-        fresh.write.mode("overwrite").partitionBy(period, BUCKET).parquet(f"{target}/batches/{BATCH}={number}")
+        _write_buckets(fresh, period, f"{target}/batches/{BATCH}={number}")
 
     _run(stream, write, checkpoint)
 
@@ -149,8 +159,7 @@ def compact(spark: SparkSession, target: str, schema: T.StructType, period: str)
     if last is None or last <= upto:
         return
     rows = stored_rows(spark, target, schema).select(*schema.names, BUCKET)
-    # rebalanced: a period and bucket that holds a large share of the rows gets several tasks and files
-    rows.hint("rebalance", period, BUCKET).write.mode("overwrite").partitionBy(period, BUCKET).parquet(f"{target}/generation-{generation + 1}")
+    _write_buckets(rows, period, f"{target}/generation-{generation + 1}")
     spark.createDataFrame([(generation + 1, last)], _GENERATIONS).coalesce(1).write.mode("append").parquet(f"{target}/generations")
 
 

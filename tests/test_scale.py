@@ -508,3 +508,16 @@ def test_advice_adds_no_exchange_to_the_records(spark):
     source = plan_of(graded_records(spark, SF_DIR)).count("Exchange hashpartitioning")
     for name in ("j01_matching_rules", "w05_best_rule_per_factor", "w06_action_plan"):
         assert plan_of(QUERIES[name](spark, SF_DIR)).count("Exchange hashpartitioning") == source, name
+
+
+def test_a_batch_writes_one_file_per_period_and_bucket(spark, tmp_path):
+    """However many tasks hold its rows."""
+    rows = spark.range(0, 6000, 1, 12).select("id", F.concat(F.lit("2024-0"), (C("id") % 3 + 1).cast("string")).alias("month"))
+    rows.write.parquet(str(tmp_path / "in"))
+    for turn in ("first", "second"):
+        stream = ingest.read_stream(spark, str(tmp_path / "in"), rows.schema, files_per_batch=12)
+        ingest.ingest_unique(stream, ["id", "month"], "month", str(tmp_path / turn), str(tmp_path / f"{turn}-progress"), buckets=4)
+        assert len(list((tmp_path / turn).glob("batches/*/month=*/bucket=*/part-*"))) == 3 * 4
+        ingest.compact(spark, str(tmp_path / turn), rows.schema, "month")
+        assert len(list((tmp_path / turn).glob("generation-1/month=*/bucket=*/part-*"))) == 3 * 4
+        assert ingest.read_unique(spark, str(tmp_path / turn), rows.schema).exceptAll(rows).isEmpty()
