@@ -20,6 +20,7 @@ batches, every edge is applied to the whole batch at once.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +30,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulsegrid import contract
+from pulsegrid.operators import cells
+from pulsegrid.session import durable
 
 #: Rows that go through a tree together: their products fit a processor's cache.
 BATCH = 4_096
@@ -148,3 +151,114 @@ def tree_contributions(df: DataFrame, trees: Trees, prefix: str) -> DataFrame:
             yield batch.assign(**{name: found[:, k] for k, name in enumerate(output)})
 
     return df.mapInPandas(explain, schema)
+
+
+# -- by cells: rows of the same bins have the same contributions ---------------------------------
+
+#: Leaves whose tables are added together.
+LEAVES = 2_048
+#: Slabs above which rows are explained one by one.
+MAX_SLABS = 4_096
+
+
+def leaf_boxes(trees: Trees, features: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Value of every leaf, and for each feature the share of its splits on the path and the ends of what meets them."""
+    node, found = np.asarray(trees.roots), []
+    share, low, high = np.ones((len(node), features)), np.full((len(node), features), -np.inf), np.full((len(node), features), np.inf)
+    while node.size:
+        leaf = trees.feature[node] < 0
+        found.append((trees.value[node[leaf]], share[leaf], low[leaf], high[leaf]))
+        node, share, low, high = node[~leaf], share[~leaf], low[~leaf], high[~leaf]
+        at, f, cut, parts = np.arange(len(node)), trees.feature[node], trees.cut[node], []
+        for child, ends, side in ((trees.left[node], high, np.minimum), (trees.right[node], low, np.maximum)):
+            follow, bound = share.copy(), ends.copy()
+            follow[at, f] *= trees.share[child]
+            bound[at, f] = side(bound[at, f], cut)
+            parts.append((child, follow, *((low, bound) if ends is high else (bound, high))))
+        node, share, low, high = (np.concatenate(both) for both in zip(*parts))
+    return tuple(np.concatenate(all_) for all_ in zip(*found))
+
+
+def slab_contributions(boxes: tuple, values: list[np.ndarray]) -> np.ndarray:
+    """Contributions of every feature (first axis) at every combination of the features' values.
+
+    What the trees give with some features known is a table with a place for "unknown" beside a feature's values; a leaf adds a
+    product of one factor a feature to it. Along the two longest axes only the ends of a leaf's box are noted and summed up
+    afterwards. The mean over subsets of features is then taken axis by axis at the quadrature nodes.
+    """
+    leaf, share, low, high = boxes
+    features = len(values)
+    wide = sorted(range(features), key=lambda f: -len(values[f]))[:2]
+    small = [f for f in range(features) if f not in wide]
+    lengths = [len(values[f]) + 1 for f in small]
+    sizes = [len(values[f]) + 2 for f in wide]  # one place behind the last value, for ends that are not reached
+    table = np.zeros((int(np.prod(sizes)), int(np.prod(lengths, dtype=int))))
+    places = list(table)
+    ends = [(np.searchsorted(values[f], low[:, f], "right"), np.searchsorted(values[f], high[:, f], "right")) for f in wide]
+    ends = [(first, np.maximum(first, last)) for first, last in ends]  # empty where two splits contradict
+    for k in range(0, len(leaf), LEAVES):
+        part = slice(k, k + LEAVES)
+        dense = leaf[part, None]
+        for f in small:
+            met = (low[part, f, None] < values[f]) & (values[f] <= high[part, f, None])
+            axis = np.concatenate([share[part, f, None], met], axis=1)
+            dense = (dense[:, :, None] * axis[:, None, :]).reshape(len(dense), -1)
+        marks = [[*zip(share[part, f], *(end[part] for end in pair), strict=True)] for f, pair in zip(wide, ends, strict=True)]
+        for add, first, second in zip(dense, marks[0], marks[-1], strict=True):
+            for at, line in ((0, add * first[0]), (1 + first[1], add), (1 + first[2], -add)):
+                if len(wide) == 1:
+                    places[at] += line
+                    continue
+                by = at * sizes[1]
+                places[by] += line * second[0]
+                places[by + 1 + second[1]] += line
+                places[by + 1 + second[2]] -= line
+    table = table.reshape(*sizes, *lengths)
+    for axis in range(len(wide)):
+        inner = (slice(None),) * axis
+        table[(*inner, slice(1, None))] = table[(*inner, slice(1, None))].cumsum(axis)
+        table = table[(*inner, slice(0, -1))]
+    order = [*wide, *small]
+    y, weight = np.polynomial.legendre.leggauss(features // 2 + 1)
+    out = np.zeros((features, *[len(values[f]) for f in order]))
+    for at, by in zip((y + 1) / 2, weight / 2):
+        for f in range(features):
+            rest = table
+            for axis in reversed(range(features)):
+                inner = (slice(None),) * axis
+                unknown, known = rest[(*inner, slice(0, 1))], rest[(*inner, slice(1, None))]
+                rest = known - unknown if order[axis] == f else at * known + (1 - at) * unknown
+            out[f] += by * rest
+    return np.transpose(out, [0, *[1 + order.index(f) for f in range(features)]])
+
+
+def cell_contributions(df: DataFrame, trees: Trees, prefix: str) -> DataFrame:
+    """``tree_contributions`` of a stored table, worked out once for all rows of the same bins.
+
+    Combinations of bins are dealt by those of the features with more than two bins, but for the two with most: a slab.
+    """
+    names = contract.FEATURES
+    cuts = [np.unique(trees.cut[trees.feature == f]) for f in range(len(names))]
+    ends = [np.append(cut, np.inf) for cut in cuts]  # what stands for a bin: its upper end
+    wide = sorted(range(len(names)), key=lambda f: -len(ends[f]))[:2]
+    fixed = [f for f in range(len(names)) if len(ends[f]) > 2 and f not in wide]
+    slab = [F.col(cells.BIN[f]) for f in fixed]
+    binned = cells.with_bins(df, cuts).withColumns({name: F.col(name).cast("int") for name in cells.BIN})
+    known = durable(binned.select(*cells.BIN).distinct().withColumn("slab", F.concat_ws("-", *slab)), "cells")
+    slabs = known.select("slab").distinct().count()
+    if slabs > MAX_SLABS:
+        return tree_contributions(df, trees, prefix)
+    output = [f"{prefix}{name}" for name in names]
+    held = df.sparkSession.sparkContext.broadcast(leaf_boxes(trees, len(names)))
+
+    def explain(batch: pd.DataFrame) -> pd.DataFrame:
+        at = batch[cells.BIN].to_numpy().T.copy()
+        values = list(ends)
+        for f in fixed:
+            values[f], at[f] = ends[f][at[f, :1]], 0
+        found = slab_contributions(held.value, values)[:, *at]
+        return batch[cells.BIN].assign(**dict(zip(output, found)))
+
+    schema = ", ".join([f"{name} int" for name in cells.BIN] + [f"`{name}` double" for name in output])
+    explained = durable(known.repartition(max(slabs, 1), "slab").groupBy("slab").applyInPandas(explain, schema), "explained")
+    return binned.join(explained, cells.BIN).select(*df.columns, *output)

@@ -59,15 +59,21 @@ def candidate_cuts(rows: DataFrame) -> list[list[float]]:
     return [cuts_of(found[name].to_numpy(), weight) if count else [] for name in contract.FEATURES]
 
 
+def with_bins(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
+    """Add the bin of every feature: the number of its cuts that lie below the value."""
+    cut = {name: found for name, found in zip(contract.FEATURES, cuts, strict=True) if len(found)}
+    binned = rows.withColumns({f"bin_{name}": F.lit(0.0) for name in contract.FEATURES if name not in cut})
+    if not cut:
+        return binned
+    return Bucketizer(  # a bucket begins with its lower end, a bin ends with its upper one
+        inputCols=list(cut), outputCols=[f"bin_{name}" for name in cut],
+        splitsArray=[[-np.inf, *np.nextafter(found, np.inf).tolist(), np.inf] for found in cut.values()],
+    ).transform(binned)
+
+
 def cells(rows: DataFrame, cuts: list[list[float]], label: str) -> DataFrame:
     """Bins, label, ``fit_weight`` of a row and ``rows``, the number of rows; stored."""
-    cut = {name: found for name, found in zip(contract.FEATURES, cuts, strict=True) if found}
-    binned = rows.withColumns({f"bin_{name}": F.lit(0.0) for name in contract.FEATURES if name not in cut})
-    if cut:  # a bucket begins with its lower end, a bin ends with its upper one
-        binned = Bucketizer(
-            inputCols=list(cut), outputCols=[f"bin_{name}" for name in cut],
-            splitsArray=[[-np.inf, *np.nextafter(found, np.inf).tolist(), np.inf] for found in cut.values()],
-        ).transform(binned)
+    binned = with_bins(rows, cuts)
     keys = [*[C(name).cast("tinyint").alias(name) for name in BIN], label, "fit_weight"]
     return durable(binned.select(*keys).groupBy(*BIN, label, "fit_weight").agg(F.count(F.lit(1)).alias("rows")), "cells")
 

@@ -146,7 +146,7 @@ def _with_contributions(spark, sf_dir, learner, target):
     model = fitted(spark, sf_dir, learner)[target]
     trees = attribution.tree_arrays(spark, model.estimator, shared_path(spark, "trees"))
     filled = durable(model.imputer.transform(training_rows(spark, sf_dir)).select("resident_id", *contract.FEATURES), "filled")
-    return attribution.tree_contributions(attribution.spread(filled), trees, "shapley_"), trees, model
+    return attribution.cell_contributions(filled, trees, "shapley_"), trees, model
 
 
 @query("m08_tree_contributions")
