@@ -5,9 +5,9 @@ lower-cased, are hashed in windows of ``WINDOW`` words, so that a quotation that
 still has windows in common with the original; a passage of fewer words is one window, and so is every line of fewer.
 
 Windows of quoted passages are joined to the author's own windows of earlier messages in the conversation: for each
-window its latest holder before the quoting message and its first one are candidates (two at most, however often a line
-was said). A candidate's own words are then compared with the passage: the best one holds the whole passage, then has
-most of its windows, then is the latest. A message replies to what its passage of the lowest quote level quotes (of
+window its latest holder before the quoting message and its first one are candidates. A candidate's own words are then
+compared with the passage: the best one holds the whole passage, then has most of its windows, then is the latest. Where
+another message could be better, all holders of the passage's rarest windows are compared too, so none is missed. A message replies to what its passage of the lowest quote level quotes (of
 several the longest, then the first one). Threads follow from the replies by pointer jumping.
 
 Ordered by conversation, thread and place, every reply stands after what it replies to. Messages without conversation
@@ -67,6 +67,44 @@ def passages(messages: DataFrame) -> DataFrame:
     ).filter(F.size("words") > 0)
 
 
+PASSAGE = ["conv_id", "turn", "passage"]
+
+
+def _further(first: DataFrame, quoted: DataFrame, own: DataFrame, held: DataFrame, found: DataFrame, hashes: Column) -> DataFrame:
+    """The best of all other candidates, for passages whose first choice may not be the best of all: rows like ``first``.
+
+    A better message holds as many windows as the first choice, or all words of the passage. So it holds one of the rarest
+    windows: of w windows it can miss all but n, and w - n + 1 of them are enough to meet it. A first choice that holds
+    everything and is the latest holder of some window is the best already. Messages of the same words are one candidate, of
+    which the latest before the quoting message counts.
+    """
+    latest = found.groupBy(*PASSAGE).agg(F.min("latest").alias("bound"))
+    asked = quoted.join(first.select(*PASSAGE, "best"), PASSAGE).join(latest, PASSAGE, "left")
+    open_ = asked.filter(~(F.col("best.whole") & (F.col("best.n") == F.size("windows")) & (F.col("best.parent") == F.col("bound"))))
+    # a passage shorter than a window may stand whole where none of its windows does, but for one
+    plain = F.when(F.col("n_words") < WINDOW, 1).otherwise(F.size(F.array_distinct(windows(F.split("said", " ")))))
+    open_ = durable(open_.withColumn("met", F.size("windows") - F.least(F.col("best.n"), plain) + 1), "open-passages")
+    spread = held.join(open_.select("conv_id", F.explode("windows").alias("hash")).distinct(), ["conv_id", "hash"], "left_semi").groupBy("conv_id", "hash").agg(F.count("*").alias("holders"))
+    windows_of = open_.select(*PASSAGE, "met", F.explode("windows").alias("hash")).join(spread, ["conv_id", "hash"], "left").na.fill(0, ["holders"])
+    rarest = Window.partitionBy(*PASSAGE).orderBy("holders", "hash")
+    probes = windows_of.withColumn("place", F.row_number().over(rarest)).filter(F.col("place") <= F.col("met")).select(*PASSAGE, "hash")
+    # messages of the same own passages
+    spoken = own.join(open_.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id", "turn").agg(
+        F.array_sort(F.collect_set(F.array_join("words", " "))).alias("texts"), F.array_distinct(F.flatten(F.collect_list(hashes))).alias("held"))
+    spoken = durable(spoken.withColumn("same", F.sha2(F.concat_ws("\n", "texts", F.array_sort("held").cast("array<string>")), 256)), "spoken")
+    kinds = spoken.groupBy("conv_id", "same").agg(F.first("texts").alias("texts"), F.first("held").alias("held"))
+    met = probes.join(kinds.select("conv_id", "same", F.explode("held").alias("hash")), ["conv_id", "hash"]).select(*PASSAGE, "same").distinct()
+    none = F.lit(None).cast(own.schema["turn"].dataType)
+    both = met.select("*", none.alias("holder")).unionByName(spoken.select("conv_id", "turn", F.lit(None).cast("int").alias("passage"), "same", F.col("turn").alias("holder")))
+    order = Window.partitionBy("conv_id", "same").orderBy("turn", F.col("passage").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = both.withColumn("parent", F.last("holder", True).over(order)).filter(F.col("passage").isNotNull() & F.col("parent").isNotNull())
+    compared = placed.join(open_.select(*PASSAGE, "level", "n_words", "said", "windows"), PASSAGE).join(kinds, ["conv_id", "same"])
+    padded = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
+    whole = F.exists("texts", lambda text: F.contains(padded(text), padded(F.col("said"))))
+    n = F.size(F.array_intersect("windows", "held")).cast("long")
+    return compared.groupBy(*PASSAGE, "level", "n_words").agg(F.max(F.struct(whole.alias("whole"), n.alias("n"), "parent")).alias("best"))
+
+
 def replies(messages: DataFrame) -> DataFrame:
     """conv_id, turn, parent, n_linked (quoted passages that were found) of messages that quote something known."""
     # only conversations in which anything is quoted
@@ -86,14 +124,19 @@ def replies(messages: DataFrame) -> DataFrame:
     found = both.select("*", F.last("holder", True).over(order).alias("latest"), F.first("holder", True).over(order).alias("earliest"))
     found = found.filter(F.col("passage").isNotNull() & F.col("latest").isNotNull())
     pairs = found.select("conv_id", "turn", "passage", F.explode(F.array_distinct(F.array("latest", "earliest"))).alias("parent"))
-    votes = pairs.groupBy("conv_id", "turn", "passage", "parent").agg(F.count("*").alias("n"))
+    named = pairs.distinct()
+    votes = named.join(asked, PASSAGE).join(held.withColumnRenamed("turn", "parent"), ["conv_id", "parent", "hash"]).groupBy(*PASSAGE, "parent").agg(F.count("*").alias("n"))
     # compare with what the candidate really said
     candidates = own.join(votes.select("conv_id", F.col("parent").alias("turn")).distinct(), ["conv_id", "turn"], "left_semi")
     said = candidates.select("conv_id", F.col("turn").alias("parent"), F.array_join("words", " ").alias("own"))
     padded = lambda c: F.concat(F.lit(" "), F.col(c), F.lit(" "))
     judged = votes.join(quoted, ["conv_id", "turn", "passage"]).join(said, ["conv_id", "parent"])
-    judged = judged.groupBy("conv_id", "turn", "passage", "level", "n_words", "parent", "n").agg(F.max(F.contains(padded("own"), padded("said"))).alias("whole"))
-    best = judged.groupBy("conv_id", "turn", "passage", "level", "n_words").agg(F.max_by("parent", F.struct("whole", "n", "parent")).alias("parent"))
+    judged = judged.groupBy("conv_id", "turn", "passage", "level", "n_words", "parent").agg(
+        F.max(F.contains(padded("own"), padded("said"))).alias("whole"), F.max("n").alias("n"))
+    first = durable(judged.groupBy("conv_id", "turn", "passage", "level", "n_words").agg(
+        F.max(F.struct("whole", "n", "parent")).alias("best")), "first-choice")
+    rest = _further(first, quoted, own, held, found, hashes)
+    best = first.unionByName(rest).groupBy("conv_id", "turn", "passage", "level", "n_words").agg(F.max("best")["parent"].alias("parent"))
     return best.groupBy("conv_id", "turn").agg(F.max_by("parent", F.struct(-F.col("level"), "n_words", -F.col("passage"))).alias("parent"), F.count("*").alias("n_linked"))
 
 
