@@ -157,7 +157,7 @@ def tree_contributions(df: DataFrame, trees: Trees, prefix: str) -> DataFrame:
 
 #: Leaves whose tables are added together.
 LEAVES = 2_048
-#: Slabs above which rows are explained one by one.
+#: Slabs above which cells are explained one by one.
 MAX_SLABS = 4_096
 
 
@@ -232,24 +232,29 @@ def slab_contributions(boxes: tuple, values: list[np.ndarray]) -> np.ndarray:
     return np.transpose(out, [0, *[1 + order.index(f) for f in range(features)]])
 
 
-def cell_contributions(df: DataFrame, trees: Trees, prefix: str) -> DataFrame:
-    """``tree_contributions`` of a stored table, worked out once for all rows of the same bins.
+def tree_cuts(trees: Trees) -> list[np.ndarray]:
+    """The cuts of every feature."""
+    return [np.unique(trees.cut[trees.feature == f]) for f in range(len(contract.FEATURES))]
+
+
+def explained_cells(known: DataFrame, trees: Trees, prefix: str) -> DataFrame:
+    """``cell`` and its contributions for distinct numbers of cells of the trees' cuts; stored.
 
     Combinations of bins are dealt by those of the features with more than two bins, but for the two with most: a slab.
     """
     names = contract.FEATURES
-    cuts = [np.unique(trees.cut[trees.feature == f]) for f in range(len(names))]
+    cuts = tree_cuts(trees)
     ends = [np.append(cut, np.inf) for cut in cuts]  # what stands for a bin: its upper end
     wide = sorted(range(len(names)), key=lambda f: -len(ends[f]))[:2]
     fixed = [f for f in range(len(names)) if len(ends[f]) > 2 and f not in wide]
     slab = [F.col(cells.BIN[f]) for f in fixed]
-    binned = cells.with_bins(df, cuts).withColumns({name: F.col(name).cast("int") for name in cells.BIN})
-    known = durable(binned.select(*cells.BIN).distinct().withColumn("slab", F.concat_ws("-", *slab)), "cells")
+    known = durable(cells.bins_of(known.select("cell"), cuts, "cell").withColumn("slab", F.concat_ws("-", *slab)), "cells")
     slabs = known.select("slab").distinct().count()
-    if slabs > MAX_SLABS:
-        return tree_contributions(df, trees, prefix)
     output = [f"{prefix}{name}" for name in names]
-    held = df.sparkSession.sparkContext.broadcast(leaf_boxes(trees, len(names)))
+    if slabs > MAX_SLABS:
+        explained = tree_contributions(cells.with_values(spread(known.select("cell")), cuts, "cell"), trees, prefix)
+        return durable(explained.select("cell", *output), "explained")
+    held = known.sparkSession.sparkContext.broadcast(leaf_boxes(trees, len(names)))
 
     def explain(batch: pd.DataFrame) -> pd.DataFrame:
         at = batch[cells.BIN].to_numpy().T.copy()
@@ -257,8 +262,17 @@ def cell_contributions(df: DataFrame, trees: Trees, prefix: str) -> DataFrame:
         for f in fixed:
             values[f], at[f] = ends[f][at[f, :1]], 0
         found = slab_contributions(held.value, values)[:, *at]
-        return batch[cells.BIN].assign(**dict(zip(output, found)))
+        return batch[["cell"]].assign(**dict(zip(output, found)))
+
+    schema = ", ".join(["cell bigint"] + [f"`{name}` double" for name in output])
+    return durable(known.repartition(max(slabs, 1), "slab").groupBy("slab").applyInPandas(explain, schema), "explained")
+
 
-    schema = ", ".join([f"{name} int" for name in cells.BIN] + [f"`{name}` double" for name in output])
-    explained = durable(known.repartition(max(slabs, 1), "slab").groupBy("slab").applyInPandas(explain, schema), "explained")
-    return binned.join(explained, cells.BIN).select(*df.columns, *output)
+def cell_contributions(df: DataFrame, trees: Trees, prefix: str) -> DataFrame:
+    """``tree_contributions`` of a stored table, worked out once for all rows of the same bins."""
+    cuts = tree_cuts(trees)
+    if not cells.countable(cuts):
+        return tree_contributions(df, trees, prefix)
+    numbered = cells.numbered(df, cuts, "cell")
+    explained = explained_cells(numbered.select("cell").distinct(), trees, prefix)
+    return cells.attach(numbered, explained, "cell").select(*df.columns, *[f"{prefix}{name}" for name in contract.FEATURES])

@@ -10,6 +10,7 @@ There are at most as many cells as rows, and no more than the bins of the featur
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,8 @@ BINS = 32
 CUT_ROWS = 10_000
 #: Cells of a task of the boosted fit.
 TASK_CELLS = 20_000
+#: Cells of a table that is broadcast; a row of it holds a number and at most ten values.
+BROADCAST_CELLS = 400_000
 BIN = [f"bin_{name}" for name in contract.FEATURES]
 
 
@@ -71,6 +74,40 @@ def with_bins(rows: DataFrame, cuts: list[list[float]]) -> DataFrame:
     ).transform(binned)
 
 
+def countable(cuts: list[list[float]]) -> bool:
+    """Whether the combinations of bins can be numbered."""
+    return math.prod(len(found) + 1 for found in cuts) < 1 << 62
+
+
+def numbered(rows: DataFrame, cuts: list[list[float]], name: str) -> DataFrame:
+    """Add ``name``, the number of the combination of bins."""
+    number = F.lit(0).cast("bigint")
+    for column, found in zip(BIN, cuts, strict=True):
+        number = number * (len(found) + 1) + C(column).cast("bigint")
+    return with_bins(rows, cuts).withColumn(name, number).drop(*BIN)
+
+
+def bins_of(numbers: DataFrame, cuts: list[list[float]], name: str) -> DataFrame:
+    """Add the bins that a number stands for."""
+    added, step = {}, 1
+    for column, found in zip(reversed(BIN), reversed(cuts), strict=True):
+        added[column] = F.expr(f"({name} div {step}) % {len(found) + 1}").cast("int")
+        step *= len(found) + 1
+    return numbers.withColumns(added)
+
+
+def with_values(numbers: DataFrame, cuts: list[list[float]], name: str) -> DataFrame:
+    """Add the features, each with a value of its bin: trees that split at the cuts treat it like every other of the bin."""
+    ends = [F.array(*[F.lit(float(cut)) for cut in [*found, found[-1] + 1 if len(found) else 0.0]]) for found in cuts]
+    return bins_of(numbers, cuts, name).withColumns(
+        {feature: F.get(end, C(column)) for feature, end, column in zip(contract.FEATURES, ends, BIN, strict=True)}).drop(*BIN)
+
+
+def attach(rows: DataFrame, table: DataFrame, name: str) -> DataFrame:
+    """Rows with the columns of a stored table of cells, one row a cell; a table of counted size is broadcast, a larger one shuffled."""
+    return rows.join(F.broadcast(table) if table.count() <= BROADCAST_CELLS else table, name)
+
+
 def cells(rows: DataFrame, cuts: list[list[float]], label: str) -> DataFrame:
     """Bins, label, ``fit_weight`` of a row and ``rows``, the number of rows; stored."""
     binned = with_bins(rows, cuts)

@@ -28,14 +28,19 @@ def _share(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part.cast("double") / whole.cast("double")).otherwise(0.0)
 
 
-def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
+def _counted(condition: Column, rows: str | None) -> Column:
+    """Rows where the condition is true; ``rows`` names a column with the number of rows that one stands for."""
+    return count_if(condition) if rows is None else F.coalesce(F.sum(F.when(condition, C(rows))), F.lit(0))
+
+
+def confusion(df: DataFrame, label: str, predicted: str, rows_in: str | None = None) -> DataFrame:
     """One row with the four cells and the measures that follow from them."""
     y, p = C(label), C(predicted)
     cells = df.agg(
-        count_if((y == 0) & (p == 0)).alias("true_negative"),
-        count_if((y == 0) & (p == 1)).alias("false_positive"),
-        count_if((y == 1) & (p == 0)).alias("false_negative"),
-        count_if((y == 1) & (p == 1)).alias("true_positive"),
+        _counted((y == 0) & (p == 0), rows_in).alias("true_negative"),
+        _counted((y == 0) & (p == 1), rows_in).alias("false_positive"),
+        _counted((y == 1) & (p == 0), rows_in).alias("false_negative"),
+        _counted((y == 1) & (p == 1), rows_in).alias("true_positive"),
     )
     tn, fp, fn, tp = (C(n) for n in ("true_negative", "false_positive", "false_negative", "true_positive"))
     rows = tn + fp + fn + tp
@@ -55,12 +60,14 @@ def confusion(df: DataFrame, label: str, predicted: str) -> DataFrame:
     return plain.withColumns({name: round_exact(C(name), d) for name, d in digits.items()})
 
 
-def brier(df: DataFrame, label: str, probability: str) -> DataFrame:
+def brier(df: DataFrame, label: str, probability: str, rows_in: str | None = None) -> DataFrame:
     error = C(probability) - C(label)
-    return df.agg(round_exact(F.avg(error * error), 4).alias("brier_score"))
+    square = error * error
+    mean = F.avg(square) if rows_in is None else F.sum(square * C(rows_in)) / F.sum(F.when(square.isNotNull(), C(rows_in)))
+    return df.agg(round_exact(mean, 4).alias("brier_score"))
 
 
-def score_points(df: DataFrame, label: str, probability: str) -> DataFrame:
+def score_points(df: DataFrame, label: str, probability: str, rows_in: str | None = None) -> DataFrame:
     """Positives and negatives at each distinct score.
 
     The measures below read the points several times: store them first.
@@ -68,7 +75,7 @@ def score_points(df: DataFrame, label: str, probability: str) -> DataFrame:
     return (
         df.filter(C(probability).isNotNull() & C(label).isNotNull())
         .groupBy(C(probability).alias("score"))
-        .agg(count_if(C(label) == 1).alias("pos"), count_if(C(label) == 0).alias("neg"))
+        .agg(_counted(C(label) == 1, rows_in).alias("pos"), _counted(C(label) == 0, rows_in).alias("neg"))
     )
 
 
@@ -135,11 +142,11 @@ def decision_threshold(points: DataFrame, minimum_recall: float = contract.STROK
     return best.select(F.coalesce("found", F.lit(0.5)).alias("threshold"))
 
 
-def evaluate(df: DataFrame, label: str, predicted: str, probability: str) -> DataFrame:
-    """One row with every measure."""
-    points = durable(score_points(df, label, probability), "score-points")
+def evaluate(df: DataFrame, label: str, predicted: str, probability: str, rows_in: str | None = None) -> DataFrame:
+    """One row with every measure; ``rows_in`` names a column with the number of rows that one stands for."""
+    points = durable(score_points(df, label, probability, rows_in), "score-points")
     ranking = ranking_measures(points).first()
     roc_auc = F.lit(ranking.roc_auc).cast("double")
-    measured = confusion(df, label, predicted).withColumn("pr_auc", F.lit(ranking.pr_auc))
-    score = brier(df, label, probability).first().brier_score
+    measured = confusion(df, label, predicted, rows_in).withColumn("pr_auc", F.lit(ranking.pr_auc))
+    score = brier(df, label, probability, rows_in).first().brier_score
     return measured.withColumns({"roc_auc": roc_auc, "brier_score": F.lit(score).cast("double")})

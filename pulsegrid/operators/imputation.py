@@ -115,7 +115,8 @@ class ChainedImputer:
             value = F.aggregate(products, F.lit(ORIGIN.get(name, 0.0)), lambda a, b: a + b)
             return F.when(C(name).isNull(), value).otherwise(C(name).cast("double"))
 
-        joined = df.withColumn("mask", missing_mask(self.names)).join(
+        # rows without gaps look nothing up, so no coefficients are carried with them
+        joined = df.withColumn("mask", F.nullif(missing_mask(self.names), F.lit(0))).join(
             F.broadcast(self.table(df.sparkSession)), "mask", "left")
         kept = [name for name in df.columns if name not in self.names]
         return joined.select(*kept, *[filled(k, name).alias(name) for k, name in enumerate(self.names)]).select(

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pulsegrid import contract
 from pulsegrid.operators import attribution, cells, evaluation, splitting
 from pulsegrid.operators.imputation import ChainedImputer, fit_chained_imputer
-from pulsegrid.session import durable
+from pulsegrid.session import durable, shared_path
 
 C = F.col
 TARGETS = {"heart": "label_heart", "stroke": "label_stroke"}
@@ -73,7 +73,10 @@ def assemble(df: DataFrame) -> DataFrame:
 def fit_estimator(estimator, rows: DataFrame, label: str):
     """Fit the trees on the cells of the rows, whose number does not grow with the table."""
     cuts = cells.candidate_cuts(rows)
-    found = cells.cells(rows, cuts, label)
+    return _fit_cells(estimator, cells.cells(rows, cuts, label), cuts, label)
+
+
+def _fit_cells(estimator, found: DataFrame, cuts: list[list[float]], label: str):
     return cells.fit_forest(estimator, found, cuts, label) if isinstance(estimator, RandomForestClassifier) else cells.fit_boosted(estimator, found, cuts)
 
 
@@ -106,67 +109,96 @@ def predicted_label(probability: Column, threshold: float) -> Column:
     return (probability >= F.lit(float(threshold))).cast("int")
 
 
-def train_target(
-    df: DataFrame, target: str, learner: str = BOOSTED, key: str = "resident_id", trees: int | None = None,
-) -> RiskModel:
-    """Fit one outcome on a training table.
+@dataclass
+class Prepared:
+    """What every fit of one outcome starts from, bounded by the bins: all rounds share it."""
+
+    target: str
+    learner: str
+    imputer: ChainedImputer
+    cuts: list[list[float]]
+    fit: DataFrame  # cells of the fit part
+    held: DataFrame  # cells of the calibration and test parts
+    sizes: dict
+
+
+def prepare(df: DataFrame, target: str, learner: str = BOOSTED, key: str = "resident_id") -> Prepared:
+    """Split, oversample and impute a training table, and count its cells.
 
     Only the fit part is oversampled and only it is seen by the imputer; the
     calibration and test parts keep their natural rates.
     """
     label = TARGETS[target]
-    parted = durable(splitting.stratified_split(df, label, key), f"split-{target}")
+    needed = df.select(key, *contract.FEATURES, label, "sample_weight")
+    parted = durable(splitting.stratified_split(needed, label, key).drop("split_key"), f"split-{target}")
     fit = parted.filter(C("split") == "fit")
     added = 0
     if target == "stroke":
-        fit, added = splitting.oversample(fit, label)
-    fit = durable(fit, f"fit-{target}")
+        fit, added = splitting.oversample(fit.withColumn("split_key", splitting.hash_key(key, contract.SEED)), label)
+    fit = durable(fit.select(*contract.FEATURES, label, "sample_weight"), f"fit-{target}")
     imputer = fit_chained_imputer(fit)
     weight = C("sample_weight") * (class_weight(fit, label) if learner == FOREST else F.lit(1.0))
     rows = imputer.transform(fit).withColumn("fit_weight", weight)
     rows = durable(rows.select(*contract.FEATURES, label, "fit_weight"), f"rows-{target}")
-    estimator = fit_estimator(new_estimator(learner, label, trees), rows, label)
-
-    held = attribution.spread(parted.filter(C("split") != "fit").select("split", label, "sample_weight", *contract.FEATURES))
+    cuts = cells.candidate_cuts(rows)
+    found = cells.cells(rows, cuts, label)
+    held = imputer.transform(parted.filter(C("split") != "fit").select("split", label, "sample_weight", *contract.FEATURES))
+    held = cells.numbered(held, cuts, "cell").groupBy("cell", "split", label, "sample_weight").agg(F.count(F.lit(1)).alias("rows"))
+    held = durable(held, f"held-{target}")
+    rate = found.agg(F.sum(C(label) * C("rows")).alias("positives"), F.sum("rows").alias("rows")).first()
+    test = held.filter(C("split") == "test").agg(F.sum("rows").alias("rows"), F.sum(C(label) * C("rows")).alias("positives")).first()
+    return Prepared(target, learner, imputer, cuts, found, held, {
+        "added": added, "rate": rate.positives / rate.rows, "test_rows": test.rows or 0, "test_positives": test.positives or 0})
+
+
+def fit_prepared(prepared: Prepared, trees: int | None = None) -> RiskModel:
+    """Fit, calibrate and evaluate one model; held-out rows are scored once for all of a cell."""
+    target, label, sizes = prepared.target, TARGETS[prepared.target], prepared.sizes
+    estimator = _fit_cells(new_estimator(prepared.learner, label, trees), prepared.fit, prepared.cuts, label)
+    held = cells.with_values(attribution.spread(prepared.held), prepared.cuts, "cell").withColumn("weight", C("sample_weight") * C("rows"))
     scored = durable(
-        raw_probability(estimator, imputer.transform(held)).select(
-            "split", label, "sample_weight", "raw_probability"), f"held-{target}")
-    calibrator = fit_calibrator(
-        calibration_points(scored.filter(C("split") == "calibrate"), label, "sample_weight"))
+        raw_probability(estimator, held).select("split", label, "weight", "rows", "raw_probability"), f"scored-{target}")
+    calibrator = fit_calibrator(calibration_points(scored.filter(C("split") == "calibrate"), label, "weight"))
     scored = calibrated(calibrator, scored, "probability")
 
     threshold = DEFAULT_THRESHOLD
     if target == "stroke":
         points = durable(
-            evaluation.score_points(scored.filter(C("split") == "calibrate"), label, "probability"), "points")
+            evaluation.score_points(scored.filter(C("split") == "calibrate"), label, "probability", "rows"), "points")
         threshold = evaluation.decision_threshold(points).first().threshold
-    model = RiskModel(target, imputer, estimator, calibrator, float(threshold), added)
+    model = RiskModel(target, prepared.imputer, estimator, calibrator, float(threshold), sizes["added"])
     test = scored.filter(C("split") == "test").withColumn(
         "predicted", predicted_label(C("probability"), model.threshold))
-    measures = evaluation.evaluate(test, label, "predicted", "probability").first().asDict()
-    rates = rows.agg(F.avg(label).alias("rate")).first()
-    sizes = parted.filter(C("split") == "test").agg(F.count("*").alias("rows"), F.sum(label).alias("positives")).first()
+    measures = evaluation.evaluate(test, label, "predicted", "probability", "rows").first().asDict()
     model.metrics = {
-        **measures, "decision_threshold": round(model.threshold, 6), "train_positive_rate": round(rates.rate, 6),
-        "test_positive_rate": measures["positive_rate"], "oversampled_rows": added,
-        "test_rows": sizes.rows, "test_positives": sizes.positives or 0,
+        **measures, "decision_threshold": round(model.threshold, 6), "train_positive_rate": round(sizes["rate"], 6),
+        "test_positive_rate": measures["positive_rate"], "oversampled_rows": sizes["added"],
+        "test_rows": sizes["test_rows"], "test_positives": sizes["test_positives"],
     }
     return model
 
 
+def train_target(
+    df: DataFrame, target: str, learner: str = BOOSTED, key: str = "resident_id", trees: int | None = None,
+) -> RiskModel:
+    """Fit one outcome on a training table."""
+    return fit_prepared(prepare(df, target, learner, key), trees)
+
+
 def train_models(
     df: DataFrame, learner: str = BOOSTED, rounds: int = 1, run_label: str = "run", trees: int | None = None,
 ) -> tuple[dict[str, RiskModel], list[dict]]:
     """Train both outcomes; with several rounds the last one is kept, and every round is logged.
 
-    Fits are many short jobs, so a few run side by side.
+    Rows are read once for all rounds. Fits are many short jobs, so a few run side by side.
     """
     if rounds <= 0:
         raise ValueError("rounds must be greater than 0")
     runs = [(number, target) for number in range(1, rounds + 1) for target in TARGETS]
-    train = inheritable_thread_target(df.sparkSession)(lambda run: train_target(df, run[1], learner, trees=trees))
+    threaded = inheritable_thread_target(df.sparkSession)
     with ThreadPool(min(len(runs), FITS_AT_ONCE)) as pool:
-        trained = pool.map(train, runs, chunksize=1)
+        prepared = dict(zip(TARGETS, pool.map(threaded(lambda target: prepare(df, target, learner)), TARGETS, chunksize=1), strict=True))
+        trained = pool.map(threaded(lambda run: fit_prepared(prepared[run[1]], trees)), runs, chunksize=1)
     models = {target: model for (_, target), model in zip(runs, trained, strict=True)}
     log = [
         {"run_label": f"{run_label}_round{number}" if rounds > 1 else run_label, "round": number, "target": target, "learner": learner, **model.metrics}
@@ -174,8 +206,37 @@ def train_models(
     return models, log
 
 
+def model_cuts(spark: SparkSession, estimator) -> list[list[float]]:
+    """The cuts of every feature in fitted trees, from their saved table of nodes."""
+    path = shared_path(spark, "nodes")
+    estimator.write().save(path)
+    split = C("nodeData")["split"]
+    found = spark.read.parquet(f"{path}/data").filter(split["featureIndex"] >= 0).select(
+        split["featureIndex"].alias("feature"), F.get(split["leftCategoriesOrThreshold"], 0).alias("cut")).distinct().collect()
+    return [sorted(row.cut for row in found if row.feature == f) for f in range(len(contract.FEATURES))]
+
+
+def with_cells(df: DataFrame, models: dict[str, RiskModel], cuts: dict[str, list[list[float]]]) -> DataFrame:
+    """Rows with ``cell_{target}``, the number of the cell in which a model's trees see them; stored. Features stay as given."""
+    kept = {name: f"given_{name}" for name in contract.FEATURES}
+    found = df.withColumns({alias: C(name) for name, alias in kept.items()})
+    for target, model in models.items():
+        found = cells.numbered(model.imputer.transform(found), cuts[target], f"cell_{target}").withColumns(
+            {name: C(alias) for name, alias in kept.items()})
+    return durable(found.drop(*kept.values()), "cells-of-rows")
+
+
+def cell_scores(rows: DataFrame, model: RiskModel, cuts: list[list[float]]) -> DataFrame:
+    """``cell``, probability and label of every cell of the rows; stored."""
+    name = f"{model.target}_probability"
+    known = durable(rows.select(C(f"cell_{model.target}").alias("cell")).distinct(), "cells")
+    scored = raw_probability(model.estimator, cells.with_values(attribution.spread(known), cuts, "cell"))
+    scored = calibrated(model.calibrator, scored, name).withColumn(f"{model.target}_label", predicted_label(C(name), model.threshold))
+    return durable(scored.select("cell", name, f"{model.target}_label"), "cell-scores")
+
+
 def score_target(df: DataFrame, model: RiskModel) -> DataFrame:
-    """Add probability and label of one outcome; the feature columns stay as given."""
+    """Add probability and label of one outcome, row by row; the feature columns stay as given."""
     kept = {name: f"given_{name}" for name in contract.FEATURES}
     given = df.withColumns({alias: C(name) for name, alias in kept.items()})
     scored = raw_probability(model.estimator, model.imputer.transform(given))
@@ -190,10 +251,19 @@ def score_target(df: DataFrame, model: RiskModel) -> DataFrame:
 
 
 def score_both(df: DataFrame, models: dict[str, RiskModel]) -> DataFrame:
-    """Two probabilities and two labels per row, for any number of rows."""
+    """Two probabilities and two labels per row, for any number of rows; worked out once for the rows of a cell."""
+    cuts = {target: model_cuts(df.sparkSession, models[target].estimator) for target in TARGETS}
+    if not all(map(cells.countable, cuts.values())):
+        for target in TARGETS:
+            df = score_target(df, models[target])
+        return df
+    scored = with_cells(df, {target: models[target] for target in TARGETS}, cuts)
+    added = []
     for target in TARGETS:
-        df = score_target(df, models[target])
-    return df
+        table = cell_scores(scored, models[target], cuts[target])
+        scored = cells.attach(scored, table.withColumnRenamed("cell", f"cell_{target}"), f"cell_{target}")
+        added += table.columns[1:]
+    return scored.select(*df.columns, *added)
 
 
 def feature_importance(spark: SparkSession, model: RiskModel) -> DataFrame:
